@@ -5,10 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import bpe
+from lodegraph.llm import bpe, minhash, mixing, ring
 from lodegraph.llm.common import table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets are alike by 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(words=2, alike=80))
+
+
+def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards on a ring with bounded loads."""
+    return ring.assign(table(spark, sf_dir, "documents"), ring.Params(shards=8))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when the sources are mixed by 5, 2, 1."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by merge replay, and the digest of what they decode to."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
@@ -18,6 +33,9 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op2_near_duplicates": op2_near_duplicates,
+        "op7_ring_shards": op7_ring_shards,
+        "op10_mix_sources": op10_mix_sources,
         "op5_bpe_roundtrip": op5_bpe_roundtrip,
     }
 
