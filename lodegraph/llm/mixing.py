@@ -172,7 +172,8 @@ def laid_out(sizes: DataFrame, sources: DataFrame, p: Params) -> DataFrame:
     lanes = rows.groupBy("src", "lane").agg(F.sum("size").alias("ls"))
     ahead = W.partitionBy("src").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
     lanes = lanes.withColumn("ahead", F.coalesce(F.sum("ls").over(ahead), F.lit(0))).drop("ls")
-    lanes = lanes.join(F.broadcast(sources), F.col("src").eqNullSafe(sources["src"])).drop(sources["src"])
+    named = sources.select(F.col("src").alias("src2"), "number", "source_size", "target")  # a row per source
+    lanes = lanes.join(F.broadcast(named), F.col("src").eqNullSafe(F.col("src2"))).drop("src2")
     run = W.partitionBy("src", "lane").orderBy("id", "twin", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("in_lane", F.coalesce(F.sum("size").over(run), F.lit(0)))
     key = [F.coalesce("src", F.lit("")), F.col("src").isNull(), F.col("lane")]
