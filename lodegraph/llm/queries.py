@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import bpe, minhash, mixing, ring
+from lodegraph.llm import bpe, minhash, mixing, ring, weighted
 from lodegraph.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(table(spark, sf_dir, "documents"), ring.Params(shards=8))
 
 
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted samples of every text, of its edited text, and their likeness."""
+    return weighted.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when the sources are mixed by 5, 2, 1."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def queries():
     return {
         "op2_near_duplicates": op2_near_duplicates,
         "op7_ring_shards": op7_ring_shards,
+        "op8_weighted_fingerprints": op8_weighted_fingerprints,
         "op10_mix_sources": op10_mix_sources,
         "op5_bpe_roundtrip": op5_bpe_roundtrip,
     }
