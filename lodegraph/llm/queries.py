@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, minhash, mixing, ring, weighted
+from lodegraph.llm import bpe, minhash, mixing, pii, ring, weighted
 from lodegraph.llm.common import table
 
 
@@ -29,6 +30,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of the terms that give it away, in every whole text."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by merge replay, and the digest of what they decode to."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
@@ -39,6 +46,7 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_sanitise": op3_sanitise,
         "op7_ring_shards": op7_ring_shards,
         "op8_weighted_fingerprints": op8_weighted_fingerprints,
         "op10_mix_sources": op10_mix_sources,
