@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, minhash, mixing, pii, ring, weighted
-from lodegraph.llm.common import table
+from lodegraph.llm import bpe, minhash, mixing, pii, ring, token_file, weighted
+from lodegraph.llm.common import table, workspace
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,15 @@ def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, written to a file of coded blocks and read back."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        data = f.read()
+    path = f"{workspace(spark)}/token-file-{uuid.uuid4().hex}"
+    token_file.write(table(spark, sf_dir, "documents"), path, data, public_tokenizers.PATTERN, end=0)
+    return token_file.read(spark, path)
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by merge replay, and the digest of what they decode to."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
@@ -47,6 +58,7 @@ def queries():
     return {
         "op2_near_duplicates": op2_near_duplicates,
         "op3_sanitise": op3_sanitise,
+        "op4_token_file": op4_token_file,
         "op7_ring_shards": op7_ring_shards,
         "op8_weighted_fingerprints": op8_weighted_fingerprints,
         "op10_mix_sources": op10_mix_sources,
