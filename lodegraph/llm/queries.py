@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, minhash, mixing, pii, ring, token_file, weighted
+from lodegraph.llm import ann, bpe, minhash, mixing, pii, ring, token_file, weighted
 from lodegraph.llm.common import table, workspace
 
 
@@ -17,6 +17,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(words=2, alike=80))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by inverted file and product quantisation."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), ann.Params(k=20, every=20))
+
+
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards on a ring with bounded loads."""
     return ring.assign(table(spark, sf_dir, "documents"), ring.Params(shards=8))
@@ -59,6 +64,7 @@ def queries():
         "op2_near_duplicates": op2_near_duplicates,
         "op3_sanitise": op3_sanitise,
         "op4_token_file": op4_token_file,
+        "op6_nearest_vectors": op6_nearest_vectors,
         "op7_ring_shards": op7_ring_shards,
         "op8_weighted_fingerprints": op8_weighted_fingerprints,
         "op10_mix_sources": op10_mix_sources,
