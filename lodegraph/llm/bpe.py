@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -228,13 +229,7 @@ class Encoder:
             rows.append(
                 np.fromiter([place.setdefault(w, len(place)) for w in words], dtype=np.int64, count=len(words))
             )
-        if len(place) > known:
-            new = [w.encode() for w in list(place)[known:]]
-            ids, counts = self.merges.replay(new)
-            base = len(self.ids)
-            self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
-            self.count = np.concatenate((self.count, counts))
-            self.start = np.concatenate((self.start, base + np.cumsum(counts) - counts))
+        self.learn(known)
         out = []
         for row in rows:
             c = self.count[row]
@@ -243,6 +238,17 @@ class Encoder:
             out.append(self.ids[shift + np.arange(total)])
         return out
 
+    def learn(self, known: int) -> None:
+        """Encode the pre-tokens behind the first ``known`` ones."""
+        if len(self.place) == known:
+            return
+        new = [w.encode() for w in islice(self.place, known, None)]
+        ids, counts = self.merges.replay(new)
+        base = len(self.ids)
+        self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
+        self.count = np.concatenate((self.count, counts))
+        self.start = np.concatenate((self.start, base + np.cumsum(counts) - counts))
+
     def decode(self, ids: np.ndarray) -> bytes:
         token = self.merges.token
         return b"".join([token[i] for i in ids.tolist()])

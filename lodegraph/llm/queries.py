@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import ann, bpe, minhash, mixing, pii, ring, token_file, weighted
+from lodegraph.llm import ann, bpe, edit_counts, minhash, mixing, pii, quality, ring, token_file, weighted
 from lodegraph.llm.common import table, workspace
 
 
+def op1_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text before and after three edits, by segment trees."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    return edit_counts.edited_counts(table(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN, edits=3)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose two-word shingle sets are alike by 0.8 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(words=2, alike=80))
@@ -32,6 +39,11 @@ def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by a sparse rule ensemble."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document when the sources are mixed by 5, 2, 1."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -61,12 +73,14 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_edit_counts": op1_edit_counts,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_sanitise": op3_sanitise,
         "op4_token_file": op4_token_file,
         "op6_nearest_vectors": op6_nearest_vectors,
         "op7_ring_shards": op7_ring_shards,
         "op8_weighted_fingerprints": op8_weighted_fingerprints,
+        "op9_quality": op9_quality,
         "op10_mix_sources": op10_mix_sources,
         "op5_bpe_roundtrip": op5_bpe_roundtrip,
     }
