@@ -238,5 +238,17 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     full = sketched.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     comp = F.coalesce("root", "id")
     return full.select(
-        F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), (comp == F.col("id")).alias("kept")
+        F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose component they represent, unchanged.
+
+    An id goes if one of its rows is like a document of smaller id; of repeated rows one stays.
+    """
+    found = settle(near_duplicates(docs, p, id_col, text_col), "members")
+    gone = found.where(~F.col("kept")).select(id_col).distinct()
+    rest = docs.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    again = found.where(f"`{id_col}` is not null").groupBy(id_col).count().where("count > 1")
+    return rest if again.isEmpty() else rest.dropDuplicates()

@@ -20,6 +20,7 @@ out by their size; repeated rows each have their own words; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,3 +206,64 @@ def mix(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
     return some.select(*cols).unionAll(none.select(*cols))
+
+
+_WORD = re.compile(WORDS)
+
+
+def pick(text: str, pieces: list[dict], most: int) -> list[str]:
+    """The texts that the mix takes of a document: one for each time it is used, of the words taken that time."""
+    out, spans = [], None
+    pieces = sorted(pieces, key=lambda x: x["lo"])
+    for k in range(most):
+        runs: list[list[int]] = []
+        for x in pieces:
+            if x["uses"] > k:
+                if runs and runs[-1][1] == x["lo"]:
+                    runs[-1][1] += x["n"]
+                else:
+                    runs.append([x["lo"], x["lo"] + x["n"]])
+        if not runs:
+            break
+        if spans is None:
+            spans = [m.span() for m in _WORD.finditer(text)]
+        whole = runs == [[0, len(spans)]]
+        out.append(text if whole else " ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return out
+
+
+def mixed(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+    """The mixture as rows of ``docs``: each document as often as it is used, with the words taken each time.
+
+    Documents without words are taken by none; repeated rows share the pieces of the first of them.
+    """
+    sizes = settle(sized(docs, id_col, text_col, source_col), "sizes")
+    sources = settle(targets(sizes, p), "sources")
+    laid = settle(laid_out(sizes, sources, p), "laid")
+    parts = taken_blocks(laid, block_uses(sources, p), p)
+    lists = parts.groupBy("id", "twin", "start").agg(F.collect_list(F.struct("lo", "n", "uses")).alias("pieces"))
+    lists = lists.groupBy("id", "twin").agg(F.min_by("pieces", "start").alias("pieces"))
+    lists = settle(lists.select(F.col("id").alias("id__"), F.col("twin").alias("twin__"), "pieces"), "pieces")
+    names = docs.columns
+    at = {c: names.index(c) for c in (text_col, *([length_col] if length_col in names else []))}
+    most = p.most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                rows, texts = [], []
+                for i, (t, x) in enumerate(zip(b.column(at[text_col]).to_pylist(), b.column(len(names)).to_pylist())):
+                    for new in pick(t, x, most):
+                        rows.append(i)
+                        texts.append(new)
+                take = pa.array(rows, pa.int64())
+                cols = [b.column(k).take(take) for k in range(len(names))]
+                cols[at[text_col]] = pa.array(texts, cols[at[text_col]].type)
+                if length_col in at:
+                    cols[at[length_col]] = pa.array([len(t) for t in texts], cols[at[length_col]].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    keyed = docs.join(lists, docs[id_col].eqNullSafe(lists["id__"]) & (F.xxhash64(docs[text_col]) == lists["twin__"]))
+    return keyed.select(*[docs[c] for c in names], "pieces").mapInArrow(run, fields)

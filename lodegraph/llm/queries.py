@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,7 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_edit_counts": op1_edit_counts,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_sanitise": op3_sanitise,
