@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodegraph.llm.common import settle
+from lodegraph.llm.common import settle, spread
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -163,7 +163,8 @@ def block_uses(sources: DataFrame, p: Params) -> DataFrame:
                 at = permuted(j % nb, np.full(len(j), nb), key[j // nb])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), num), pa.int32()), pa.array(at, pa.int64())], names=["number", "block"])
 
-    placed = slots_df.mapInArrow(place, "number int, block bigint")
+    # few rows stand for many slots, so they are dealt out before they unfold
+    placed = slots_df.repartition(spread(spark), "number", "first").mapInArrow(place, "number int, block bigint")
     return placed.groupBy("number", "block").agg(F.count("*").alias("uses"))
 
 
@@ -192,7 +193,8 @@ def taken_blocks(laid: DataFrame, uses: DataFrame, p: Params) -> DataFrame:
     parts = laid.where("size > 0").select("id", "twin", "number", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * p.block)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * p.block)
-    return parts.join(uses, ["number", "block"]).select("id", "twin", "number", "start", (lo - F.col("start")).alias("lo"), (hi - lo).alias("n"), "uses")
+    # the planner takes the unfolded slots for few rows: neither side has a bound, so neither is broadcast
+    return parts.join(uses.hint("merge"), ["number", "block"]).select("id", "twin", "number", "start", (lo - F.col("start")).alias("lo"), (hi - lo).alias("n"), "uses")
 
 
 def mix(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -202,7 +204,7 @@ def mix(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     laid = settle(laid_out(sizes, sources, p), "laid")
     # a row is known by its source and the place where its words start
     got = taken_blocks(laid, block_uses(sources, p), p).groupBy("number", "start").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
-    some = laid.where("size > 0").join(got, ["number", "start"], "left")
+    some = laid.where("size > 0").join(got.hint("merge"), ["number", "start"], "left")
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
     return some.select(*cols).unionAll(none.select(*cols))
