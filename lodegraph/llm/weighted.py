@@ -132,7 +132,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     more = F.struct(F.col("to").alias("part"), F.lit(True).alias("extra"))
     goes = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, more))
     dealt = src.select("id", "text", F.explode(goes).alias("g")).select("id", "text", "g.part", "g.extra")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", F.col("extra").asc(), F.col("id").desc_nulls_last(), "text")
+    # the range's number is the partition's: no two ranges meet in a task
+    return dealt.repartitionById(n + 1, F.col("part")).sortWithinPartitions("part", F.col("extra").asc(), F.col("id").desc_nulls_last(), "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
