@@ -112,36 +112,52 @@ def band_keys(sig: np.ndarray, p: Params) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, digest of the set, the set itself and its band keys."""
+    """id, n_shingles, digest of the set and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ns, digests, bands, off = [], [], [], [0]
+            for text in batch.column(1).to_pylist():
+                items = shingle_set(text, p.words)
+                ns.append(len(items))
+                digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
+                if len(items):
+                    bands.append(band_keys(signature(items, p), p))
+                off.append(off[-1] + p.bands * bool(len(items)))
+            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)],
+                names=["id", "n_shingles", "digest", "bands"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
+    """id, n, items (the whole set) of the ``wanted`` (id, digest); no other document's set is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ns, digests, sets, bands, set_off, band_off = [], [], [], [], [0], [0]
-                for text in part.column(1).to_pylist():
+                ids, sets, off = [], [], [0]
+                for key, text, digest in zip(*(c.to_pylist() for c in part.columns)):
                     items = shingle_set(text, p.words)
-                    ns.append(len(items))
-                    digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                    sets.append(items.view(np.int64))
-                    set_off.append(set_off[-1] + len(items))
-                    if len(items):
-                        bands.append(band_keys(signature(items, p), p))
-                    band_off.append(band_off[-1] + p.bands * bool(len(items)))
-                flat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
+                    if len(items) and xxhash.xxh3_128_digest(items.tobytes()) == digest:
+                        ids.append(key)
+                        sets.append(items.view(np.int64))
+                        off.append(off[-1] + len(items))
+                flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(set_off, pa.int32()), flat(sets)),
-                        pa.ListArray.from_arrays(pa.array(band_off, pa.int32()), flat(bands)),
-                    ],
-                    names=["id", "n_shingles", "digest", "items", "bands"],
+                    [pa.array(ids, part.column(0).type), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)],
+                    names=["id", "n", "items"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n_shingles bigint, digest binary, items array<bigint>, bands array<bigint>"
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")
+    return rows.select("id", "text", "digest").mapInArrow(run, f"id {kind}, n bigint, items array<bigint>")
 
 
 def components(links: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
@@ -188,24 +204,22 @@ def verify(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     )
 
 
-def link_classes(sketched: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, sketched: DataFrame, p: Params, id_col: str, text_col: str) -> tuple[DataFrame | None, DataFrame]:
     """(id, root) of the representatives that have links, and (digest, rep) of all classes."""
     reps = settle(sketched.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "reps")
-    first = sketched.where("digest is not null").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    # repeated rows of one id have one set each or differ in it: keep the row whose class it represents
-    first = first.join(reps.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest"])
-    first = settle(first.select(F.col("digest"), "id", "n_shingles", "items", "bands"), "firsts")
-    sets = first.select("id", "items")
-    rows = first.select("id", "n_shingles", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c > 1 and lo <> hi")
+    own = reps.select("digest", F.col("rep").alias("id"))
+    rows = sketched.select("digest", "id", "bands").join(own, ["digest", "id"], "left_semi").select("id", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     buckets = settle(rows.join(shared.select("band"), "band"), "buckets")
+    wanted = own.join(buckets.select("id").distinct(), "id", "left_semi")
+    sets = settle(full_sets(docs, wanted, p, id_col, text_col), "sets")
+    buckets = buckets.join(sets.select("id", "n"), "id")
     roots, links, hubs = None, None, 4
     while True:
-        state = buckets
-        if roots is not None:
-            state = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        else:
+        if roots is None:
             state = buckets.withColumn("root", F.col("id"))
+        else:
+            state = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         live = state.groupBy("band").agg(
             F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("id").alias("h0"), F.max("id").alias("h1"),
             *[F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id").alias("id"))).alias(f"x{k}") for k in range(2, hubs)],
@@ -213,28 +227,28 @@ def link_classes(sketched: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
         live = live.select("band", F.array_distinct(F.array("h0", "h1", *[F.col(f"x{k}.id") for k in range(2, hubs)])).alias("hubs"))
         work = settle(state.join(live, "band"), "work")
         if work.isEmpty():
-            break
-        pairs = work.select("id", "n_shingles", "root", F.explode("hubs").alias("hub")).where("hub <> id").distinct()
+            return roots, reps
+        pairs = work.select("id", "n", "root", F.explode("hubs").alias("hub")).where("hub <> id").distinct()
         sizes = work.where(F.array_contains("hubs", F.col("id"))).select(
-            F.col("id").alias("hub"), F.col("n_shingles").alias("hn"), F.col("root").alias("hroot")
+            F.col("id").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot")
         ).distinct()
-        ok = (F.least("n_shingles", "hn") * 100 >= F.greatest("n_shingles", "hn") * p.alike) & (F.col("root") != F.col("hroot"))
+        ok = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * p.alike) & (F.col("root") != F.col("hroot"))
         pairs = pairs.join(sizes, "hub").where(ok).select(F.least("id", "hub").alias("b"), F.greatest("id", "hub").alias("a")).distinct()
-        new = settle(verify(pairs, sets, p.alike), "links")
+        new = settle(verify(pairs, sets.select("id", "items"), p.alike), "links")
         links = new if links is None else links.unionAll(new)
         roots = settle(components(links), "roots")
-        buckets = settle(work.where(~F.array_contains("hubs", F.col("id"))).select("id", "n_shingles", "band"), "buckets")
+        buckets = settle(work.where(~F.array_contains("hubs", F.col("id"))).select("id", "n", "band"), "buckets")
         hubs = min(32, hubs * 2)
-    if roots is None:
-        roots = first.select("id", F.col("id").alias("root")).limit(0)
-    return roots, reps
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id, kept for every row."""
     sketched = settle(sketches(docs, p, id_col, text_col), "sketches")
-    roots, reps = link_classes(sketched, p)
-    classes = reps.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    roots, reps = link_classes(docs, sketched, p, id_col, text_col)
+    if roots is None:
+        classes = reps.select("digest", F.col("rep").alias("root"))
+    else:
+        classes = reps.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     full = sketched.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     comp = F.coalesce("root", "id")
     return full.select(
