@@ -24,7 +24,7 @@ def bm25(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str,
     document counts and the mean length come back as a single row."""
     terms = list(dict.fromkeys(query))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    tf = words.select("id", F.size("w").alias("dl"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    tf = words.select("id", F.size("w").alias("dl"), *[_count_in("w", t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
 
@@ -38,6 +38,10 @@ def bm25(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str,
     return ranked(scored.orderBy("score", "id").limit(k), F.col("score"))
 
 
+def _count_in(words: str, term: str):
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def ranked(top: DataFrame, order) -> DataFrame:
     """A short list with its places from 0 on."""
     return top.withColumn("rank", F.row_number().over(W.orderBy(order, "id")) - 1)

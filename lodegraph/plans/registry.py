@@ -2,10 +2,523 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodegraph.functions import expressions as X
+from lodegraph.operators import clones, evolution, graph, knowledge, search, structure
+from lodegraph.sources import views as V
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+# --- SQL of the views -------------------------------------------------------------------------
+
+CALLS = """SELECT DISTINCT from_id, to_id FROM (SELECT l_partkey AS from_id, l_quantity,
+ lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS to_id
+ FROM lineitem) WHERE l_quantity >= {least} AND from_id <> to_id"""
+E48, E40 = CALLS.format(least=48), CALLS.format(least=40)
+TEXT = """SELECT doc_id AS id, 'doc_' || doc_id AS name, 'module' AS kind, source AS file, lang AS language, text AS body, sha256(text) AS body_hash FROM documents"""
+ATT = """SELECT user_id AS id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS queries,
+ count(*) FILTER (event_type = 'purchase') AS annotations, max(ts) AS last_accessed FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id"""
+NOTES = """SELECT p_partkey AS id, p_partkey AS symbol_id, 0.8::DOUBLE AS confidence, CASE WHEN p_partkey % 5 = 0 THEN 'stale' ELSE 'active' END AS status,
+ CASE WHEN p_partkey % 2 = 0 THEN 'h' || p_partkey ELSE 'old' END AS full_hash_at FROM part WHERE p_partkey % 3 = 0"""
+DEG = "SELECT to_id AS id, count(*) AS callers FROM e GROUP BY to_id"
+WORDS = ("the", "and")
+BM25 = r"""w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM documents),
+ tf AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: x = 'and')) AS b FROM w),
+ st AS (SELECT count(*) AS n, avg(dl) AS g, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM tf),
+ sc AS (SELECT id, round(-(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / g))
+  + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / g))), 6) AS score FROM tf, st WHERE a > 0 AND b > 0),
+ bm AS (SELECT id, score, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM sc ORDER BY score, id LIMIT {k})"""
+COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+VEC = """q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
+ vs AS (SELECT vec_id AS id, round(""" + COS.format(a="embedding", b="qv") + """, 6) AS score FROM embeddings, q),
+ ve AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM vs ORDER BY score DESC, id LIMIT {k})"""
+HOT = "hot AS (SELECT p_partkey AS id, p_size::DOUBLE AS importance FROM part WHERE p_partkey % 50 = 0)"
+PROX = """e AS (""" + E48 + """), """ + HOT + """,
+ st1 AS (SELECT to_id AS at, from_id AS nxt, 'in' AS way FROM e UNION ALL SELECT from_id, to_id, 'out' FROM e),
+ one AS (SELECT hot.id AS seed, importance, nxt, way FROM hot JOIN st1 ON hot.id = st1.at),
+ two AS (SELECT seed, importance, st1.nxt, one.way FROM one JOIN st1 ON one.nxt = st1.at AND one.way = st1.way),
+ al AS (SELECT seed, importance, nxt, 1 AS d FROM one UNION ALL SELECT seed, importance, nxt, 2 FROM two),
+ px AS (SELECT nxt AS id, round(max(importance / (d + 1)), 6) AS score FROM al WHERE nxt <> seed GROUP BY nxt),
+ pr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM px ORDER BY score DESC, id LIMIT {k})"""
+REACH = """r AS (SELECT s.id AS seed, s.id AS id, 0 AS depth FROM seeds s UNION SELECT r.seed, e.{next}, r.depth + 1 FROM r JOIN e ON e.{at} = r.id WHERE r.depth < {depth})"""
+V1 = """o AS (SELECT doc_id AS id, source AS file, 'doc_' || doc_id AS name, text AS body, doc_id AS pos, sha256(text) AS full_hash, sha256(text) AS body_hash FROM documents)"""
+V2 = V1 + """, n0 AS (SELECT id, file, name, CASE WHEN id % 10 = 1 THEN body || ' edited' ELSE body END AS body, pos FROM o WHERE id % 10 <> 0
+ UNION ALL SELECT id + 1000000000, file, name || '_new', body, id + 1000000000 FROM o WHERE id % 10 = 2),
+ n AS (SELECT id, CASE WHEN file = 'src3' THEN 'src3_moved' ELSE file END AS file, name, body, pos, sha256(body) AS full_hash, sha256(body) AS body_hash FROM n0)"""
+CH = """(SELECT file, sha256(string_agg(full_hash, '' ORDER BY pos, full_hash)) AS content_hash FROM {t} GROUP BY file)"""
+
+
+# --- lookups and aggregates ---------------------------------------------------------------------
+
+@query(f"""WITH e AS ({E48}) SELECT (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT p_brand) FROM part) AS files""")
+def stats(spark, d):
+    s = V.part_symbols(spark, d).agg(F.count("*").alias("symbols"), F.count_distinct("file").alias("files"))
+    return s.crossJoin(V.calls(spark, d).agg(F.count("*").alias("edges"))).select("symbols", "edges", "files")  # one row each
+
+
+@query("SELECT lang AS language, count(*) AS n FROM documents GROUP BY lang")
+def language_breakdown(spark, d):
+    return V.text_symbols(spark, d).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand AS file FROM part WHERE p_partkey = 7 OR p_name = (SELECT p_name FROM part WHERE p_partkey = 7)")
+def symbol_lookup(spark, d):
+    s = V.part_symbols(spark, d).select("id", "name", "kind", "file")
+    return s.join(F.broadcast(s.where("id = 7").select("name").limit(1)), "name", "left_semi")
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_type AS kind FROM part WHERE p_brand = 'Brand#11'")
+def file_summary(spark, d):
+    return V.part_symbols(spark, d).where(F.col("file") == "Brand#11").select("id", "name", "kind").orderBy("id")
+
+
+@query("SELECT p_brand AS file, count(*) AS symbols, sum(p_size)::BIGINT AS complexity, max(p_size)::BIGINT AS most_complex FROM part WHERE contains(p_brand, '#1') GROUP BY p_brand")
+def module_context(spark, d):
+    s = V.part_symbols(spark, d).where(F.col("file").contains("#1"))
+    return s.groupBy("file").agg(F.count("*").alias("symbols"), F.sum("complexity").alias("complexity"), F.max("complexity").alias("most_complex"))
+
+
+@query("SELECT p_type AS topic, count(*) AS n FROM part GROUP BY p_type")
+def topics(spark, d):
+    return V.part_symbols(spark, d).groupBy(F.col("kind").alias("topic")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS ({TEXT}) SELECT id, sha256(file || ':' || name || ':' || kind) AS symbol_id, sha256(name || ':' || kind || ':' || body_hash) AS canonical_id,
+ body_hash, sha256(name || ':' || body || ':') AS full_hash FROM s""")
+def identity_hashes(spark, d):
+    s = V.text_symbols(spark, d)
+    return s.select("id", X.symbol_id(F.col("file"), F.col("name"), F.col("kind")).alias("symbol_id"), X.canonical_id(F.col("name"), F.col("kind"), F.col("body_hash")).alias("canonical_id"), "body_hash", X.full_hash(F.col("name"), F.col("body"), F.lit(None).cast("string")).alias("full_hash"))
+
+
+@query(f"WITH {V1} SELECT * FROM {CH.format(t='o')}")
+def content_hash(spark, d):
+    return evolution.content_hash(V.versions(spark, d)[0])
+
+
+@query(f"""WITH s AS ({TEXT}) SELECT id, sha256(CASE WHEN strlen(body) < 200 THEN name || ' ' || body ELSE name END) AS text_hash FROM s""")
+def fts_document_text(spark, d):
+    s = V.text_symbols(spark, d)
+    return s.select("id", F.sha2(X.index_text(F.col("kind"), F.col("name"), F.col("body")), 256).alias("text_hash"))
+
+
+@query(f"""WITH e AS ({E48}), c AS (SELECT to_id AS id, list(from_id::VARCHAR ORDER BY from_id) AS l FROM e GROUP BY 1), u AS (SELECT from_id AS id, list(to_id::VARCHAR ORDER BY to_id) AS l FROM e GROUP BY 1)
+ SELECT p_partkey AS id, p_type || ' ' || p_name || ' in ' || p_brand || chr(10) || p_name || coalesce(chr(10) || 'called by: ' || array_to_string(c.l, ', '), '') || coalesce(chr(10) || 'uses: ' || array_to_string(u.l, ', '), '') AS text
+ FROM part LEFT JOIN c ON c.id = p_partkey LEFT JOIN u ON u.id = p_partkey""")
+def embedding_text(spark, d):
+    e = V.calls(spark, d)
+    near = lambda key, other, name: e.groupBy(F.col(key).alias("id")).agg(F.transform(F.array_sort(F.collect_list(other)), lambda x: x.cast("string")).alias(name))
+    s = V.part_symbols(spark, d).join(near("to_id", "from_id", "callers"), "id", "left").join(near("from_id", "to_id", "uses"), "id", "left")
+    return s.select("id", X.embedding_text(F.col("kind"), F.col("name"), F.array("file", "name"), F.col("name"), F.lit(None).cast("string"), F.col("callers"), F.col("uses")).alias("text"))
+
+
+@query(r"""SELECT doc_id AS id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g'))::BIGINT AS visible FROM documents""")
+def token_estimate(spark, d):
+    s = V.text_symbols(spark, d)
+    return s.select("id", X.token_estimate(F.col("body")).alias("tokens"), X.visible_chars(F.col("body")).cast("bigint").alias("visible"))
+
+
+# --- search -----------------------------------------------------------------------------------------
+
+@query("WITH " + BM25.format(k=10) + " SELECT id, score, rank FROM bm")
+def bm25_search(spark, d):
+    return search.bm25(V.table(spark, d, "documents"), list(WORDS), 10, "doc_id", "text")
+
+
+@query(r"""SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents) GROUP BY t""")
+def postings_summary(spark, d):
+    return search.postings(V.table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _query_vector(spark, d) -> DataFrame:
+    return V.table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
+
+
+@query("WITH " + VEC.format(k=10) + " SELECT id, score, rank FROM ve")
+def vector_topk(spark, d):
+    return search.vector_top_k(V.table(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id", "embedding")
+
+
+@query("WITH " + PROX.format(k=30) + " SELECT id, score, rank FROM pr")
+def graph_proximity(spark, d):
+    hot = V.part_symbols(spark, d).where("id % 50 = 0").select("id", F.col("complexity").cast("double").alias("importance"))
+    return search.proximity(V.calls(spark, d), hot, 30)
+
+
+RRF = """fu AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM ({u}) GROUP BY id),
+ fr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM fu ORDER BY score DESC, id LIMIT {k})"""
+
+
+@query("WITH " + BM25.format(k=30) + ", " + VEC.format(k=30) + ", " + RRF.format(u="SELECT id, rank FROM bm UNION ALL SELECT id, rank FROM ve", k=10) + " SELECT id, score, rank FROM fr")
+def rrf_fuse(spark, d):
+    a = search.bm25(V.table(spark, d, "documents"), list(WORDS), 30, "doc_id", "text")
+    b = search.vector_top_k(V.table(spark, d, "embeddings"), _query_vector(spark, d), 30, "vec_id", "embedding")
+    return search.rrf([a, b], 10)
+
+
+@query("WITH " + BM25.format(k=30) + ", " + VEC.format(k=30) + ", " + PROX.format(k=30) + ", " + RRF.format(u="SELECT id, rank FROM bm UNION ALL SELECT id, rank FROM ve UNION ALL SELECT id, rank FROM pr", k=10) + " SELECT id, score, rank FROM fr")
+def hybrid_search(spark, d):
+    a = search.bm25(V.table(spark, d, "documents"), list(WORDS), 30, "doc_id", "text")
+    b = search.vector_top_k(V.table(spark, d, "embeddings"), _query_vector(spark, d), 30, "vec_id", "embedding")
+    return search.rrf([a, b, graph_proximity(spark, d)], 10)
+
+
+GOLD = """g AS (SELECT doc_id AS id, quality + toxic AS grade, 'q' AS query FROM labels)"""
+
+
+def _metric_inputs(spark, d):
+    found = search.bm25(V.table(spark, d, "documents"), list(WORDS), 10, "doc_id", "text").withColumn("query", F.lit("q"))
+    gold = V.table(spark, d, "labels").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"), (F.col("quality") + F.col("toxic")).alias("grade"))
+    return structure.metrics(found, gold, 10)
+
+
+METRICS = "WITH " + BM25.format(k=10) + ", " + GOLD + """, h AS (SELECT max(1.0::DOUBLE / (rank + 1)) AS rr, count(*) AS hits, sum((2.0::DOUBLE ** grade - 1) / log2(rank + 2)) AS dcg FROM bm JOIN g USING (id) WHERE grade > 0),
+ b AS (SELECT count(*) AS total, sum(CASE WHEN place < 10 THEN (2.0::DOUBLE ** grade - 1) / log2(place + 2) ELSE 0 END) AS ideal FROM (SELECT grade, row_number() OVER (ORDER BY grade DESC, id) - 1 AS place FROM g WHERE grade > 0))
+ SELECT 'q' AS query, """
+
+
+@query(METRICS + "round(coalesce(rr, 0), 6) AS mrr FROM h, b")
+def mrr(spark, d):
+    return _metric_inputs(spark, d).select("query", "mrr")
+
+
+@query(METRICS + "round(coalesce(hits / 10.0::DOUBLE, 0), 6) AS precision, round(coalesce(hits::DOUBLE / total, 0), 6) AS recall FROM h, b")
+def precision_recall_at_k(spark, d):
+    return _metric_inputs(spark, d).select("query", "precision", "recall")
+
+
+@query(METRICS + "round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM h, b")
+def ndcg(spark, d):
+    return _metric_inputs(spark, d).select("query", "ndcg")
+
+
+# --- graph -------------------------------------------------------------------------------------------
+
+def _seeds(spark, d, every: int = 40) -> DataFrame:
+    return V.part_symbols(spark, d).where(F.col("id") % every == 0).select("id")
+
+
+SEEDS = "seeds AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 40 = 0)"
+MINR = "SELECT seed, id, min(depth) AS depth FROM r WHERE id <> seed GROUP BY seed, id"
+
+
+@query(f"WITH RECURSIVE e AS ({E48}), {SEEDS}, {REACH.format(next='from_id', at='to_id', depth=3)} {MINR}")
+def find_callers(spark, d):
+    return graph.reach(V.calls(spark, d), _seeds(spark, d), 3, True)
+
+
+@query(f"WITH RECURSIVE e AS ({E48}), {SEEDS}, {REACH.format(next='to_id', at='from_id', depth=3)} {MINR}")
+def find_dependencies(spark, d):
+    return graph.reach(V.calls(spark, d), _seeds(spark, d), 3, False)
+
+
+@query(f"""WITH RECURSIVE e AS ({E48}), {SEEDS}, {REACH.format(next='from_id', at='to_id', depth=2)},
+ {REACH.format(next='to_id', at='from_id', depth=2).replace('r AS', 'r2 AS').replace('r.', 'r2.').replace('FROM r JOIN', 'FROM r2 JOIN')}
+ SELECT seed, id, min(depth) AS depth, 'caller' AS direction FROM r WHERE id <> seed GROUP BY seed, id
+ UNION ALL SELECT seed, id, min(depth), 'dependency' FROM r2 WHERE id <> seed GROUP BY seed, id""")
+def trace(spark, d):
+    return graph.trace(V.calls(spark, d), _seeds(spark, d), 2)
+
+
+@query(f"WITH e AS ({E48}) SELECT to_id AS id, from_id AS caller FROM e WHERE to_id % 10 = 0")
+def direct_callers(spark, d):
+    return V.calls(spark, d).where("to_id % 10 = 0").select(F.col("to_id").alias("id"), F.col("from_id").alias("caller"))
+
+
+@query(f"WITH e AS ({E40}) SELECT * FROM ({DEG}) WHERE callers > 10")
+def god_nodes(spark, d):
+    return knowledge.god_nodes(V.calls(spark, d, 40), 10)
+
+
+@query(f"""WITH e AS ({E40}) SELECT 'god_node' AS insight_type, id AS symbol_id, 'symbol has ' || callers || ' callers' AS content, 0.7::DOUBLE AS confidence, 'active' AS status FROM ({DEG}) WHERE callers > 10""")
+def insights(spark, d):
+    return knowledge.insights(V.calls(spark, d, 40), 10)
+
+
+RISK = f"""WITH e AS ({E48}), a AS ({NOTES}), s AS (SELECT symbol_id AS id, count(*) AS stale FROM a WHERE status = 'stale' GROUP BY 1),
+ k AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file, p_size::BIGINT AS complexity, coalesce(callers, 0) AS callers, coalesce(stale, 0) AS stale
+ FROM part LEFT JOIN ({DEG}) c ON c.id = p_partkey LEFT JOIN s ON s.id = p_partkey), r AS (SELECT *, ((1 + complexity) * (1 + callers) * (1 + stale))::DOUBLE AS risk FROM k)"""
+
+
+def _risk(spark, d):
+    stale = V.part_annotations(spark, d).where("status = 'stale'")
+    return graph.risk(V.part_symbols(spark, d), V.calls(spark, d), stale)
+
+
+@query(RISK + " SELECT id, callers, stale, risk FROM r")
+def risk_score(spark, d):
+    return _risk(spark, d).select("id", "callers", "stale", "risk")
+
+
+@query(RISK + " SELECT id, name, risk * callers AS heat FROM r WHERE callers > 0 ORDER BY heat DESC, id LIMIT 15")
+def hot_path(spark, d):
+    return _risk(spark, d).where("callers > 0").select("id", "name", (F.col("risk") * F.col("callers")).alias("heat")).orderBy(F.desc("heat"), "id").limit(15)
+
+
+@query(RISK + " SELECT file, sum(callers)::BIGINT AS callers, max(risk) AS most_risk, sum(stale)::BIGINT AS stale, list_slice(list(name ORDER BY id), 1, 3) AS names FROM r GROUP BY file")
+def file_rollup(spark, d):
+    # the three first names of a file are found by a bounded aggregate, not by collecting the file
+    from pyspark.sql import Window as W
+
+    r = _risk(spark, d)
+    top = r.withColumn("n", F.row_number().over(W.partitionBy("file").orderBy("id"))).where("n <= 3").groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("names"))
+    return r.groupBy("file").agg(F.sum("callers").alias("callers"), F.max("risk").alias("most_risk"), F.sum("stale").alias("stale")).join(top, "file")
+
+
+@query(RISK + " SELECT id, name, callers, stale FROM r ORDER BY callers DESC, id LIMIT 10")
+def codebase_report(spark, d):
+    return _risk(spark, d).select("id", "name", "callers", "stale").orderBy(F.desc("callers"), "id").limit(10)
+
+
+UNSEEN = f"WITH e AS ({E40}), seen AS ({ATT}) SELECT p_partkey AS id, coalesce(callers, 0) AS callers FROM part LEFT JOIN ({DEG}) c ON c.id = p_partkey WHERE p_partkey NOT IN (SELECT id FROM seen) AND coalesce(callers, 0) > {{n}} ORDER BY callers DESC, id LIMIT {{k}}"
+
+
+def _unseen(spark, d, n, k):
+    seen = V.attention_events(spark, d).select("id").distinct()
+    return graph.unexplored(V.part_symbols(spark, d).select("id"), V.calls(spark, d, 40), seen, n, k)
+
+
+@query(UNSEEN.format(n=3, k=20))
+def blind_spots(spark, d):
+    return _unseen(spark, d, 3, 20)
+
+
+@query(UNSEEN.format(n=-1, k=10))
+def suggest_next(spark, d):
+    return _unseen(spark, d, -1, 10)
+
+
+@query()
+def communities(spark, d):
+    e = V.calls(spark, d)
+    members = graph.communities(e)
+    return graph.cohesion(members, e)
+
+
+# --- attention, clones, notes -------------------------------------------------------------------------
+
+@query(f"SELECT *, (views + 2 * queries + 3 * annotations)::DOUBLE AS importance FROM ({ATT})")
+def attention_map(spark, d):
+    return knowledge.attention(V.attention_events(spark, d))
+
+
+@query(f"SELECT id, (views + 2 * queries + 3 * annotations)::DOUBLE AS importance FROM ({ATT}) ORDER BY importance DESC, id LIMIT 20")
+def hot_symbols(spark, d):
+    return knowledge.attention(V.attention_events(spark, d)).where("importance > 0").select("id", "importance").orderBy(F.desc("importance"), "id").limit(20)
+
+
+@query(f"""WITH s AS ({TEXT}) SELECT body_hash, count(*) AS members, count(DISTINCT file) AS files, min(id) AS first_id FROM s GROUP BY body_hash HAVING count(DISTINCT file) > 1""")
+def exact_clones(spark, d):
+    return clones.exact_groups(V.text_symbols(spark, d))
+
+
+@query(f"""WITH s AS ({TEXT}), f AS (SELECT body_hash, min(id) AS first_id, arg_min(file, id) AS ff FROM s GROUP BY body_hash) SELECT first_id, id FROM s JOIN f USING (body_hash) WHERE id > first_id AND file <> ff""")
+def exact_clone_members(spark, d):
+    return clones.exact_pairs(V.text_symbols(spark, d))
+
+
+def _vectors(spark, d):
+    return V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("file"), F.col("embedding").alias("v"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(""" + COS.format(a="a.embedding", b="b.embedding") + """, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE round(""" + COS.format(a="a.embedding", b="b.embedding") + """, 6) >= 0.4""")
+def near_clones(spark, d):
+    return clones.near_pairs(_vectors(spark, d), 0.4)
+
+
+@query("""WITH me AS (SELECT sha256(text) AS h, source AS f FROM documents WHERE doc_id = 11), ex AS (SELECT doc_id AS id, 1.0::DOUBLE AS score, 'Exact' AS clone_type FROM documents, me WHERE sha256(text) = h AND source <> f AND doc_id <> 11),
+ q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 11), ne AS (SELECT vec_id AS id, round(""" + COS.format(a="embedding", b="qv") + """, 6) AS score, 'Near' AS clone_type FROM embeddings, q WHERE vec_id <> 11)
+ SELECT * FROM (SELECT * FROM ex UNION ALL SELECT * FROM ne WHERE score >= 0.2 AND id NOT IN (SELECT id FROM ex)) ORDER BY score DESC, id LIMIT 10""")
+def similar_to(spark, d):
+    return clones.similar_to(V.text_symbols(spark, d), _vectors(spark, d), 11, 0.2, 10)
+
+
+PAIRS = (("and", "by"), ("and", "der"))
+
+
+@query("""WITH n AS (SELECT conv_id * 1000 + turn AS id, conv_id AS symbol_id, lower(text) AS t FROM conversations), p(n, first, second) AS (VALUES (0, 'and', 'by'), (1, 'and', 'der')),
+ m AS (SELECT a.symbol_id, a.id AS a, b.id AS b, p.n, first, second FROM n a JOIN n b ON a.symbol_id = b.symbol_id AND a.id < b.id, p
+ WHERE (contains(a.t, first) AND contains(b.t, second)) OR (contains(a.t, second) AND contains(b.t, first)))
+ SELECT symbol_id, a, b, arg_min(first, n) AS first, arg_min(second, n) AS second FROM m GROUP BY symbol_id, a, b""")
+def contradictions(spark, d):
+    return knowledge.contradictions(spark, V.notes(spark, d), PAIRS)
+
+
+def _cascade(spark, d):
+    changed = V.part_symbols(spark, d).where("id % 97 = 0").select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("full_hash"))
+    return knowledge.cascade(V.calls(spark, d), V.part_annotations(spark, d), changed)
+
+
+CASC = f"""WITH RECURSIVE e AS ({E48}), a AS ({NOTES}), seeds AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 97 = 0), {REACH.format(next='from_id', at='to_id', depth=5)},
+ far AS (SELECT seed, id, min(depth) AS depth FROM r WHERE id <> seed GROUP BY seed, id), rd AS (SELECT *, 0.3::DOUBLE * 0.5::DOUBLE ** (depth - 1) AS reduction FROM far)"""
+
+
+@query(CASC + """, l AS (SELECT id AS symbol_id, sum(reduction) AS loss FROM rd GROUP BY id),
+ h AS (SELECT a.*, CASE WHEN s.id IS NULL THEN NULL ELSE 'h' || a.symbol_id END AS fh FROM a LEFT JOIN seeds s ON s.id = a.symbol_id),
+ g AS (SELECT id, symbol_id, full_hash_at, CASE WHEN fh = full_hash_at AND status = 'stale' THEN 'revert_reactivation' WHEN fh <> full_hash_at AND status = 'active' THEN 'direct_staleness' END AS direct, confidence, status FROM h)
+ SELECT g.id, symbol_id, round(greatest(0, CASE WHEN direct = 'revert_reactivation' THEN 1.0::DOUBLE ELSE confidence END - coalesce(loss, 0)), 6) AS confidence,
+ CASE direct WHEN 'revert_reactivation' THEN 'active' WHEN 'direct_staleness' THEN 'stale' ELSE status END AS status, full_hash_at, direct FROM g LEFT JOIN l USING (symbol_id)""")
+def cascade(spark, d):
+    return _cascade(spark, d)[0]
+
+
+@query(CASC + " SELECT seed AS trigger_symbol, a.symbol_id AS affected_symbol, a.id AS annotation_id, depth AS distance, round(reduction, 6) AS reduction FROM rd JOIN a ON a.symbol_id = rd.id")
+def cascade_log(spark, d):
+    return _cascade(spark, d)[1]
+
+
+@query(f"""SELECT id, CASE WHEN id % 6 = 0 THEN 1.0::DOUBLE WHEN id % 9 = 0 THEN round(greatest(0, confidence - 0.2), 6) ELSE confidence END AS confidence, CASE WHEN id % 6 = 0 THEN 'active' ELSE status END AS status FROM ({NOTES})""")
+def annotation_votes(spark, d):
+    a = V.part_annotations(spark, d)
+    up = F.col("id") % 6 == 0
+    lower = F.round(F.greatest(F.lit(0.0), F.col("confidence") - 0.2), 6)
+    return a.select("id", F.when(up, 1.0).when(F.col("id") % 9 == 0, lower).otherwise(F.col("confidence")).alias("confidence"), F.when(up, "active").otherwise(F.col("status")).alias("status"))
+
+
+# --- versions -------------------------------------------------------------------------------------------
+
+@query(f"WITH {V2} SELECT n.id, n.body_hash FROM n LEFT JOIN o USING (id) WHERE o.id IS NULL OR o.body_hash <> n.body_hash")
+def stale_embeddings(spark, d):
+    old, new = V.versions(spark, d)
+    return evolution.stale_embeddings(new, old.select(F.col("id").alias("symbol_id"), "body_hash"))
+
+
+@query(f"""WITH {V2} SELECT coalesce(o.file, n.file) AS file, coalesce(o.name, n.name) AS name, o.full_hash AS old_full_hash, n.full_hash AS new_full_hash,
+ CASE WHEN o.file IS NULL THEN 'created' WHEN n.file IS NULL THEN 'deleted' ELSE 'modified' END AS change_type
+ FROM o FULL JOIN n ON o.file = n.file AND o.name = n.name WHERE o.file IS NULL OR n.file IS NULL OR o.full_hash <> n.full_hash""")
+def evolution_diff(spark, d):
+    old, new = V.versions(spark, d)
+    return evolution.diff(old, new).select("file", "name", "old_full_hash", "new_full_hash", "change_type")
+
+
+@query(f"""WITH {V2}, g AS (SELECT DISTINCT file AS old_file, body_hash FROM o WHERE file NOT IN (SELECT file FROM n)), c AS (SELECT DISTINCT file AS new_file, body_hash FROM n WHERE file NOT IN (SELECT file FROM o)),
+ m AS (SELECT old_file, new_file, count(*) AS matches FROM g JOIN c USING (body_hash) GROUP BY 1, 2), t AS (SELECT old_file, count(*) AS total FROM g GROUP BY 1)
+ SELECT old_file, min(new_file) AS new_file, arg_min(matches, new_file) AS matches FROM m JOIN t USING (old_file) WHERE 2 * matches >= total GROUP BY old_file""")
+def renames(spark, d):
+    return evolution.renames(*V.versions(spark, d))
+
+
+@query(f"WITH {V1} SELECT 'main' AS branch_name, id, full_hash FROM o")
+def branch_snapshot(spark, d):
+    return evolution.snapshot(V.versions(spark, d)[0], "main")
+
+
+SYNC = f"""WITH {V2}, ho AS {CH.format(t='o')}, hn AS {CH.format(t='n')}, ch AS (SELECT hn.file FROM hn LEFT JOIN ho USING (file) WHERE ho.file IS NULL OR ho.content_hash <> hn.content_hash)"""
+
+
+@query(SYNC + " SELECT id, file, full_hash FROM o WHERE file NOT IN (SELECT file FROM ch) UNION ALL SELECT id, file, full_hash FROM n WHERE file IN (SELECT file FROM ch)")
+def incremental_sync(spark, d):
+    old, new = V.versions(spark, d)
+    return evolution.sync(old, new, evolution.content_hash(old))[0].select("id", "file", "full_hash")
+
+
+@query(f"WITH {V2} SELECT id, file FROM o WHERE file IN (SELECT file FROM n)")
+def gc_files(spark, d):
+    old, new = V.versions(spark, d)
+    return evolution.collect_garbage(old, new).select("id", "file")
+
+
+@query("SELECT o_orderpriority AS file, o_custkey AS author, count(*) AS commits, max(o_orderdate) AS last_touched FROM orders GROUP BY 1, 2")
+def ownership(spark, d):
+    return evolution.ownership(V.commits(spark, d))
+
+
+@query("""SELECT file, author, committed_at, hash FROM (SELECT o_orderpriority AS file, o_custkey AS author, o_orderdate AS committed_at, o_orderkey AS hash,
+ row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 50""")
+def file_history(spark, d):
+    return evolution.history(V.commits(spark, d), 50).select("file", "author", F.col("at").alias("committed_at"), "hash")
+
+
+@query("SELECT o_custkey AS author, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS hash FROM orders GROUP BY 1")
+def latest_hash(spark, d):
+    rows = V.commits(spark, d).withColumn("at", F.struct("at", "hash"))
+    return evolution.latest(rows, "author", "at", "hash")
+
+
+# --- structure ---------------------------------------------------------------------------------------------
+
+SPANS = """sp AS (SELECT conv_id AS file, turn AS id, turn AS pos, (turn % 4) * 10 AS line_start, (turn % 4) * 10 + 40 - (turn % 7) * 5 AS line_end FROM conversations)"""
+PARENT = """pa AS (SELECT file, id, arg_min(pid, (w, ppos)) AS parent_id FROM (SELECT s.file, s.id, p.id AS pid, p.line_end - p.line_start AS w, p.pos AS ppos FROM sp s JOIN sp p ON s.file = p.file AND p.id <> s.id
+ AND p.line_start <= s.line_start AND p.line_end >= s.line_end AND NOT (p.line_start = s.line_start AND p.line_end = s.line_end AND p.pos > s.pos)) GROUP BY file, id),
+ pp AS (SELECT sp.file, sp.id, parent_id FROM sp LEFT JOIN pa USING (file, id))"""
+
+
+def _spans(spark, d):
+    t = F.col("turn")
+    c = V.table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("file"), t.alias("id"), t.alias("pos"), ((t % 4) * 10).alias("line_start"), ((t % 4) * 10 + 40 - (t % 7) * 5).alias("line_end"))
+
+
+@query(f"WITH {SPANS}, {PARENT} SELECT file, id, parent_id FROM pp")
+def scope_parent(spark, d):
+    return structure.scope_parents(_spans(spark, d))
+
+
+@query(f"""WITH RECURSIVE {SPANS}, {PARENT}, ch AS (SELECT file, id, [id] AS chain, parent_id AS nxt FROM pp UNION ALL SELECT ch.file, ch.id, list_prepend(ch.nxt, ch.chain), pp.parent_id FROM ch JOIN pp ON pp.file = ch.file AND pp.id = ch.nxt WHERE len(chain) < 9)
+ SELECT file, id, arg_max(chain, len(chain)) AS chain FROM ch GROUP BY file, id""")
+def scope_chain(spark, d):
+    return structure.scope_chains(structure.scope_parents(_spans(spark, d)))
+
+
+MD = r"""tx AS (SELECT page_id AS file, regexp_replace(html, '<h[12][^>]*>', chr(10) || '# ', 'g') AS text FROM pages), li AS (SELECT file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM tx),
+ hd AS (SELECT *, regexp_extract(trim(line, ' '), '^(#{1,6})\s*([^#\s].*)$', 2) AS title FROM li), se AS (SELECT *, sum((title <> '')::INT) OVER (PARTITION BY file ORDER BY pos) AS section FROM hd)"""
+
+
+@query("WITH " + MD + " SELECT file, section::BIGINT AS section, arg_min(title, pos) AS title, min(pos) + 1 AS line_start, max(pos) + 1 AS line_end, sha256(substring(string_agg(line, chr(10) ORDER BY pos), 1, 500)) AS doc_hash FROM se WHERE section > 0 GROUP BY file, section")
+def markdown_sections(spark, d):
+    p = V.table(spark, d, "pages").select(F.col("page_id").alias("file"), F.regexp_replace("html", "<h[12][^>]*>", "\n# ").alias("text"))
+    s = structure.sections(p)
+    return s.select("file", "section", "title", F.col("line_start").cast("bigint").alias("line_start"), F.col("line_end").cast("bigint").alias("line_end"), F.sha2("docstring", 256).alias("doc_hash"))
+
+
+@query()
+def chunks(spark, d):
+    return structure.chunks(V.text_symbols(spark, d).select("id", "body", F.lit(1).alias("line_start")))
+
+
+@query()
+def context_batch(spark, d):
+    s = V.text_symbols(spark, d).select("file", F.struct(F.col("id").alias("pos"), "id", (F.octet_length("body") / 4).cast("bigint").alias("tokens")).alias("x"))
+    got = s.groupBy("file").agg(structure.packed(F.collect_list("x"), 4000).alias("p"))
+    return got.select("file", F.col("p.used").alias("used"), F.col("p.ids").alias("ids"))
+
+
+@query("""SELECT min(ts) AS first_at, max(ts) AS last_at, count(*) AS changes, count(DISTINCT user_id) AS paths FROM
+ (SELECT ts, user_id, sum(gap) OVER (ORDER BY ts, event_id) AS s FROM (SELECT ts, user_id, event_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, event_id) < INTERVAL 300 SECOND THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY s""")
+def debounce_batches(spark, d):
+    from lodegraph.streaming.watch import batches
+
+    ev = V.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("path"))
+    return batches(ev, "300 seconds").select(F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "changes", "paths")
+
+
+@query()
+def parse_symbols(spark, d):
+    from lodegraph.sources.parse import parse
+
+    rows = V.part_symbols(spark, d).select(F.concat_ws("/", "file", F.concat("name", F.col("id").cast("string"), F.lit(".py"))).alias("path"), F.lit("python").alias("language"), F.format_string("class C%d:\n    def run(self):\n        return helper()\n\ndef helper():\n    return %d\n", "id", "complexity").alias("content"))
+    return parse(rows).select("file", "name", "kind", "line_start", "line_end")
