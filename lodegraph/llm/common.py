@@ -36,7 +36,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete settled tables that no later plan reads."""
+    for t in tables:
+        if (at := getattr(t, "settled_at", None)) is not None:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

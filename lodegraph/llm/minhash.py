@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import settle
+from lodegraph.llm.common import discard, settle
 
 UNIVERSE_BITS = 20
 
@@ -174,11 +174,13 @@ def components(links: DataFrame, name: str = "components", most: int = 60) -> Da
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = settle(large, name)
+        discard(edges)
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         )
         edges = settle(small.where("a <> b").distinct(), name)
+        discard(large)
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).head()
         if (row[0], row[1]) == before and row[0] == row[2]:
             break
@@ -214,33 +216,36 @@ def link_classes(docs: DataFrame, sketched: DataFrame, p: Params, id_col: str, t
     buckets = settle(rows.join(shared.select("band"), "band"), "buckets")
     wanted = own.join(buckets.select("id").distinct(), "id", "left_semi")
     sets = settle(full_sets(docs, wanted, p, id_col, text_col), "sets")
-    buckets = buckets.join(sets.select("id", "n"), "id")
-    roots, links, hubs = None, None, 4
+    shared_buckets, buckets = buckets, buckets.join(sets.select("id", "n"), "id")
+    roots, links, hubs = None, None, 1
     while True:
         if roots is None:
             state = buckets.withColumn("root", F.col("id"))
         else:
             state = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # the first hub of a bucket is its least id, the others come by hash: a large component, which
+        # most likely holds one, then meets the rest of the bucket before the rest is compared within itself
+        hub = F.struct("id", "n", "root")
         live = state.groupBy("band").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("id").alias("h0"), F.max("id").alias("h1"),
-            # every component of a bucket has the same chance of a hub, however many members it has
-            *[F.min(F.struct(F.xxhash64("root", F.lit(k)), F.xxhash64("id", F.lit(k)), F.col("id").alias("id"))).alias(f"x{k}") for k in range(2, hubs)],
+            F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(hub).alias("x0"),
+            *[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), hub.alias("x"))).alias(f"x{k}") for k in range(1, hubs)],
         ).where("r0 <> r1")
-        live = live.select("band", F.array_distinct(F.array("h0", "h1", *[F.col(f"x{k}.id") for k in range(2, hubs)])).alias("hubs"))
+        live = live.select("band", F.array_distinct(F.array("x0", *[F.col(f"x{k}.x") for k in range(1, hubs)])).alias("hubs"))
         work = settle(state.join(live, "band"), "work")
+        discard(shared_buckets if roots is None else buckets)
         if work.isEmpty():
+            discard(work)
             return roots, reps
-        pairs = work.select("id", "n", "root", F.explode("hubs").alias("hub")).where("hub <> id").distinct()
-        sizes = work.where(F.array_contains("hubs", F.col("id"))).select(
-            F.col("id").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hroot")
-        ).distinct()
-        ok = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * p.alike) & (F.col("root") != F.col("hroot"))
-        pairs = pairs.join(sizes, "hub").where(ok).select(F.least("id", "hub").alias("b"), F.greatest("id", "hub").alias("a")).distinct()
+        near = lambda h: (h["root"] != F.col("root")) & (F.least("n", h["n"]) * 100 >= F.greatest("n", h["n"]) * p.alike)
+        pairs = work.select("id", F.explode(F.filter("hubs", near)).alias("hub"))
+        pairs = pairs.select(F.least("id", "hub.id").alias("b"), F.greatest("id", "hub.id").alias("a")).distinct()
         new = settle(verify(pairs, sets.select("id", "items"), p.alike), "links")
         links = new if links is None else links.unionAll(new)
-        roots = settle(components(links), "roots")
-        buckets = settle(work.where(~F.array_contains("hubs", F.col("id"))).select("id", "n", "band"), "buckets")
-        hubs = min(32, hubs * 2)
+        old, roots = roots, settle(components(links), "roots")
+        is_hub = F.exists("hubs", lambda h: h["id"] == F.col("id"))
+        buckets = settle(work.where(~is_hub).select("id", "n", "band"), "buckets")
+        discard(old, work)
+        hubs = 4 if hubs == 1 else min(32, hubs * 2)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
