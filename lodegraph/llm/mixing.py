@@ -245,7 +245,7 @@ def mixed(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_co
     parts = taken_blocks(laid, block_uses(sources, p), p)
     lists = parts.groupBy("id", "twin", "start").agg(F.collect_list(F.struct("lo", "n", "uses")).alias("pieces"))
     lists = lists.groupBy("id", "twin").agg(F.min_by("pieces", "start").alias("pieces"))
-    lists = settle(lists.select(F.col("id").alias("id__"), F.col("twin").alias("twin__"), "pieces"), "pieces")
+    lists = settle(lists.select(F.col("id").alias("id__"), F.col("twin").alias("twin__"), F.col("pieces").alias("pieces__")), "pieces")
     names = docs.columns
     at = {c: names.index(c) for c in (text_col, *([length_col] if length_col in names else []))}
     most = p.most
@@ -268,4 +268,4 @@ def mixed(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_co
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     keyed = docs.join(lists, docs[id_col].eqNullSafe(lists["id__"]) & (F.xxhash64(docs[text_col]) == lists["twin__"]))
-    return keyed.select(*[docs[c] for c in names], "pieces").mapInArrow(run, fields)
+    return keyed.select(*[docs[c] for c in names], "pieces__").mapInArrow(run, fields)

@@ -233,7 +233,7 @@ def sanitised(text: str, spans: str, removed: str = "") -> str:
 
 def sanitise(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with sanitised texts (null texts stay null); all other columns as they were."""
-    spans = find(docs, p, id_col, text_col).where("spans <> ''").select(F.col(id_col).alias("id__"), F.col("twin").alias("twin__"), "spans", "removed")
+    spans = find(docs, p, id_col, text_col).where("spans <> ''").select(F.col(id_col).alias("id__"), F.col("twin").alias("twin__"), F.col("spans").alias("spans__"), F.col("removed").alias("removed__"))
     spans = settle(spans.dropDuplicates(["id__", "twin__"]), "found")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def sanitise(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            new = [sanitised(t, s, r or "") if t and s else t for t, s, r in zip(b.column(at).to_pylist(), b.column("spans").to_pylist(), b.column("removed").to_pylist())]
+            new = [sanitised(t, s, r or "") if t and s else t for t, s, r in zip(b.column(at).to_pylist(), b.column("spans__").to_pylist(), b.column("removed__").to_pylist())]
             cols = [pa.array(new, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(docs_cols))]
             yield pa.RecordBatch.from_arrays(cols, names=docs_cols)
 
