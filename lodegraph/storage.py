@@ -38,7 +38,7 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_CURRENT"
+        return f"{self.root}/{name}/CURRENT"
 
     def exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
