@@ -6,11 +6,13 @@ the coordinate is the least value over a document's shingles.  Bands of the sign
 candidates; every candidate is confirmed by the exact Jaccard similarity of the full sets.
 
 Documents with one and the same set form a class that is represented by its smallest id, so
-copies never meet in pairs.  In a bucket (one band value) every member is compared with a few
-hubs; verified links are merged into components, and a bucket whose members are all in one
-component needs no more comparisons.  Otherwise its hubs leave and the next ones take over, until
-every pair of a bucket that may still join two components has been compared.  So no link between
-different texts is lost and no bucket is expanded into all its pairs.
+copies never meet in pairs.  In a bucket (one band value) every member is compared with one
+hub; verified links are merged into components, and a bucket whose members are all in one
+component needs no more comparisons.  The documents of the other buckets, which may share no more
+than a common passage, are dealt into buckets of a rare shared shingle: two sets that are alike
+enough have one in common among their rarest few (see ``rare_buckets``), so none of their links
+is lost.  There every member meets a few hubs, which leave for the next ones until every pair of a
+bucket that may still join two components has been compared.  No bucket is expanded into all its pairs.
 
 Defined cases: null or empty texts, and texts without words, have no shingles, are linked with
 nothing and are kept; fewer words than a shingle make one shingle of the whole sequence; repeated
@@ -25,12 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import discard, settle
 
 UNIVERSE_BITS = 20
+#: Hubs of a bucket in one round, so that a row that meets them stays small.
+MOST_HUBS = 1024
 
 
 @dataclass(frozen=True)
@@ -207,6 +211,43 @@ def verify(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     )
 
 
+def with_roots(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows of ``buckets`` with the root of each id: itself where it has no link yet."""
+    if roots is None:
+        return buckets.withColumn("root", F.col("id"))
+    return buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def rare_buckets(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """(id, n, rest, band) of the documents whose buckets still hold two components; band is a rare shingle.
+
+    Sets a and b with 100 * intersection >= alike * union share at least ceil(alike / 100 * n) items
+    for the n of either.  In any order of all items, the first n - ceil(alike / 100 * n) + 1 of a and
+    of b then have an item in common.  The order here is from rare to frequent, so that a passage
+    common to many documents is in no prefix unless it is nearly the whole document.  ``rest`` counts
+    the items from this one on: the first item that a and b have in common has their whole intersection
+    after it, so a pair that no bucket gives rest enough for is none.  Rows that have too little rest
+    for even the least set of their bucket go at once.
+    """
+    state = with_roots(buckets, roots)
+    live = state.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    ids = settle(state.join(live, "band", "left_semi").select("id").distinct(), "live")
+    items = sets.join(ids, "id", "left_semi").select("id", "n", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    shared = items.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * p.alike / 100) + 1 - (F.col("n") - F.size("s"))
+    place = F.explode(F.transform(F.slice("s", F.lit(1), F.col("first")), lambda x, i: F.struct(x["item"].alias("band"), i.alias("i"))))
+    rows = shared.withColumn("first", first.cast("int")).where("first > 0").select("id", "n", F.size("s").alias("common"), place.alias("x"))
+    rows = settle(rows.select("id", "n", (F.col("common") - F.col("x.i")).cast("bigint").alias("rest"), F.col("x.band").alias("band")), "rare")
+    least = rows.groupBy("band").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1").select("band", "least")
+    other = F.greatest("least", F.ceil(F.col("n") * p.alike / 100))
+    able = F.col("rest") * (100 + p.alike) >= (F.col("n") + other) * p.alike
+    found = settle(rows.join(least, "band").where(able).select("id", "n", "rest", "band"), "buckets")
+    discard(rows)
+    discard(ids)
+    return found
+
+
 def link_classes(docs: DataFrame, sketched: DataFrame, p: Params, id_col: str, text_col: str) -> tuple[DataFrame | None, DataFrame]:
     """(id, root) of the representatives that have links, and (digest, rep) of all classes."""
     reps = settle(sketched.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "reps")
@@ -216,36 +257,39 @@ def link_classes(docs: DataFrame, sketched: DataFrame, p: Params, id_col: str, t
     buckets = settle(rows.join(shared.select("band"), "band"), "buckets")
     wanted = own.join(buckets.select("id").distinct(), "id", "left_semi")
     sets = settle(full_sets(docs, wanted, p, id_col, text_col), "sets")
-    shared_buckets, buckets = buckets, buckets.join(sets.select("id", "n"), "id")
+    shared_buckets, buckets = buckets, buckets.join(sets.select("id", "n", F.col("n").alias("rest")), "id")
     roots, links, hubs = None, None, 1
     while True:
-        if roots is None:
-            state = buckets.withColumn("root", F.col("id"))
-        else:
-            state = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        # the first hub of a bucket is its least id, the others come by hash: a large component, which
-        # most likely holds one, then meets the rest of the bucket before the rest is compared within itself
-        hub = F.struct("id", "n", "root")
-        live = state.groupBy("band").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(hub).alias("x0"),
-            *[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), hub.alias("x"))).alias(f"x{k}") for k in range(1, hubs)],
-        ).where("r0 <> r1")
-        live = live.select("band", F.array_distinct(F.array("x0", *[F.col(f"x{k}.x") for k in range(1, hubs)])).alias("hubs"))
+        state = with_roots(buckets, roots)
+        # hubs come by hash: a large component, which most likely holds one, then meets the rest of the
+        # bucket before the rest is compared within itself
+        live = state.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
         work = settle(state.join(live, "band"), "work")
+        if hubs == 1:
+            picked = work.groupBy("band").agg(F.array(F.min(F.struct("id", "n", "rest", "root"))).alias("hubs"))
+        else:
+            turn = Window.partitionBy("band").orderBy(F.xxhash64("id", "band"), "id")
+            picked = work.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= hubs)
+            picked = picked.groupBy("band").agg(F.collect_set(F.struct("id", "n", "rest", "root")).alias("hubs"))
+        met = work.join(picked, "band")
         discard(shared_buckets if roots is None else buckets)
         if work.isEmpty():
             discard(work)
             return roots, reps
-        near = lambda h: (h["root"] != F.col("root")) & (F.least("n", h["n"]) * 100 >= F.greatest("n", h["n"]) * p.alike)
-        pairs = work.select("id", F.explode(F.filter("hubs", near)).alias("hub"))
+        near = lambda h: (h["root"] != F.col("root")) & (F.least("rest", h["rest"]) * (100 + p.alike) >= (F.col("n") + h["n"]) * p.alike)
+        pairs = met.select("id", F.explode(F.filter("hubs", near)).alias("hub"))
         pairs = pairs.select(F.least("id", "hub.id").alias("b"), F.greatest("id", "hub.id").alias("a")).distinct()
         new = settle(verify(pairs, sets.select("id", "items"), p.alike), "links")
-        links = new if links is None else links.unionAll(new)
-        old, roots = roots, settle(components(links), "roots")
-        is_hub = F.exists("hubs", lambda h: h["id"] == F.col("id"))
-        buckets = settle(work.where(~is_hub).select("id", "n", "band"), "buckets")
+        old = None
+        if roots is None or not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
+            old, roots = roots, settle(components(links), "roots")
+        if hubs == 1:
+            buckets, hubs = rare_buckets(work.drop("root"), roots, sets, p), 64
+        else:
+            is_hub = F.exists("hubs", lambda h: h["id"] == F.col("id"))
+            buckets, hubs = settle(met.where(~is_hub).select("id", "n", "rest", "band"), "buckets"), MOST_HUBS
         discard(old, work)
-        hubs = 4 if hubs == 1 else min(32, hubs * 2)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
