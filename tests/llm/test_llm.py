@@ -123,6 +123,23 @@ def test_near_duplicates(spark, docs, hard, none, n):
     assert minhash.without_near_duplicates(hard, minhash.Params(words=n)).count() == len(HARD) - 2
 
 
+def test_common_passage(spark, monkeypatch):
+    """Documents that share a passage and stay just under or over the threshold: undecided buckets meet by rare shingles."""
+    monkeypatch.setattr(minhash, "MOST_HUBS", 16)
+    rng, rows = random.Random(5), []
+    for k in range(130):
+        own = [f"o{k}x{j}" for j in range(rng.choice([2, 5, 9, 12, 15, 18, 30]))]
+        at = rng.randrange(3)
+        passage = [f"p{j}" for j in range(at, 90 - rng.randrange(3))]
+        rows.append((k, " ".join(own + passage)))
+        if k % 10 == 0:  # a copy with one word of its own changed
+            rows.append((1000 + k, " ".join([*own[:-1], "other", *passage])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, minhash.Params(words=2)).collect()}
+    want = components_by_brute_force(rows, 2)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
+
+
 def spans_by_brute_force(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
