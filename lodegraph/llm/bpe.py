@@ -206,7 +206,7 @@ class MergeTable:
 class Encoder:
     """Pre-tokens seen so far with their ids; forgets all when it holds ``keep`` of them."""
 
-    def __init__(self, data: bytes, pattern: str, keep: int = 600_000):
+    def __init__(self, data: bytes, pattern: str, keep: int = 300_000):
         self.merges = MergeTable.load(data)
         self.cut = PreTokens(pattern)
         self.keep = keep
@@ -280,7 +280,7 @@ def groups_by_bytes(texts: list[str], most: int) -> Iterator[slice]:
 
 def encode_documents(
     docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = True, chars: int = 24_000_000,
+    with_ids: bool = True, chars: int = 4_000_000,
 ) -> DataFrame:
     """``id_col``, n_tokens, ids (unless ``with_ids`` is off), ids_sha256, decoded_sha256 of each row.
 

@@ -72,7 +72,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -161,7 +161,7 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
                     if len(w) >= p.shortest:
                         k = cache.get(w)
                         if k is None:
-                            if len(cache) > 500_000:
+                            if len(cache) > 100_000:
                                 cache.clear()
                             k = cache[w] = _key(w)
                         counts[k] = counts.get(k, 0) + 1
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
                 base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
                 ents.append(sorted({x[0] for x in found}))
                 nb.append([{"e": e, "t": t, "s": s, "n": n} for e, t, s, n in found])
-                if len(counts) > 1_000_000:
+                if len(counts) > 250_000:
                     yield from tell()
             yield batch_of(batch.column(0), twins, kinds, base, ents, nb, [None] * batch.num_rows)
         if counts:
