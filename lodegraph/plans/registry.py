@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegraph.functions import expressions as X
-from lodegraph.operators import clones, evolution, graph, knowledge, search, structure
+from lodegraph.operators import clones, context, evolution, graph, knowledge, search, structure
 from lodegraph.sources import views as V
 
 _QUERIES: dict = {}
@@ -294,6 +294,16 @@ def codebase_report(spark, d):
     return _risk(spark, d).select("id", "name", "callers", "stale").orderBy(F.desc("callers"), "id").limit(10)
 
 
+@query(RISK + """, w AS (SELECT to_id, from_id, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS n FROM e),
+ b AS (SELECT to_id AS id, string_agg(r.name, ', ' ORDER BY n) AS names FROM w JOIN r ON r.id = from_id WHERE n <= 5 GROUP BY to_id),
+ t AS (SELECT symbol_id AS id, string_agg(printf('note %d: %s, %.2f', id, status, confidence), chr(10) ORDER BY id) AS notes FROM a GROUP BY symbol_id),
+ h AS (SELECT r.id, printf('%s %s (%s:%d) risk %.1f', p_type, r.name, r.file, r.id, risk) || CASE WHEN r.stale > 0 THEN printf(' [%d stale]', r.stale) ELSE '' END AS brief FROM r JOIN part ON p_partkey = r.id)
+ SELECT h.id, brief, concat_ws(chr(10), brief, 'called by: ' || names, notes) AS standard FROM h LEFT JOIN b USING (id) LEFT JOIN t USING (id)""")
+def context_tiers(spark, d):
+    s = _risk(spark, d).withColumn("line_start", F.col("id"))
+    return context.standard(s, V.calls(spark, d), V.part_annotations(spark, d)).select("id", "brief", "standard")
+
+
 UNSEEN = f"WITH e AS ({E40}), seen AS ({ATT}) SELECT p_partkey AS id, coalesce(callers, 0) AS callers FROM part LEFT JOIN ({DEG}) c ON c.id = p_partkey WHERE p_partkey NOT IN (SELECT id FROM seen) AND coalesce(callers, 0) > {{n}} ORDER BY callers DESC, id LIMIT {{k}}"
 
 

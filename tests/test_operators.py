@@ -83,3 +83,24 @@ def test_catalog_versions(spark, tmp_path):
     c.upsert("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), ["id"])
     c.upsert("t", spark.createDataFrame([(2, "c")], "id int, v string"), ["id"])
     assert sorted((r.id, r.v) for r in c.read("t").collect()) == [(1, "a"), (2, "c")]
+
+
+def test_context_tiers(spark):
+    from lodegraph.operators import context
+
+    s = spark.createDataFrame([(i, "function", f"f{i}", "a.py", i, 2.0, int(i == 1)) for i in range(1, 9)], "id bigint, kind string, name string, file string, line_start bigint, risk double, stale bigint")
+    e = spark.createDataFrame([(i, 1) for i in range(2, 9)], "from_id bigint, to_id bigint")
+    notes = spark.createDataFrame([(5, 1, 0.5, "stale")], "id bigint, symbol_id bigint, confidence double, status string")
+    got = {r.id: r.full for r in context.full(s, e, notes, s.where("id < 3").select("id")).collect()}
+    assert got[1] == "function f1 (a.py:1) risk 2.0 [1 stale]\ncalled by: f2, f3, f4, f5, f6\nnote 5: stale, 0.50\nwithin 3 calls: 7 callers, 0 dependencies"
+    assert got[2] == "function f2 (a.py:2) risk 2.0\nwithin 3 calls: 0 callers, 1 dependencies"
+
+
+def test_embeddings_are_kept_until_a_body_changes(spark, tmp_path):
+    from lodegraph.functions.embed import HashingEmbedder, refresh
+    from lodegraph.storage import Catalog
+
+    c, shape = Catalog(spark, str(tmp_path)), "id bigint, body_hash string, text string"
+    first = {r.symbol_id: r.embedding for r in refresh(c, spark.createDataFrame([(1, "a", "x"), (2, "b", "y y"), (3, "c", None)], shape), HashingEmbedder(8)).collect()}
+    after = {r.symbol_id: r.embedding for r in refresh(c, spark.createDataFrame([(1, "a", "other"), (2, "d", "x")], shape), HashingEmbedder(8)).collect()}
+    assert after[1] == first[1] == after[2] != first[2] and after[3] == [0.0] * 8
