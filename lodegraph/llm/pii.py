@@ -6,7 +6,9 @@ terms beside an entity reveal it: with n documents, n_e that hold the entity, n_
 n_et the term beside the entity, the information content of the entity is -log2(n_e / n) and the
 pointwise mutual information log2(n n_et / (n_e n_t)).  A term whose share of the content exceeds
 ``generalise`` is generalised where it stands beside that entity, and removed above ``remove``.
-A term counts only with ``support`` different texts behind it, so chance neighbours stay.
+A term counts only if chance would bring it beside the entity as often with a probability of at most
+``chance``, by the bound exp(-n_e KL(n_et / n_e || n_t / n)) on the hypergeometric tail: n_t / n for an
+entity of one document, so rare entities are judged like the others, and only very small tables can't tell.
 
 Counts cover all documents: one scan yields spans, terms beside entities, and each task's document
 counts by term; the counts meet in grouped sums.  No text is shuffled.
@@ -18,6 +20,7 @@ dropped without another try; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,12 +49,12 @@ _TERM = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
 
 @dataclass(frozen=True)
 class Params:
-    """window: code points on either side of an entity; shares of its information content; support: texts."""
+    """window: code points on either side of an entity; shares of its information content; chance: significance."""
 
     window: int = 64
     generalise: float = 0.8
     remove: float = 0.95
-    support: int = 3
+    chance: float = 0.05
     shortest: int = 3
 
 
@@ -189,15 +192,18 @@ def disclosing(scanned: DataFrame, p: Params) -> DataFrame:
     n = docs.count()
     n_e = docs.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     pairs = docs.where(F.size("near") > 0).select("twin", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("x"))
-    pairs = pairs.groupBy("x.e", "x.t").agg(F.count("*").alias("n_et"), F.count_distinct("twin").alias("texts")).where(F.col("texts") >= p.support)
-    pairs = settle(pairs, "pairs")
+    pairs = settle(pairs.groupBy("x.e", "x.t").agg(F.count("*").alias("n_et")), "pairs")
     counts = scanned.where("counts is not null").select(F.explode("counts").alias("c")).select("c.t", "c.df")
     n_t = counts.join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("df").alias("n_t"))
     content = -F.log2(F.col("n_e") / F.lit(float(n)))
     mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     # an entity that stands in every document has no content to give away
     share = F.when(content > 0, mutual / content).otherwise(0.0)
-    return pairs.join(n_e, "e").join(n_t, "t").select("e", "t", share.alias("share")).where(F.col("share") >= p.generalise)
+    # the logarithm of the bound on the tail, with its sign turned
+    apart = F.col("n_e") - F.col("n_et")
+    without = F.when(apart > 0, apart * F.log(apart / F.col("n_e") / (1 - F.col("n_t") / F.lit(float(n))))).otherwise(0.0)
+    rare = F.col("n_et") * mutual * math.log(2) + without >= -math.log(p.chance)
+    return pairs.join(n_e, "e").join(n_t, "t").where(rare).select("e", "t", share.alias("share")).where(F.col("share") >= p.generalise)
 
 
 def find(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -172,6 +172,14 @@ def test_pii_terms_that_disclose(spark):
     assert f"term:{text.index('mail')}:{text.index('mail') + 4}" not in got[0]
 
 
+def test_pii_terms_beside_an_entity_of_one_text(spark):
+    rows = [(0, "plain words to zorblax quuxly at only@one.example.com in text number 0")] + [(i, f"plain words in text number {i}" + " quuxly" * (i < 90)) for i in range(1, 200)]
+    got = {r.doc_id: (r.spans, r.removed) for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[0][1].index("zorblax")
+    assert got[0][0].split(",")[1:] == [f"term:{at}:{at + 7}"] and got[0][1] == f"term:{at}:{at + 7}"
+    assert all(got[i] == ("", "") for i in range(1, 200))
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     runs = [np.array([5]), np.zeros(5000), np.full(3000, 65535), rng.integers(0, 65536, 9000), rng.zipf(1.5, 9000) % 50257, np.array([])]
