@@ -5,13 +5,13 @@ phone numbers.  Their values are the protected entities.  Then the corpus says h
 terms beside an entity reveal it: with n documents, n_e that hold the entity, n_t the term and
 n_et the term beside the entity, the information content of the entity is -log2(n_e / n) and the
 pointwise mutual information log2(n n_et / (n_e n_t)).  A term whose share of the content exceeds
-``generalise`` is generalised where it stands beside that entity, and removed above ``remove``.
-A term counts only if chance would bring it beside the entity as often with a probability of at most
+``generalise`` is generalised at every place in each document that holds that entity, and removed above
+``remove``.  A term counts only if chance would bring it into the entity's documents as often with a probability of at most
 ``chance``, by the bound exp(-n_e KL(n_et / n_e || n_t / n)) on the hypergeometric tail: n_t / n for an
 entity of one document, so rare entities are judged like the others, and only very small tables can't tell.
 
-Counts cover all documents: one scan yields spans, terms beside entities, and each task's document
-counts by term; the counts meet in grouped sums.  No text is shuffled.
+Counts cover all documents: one scan yields spans, the terms of documents with entities, and each task's
+document counts by term; the counts meet in grouped sums.  No text is shuffled.
 
 Defined cases: null texts are empty and have no spans; texts of any length are searched whole;
 repeated rows each get their spans and count each as a document; matches that fail their check are
@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,8 @@ _TERM = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
 
 @dataclass(frozen=True)
 class Params:
-    """window: code points on either side of an entity; shares of its information content; chance: significance."""
+    """Shares of an entity's information content; chance: significance; shortest: code points of a term."""
 
-    window: int = 64
     generalise: float = 0.8
     remove: float = 0.95
     chance: float = 0.05
@@ -110,100 +110,152 @@ def _key(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def beside(text: str, spans: list[tuple[str, int, int]], p: Params) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the whole terms within the window of an entity, outside all base spans."""
-    out = []
-    covered = sorted((s, e) for _, s, e in spans)
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """Keys of the protected entities of a text, each once."""
+    out = set()
     for kind, s, e in spans:
         value = text[s:e].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[s:e])
-        entity = _key(f"{kind}:{value}".encode("utf-8", "surrogatepass"))
-        lo, hi = max(0, s - p.window), min(len(text), e + p.window)
-        for m in _TERM.finditer(text, lo, hi):
-            a, b = m.span()
-            if (a == lo > 0 and _TERM.match(text, a - 1)) or (b == hi < len(text) and _TERM.match(text, b)):
-                continue
-            if b - a < p.shortest or any(x < b and a < y for x, y in covered):
-                continue
-            out.append((entity, _key(m[0].encode("utf-8", "surrogatepass").translate(_FOLD)), a, b))
+        out.add(_key(f"{kind}:{value}".encode("utf-8", "surrogatepass")))
+    return sorted(out)
+
+
+def places(text: str, spans: list[tuple[str, int, int]], p: Params) -> dict[bytes, tuple[int, list[int]]]:
+    """Length and starts of every term of a text; a place that touches a base span is left out, its term is not."""
+    covered: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    out: dict[bytes, tuple[int, list[int]]] = {}
+    k = 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        if b - a < p.shortest:
+            continue
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        _, at = out.setdefault(m[0].encode("utf-8", "surrogatepass").translate(_FOLD), (b - a, []))
+        if k == len(covered) or b <= covered[k][0]:
+            at.append(a)
     return out
 
 
+class _Near:
+    """The terms of documents with their places, as flat columns of an Arrow list."""
+
+    def __init__(self):
+        self.docs, self.starts = array("i", [0]), array("i", [0])
+        self.t, self.n, self.at = array("q"), array("i"), array("i")
+
+    def add(self, terms: list[tuple[int, int, list[int]]]) -> None:
+        for t, n, at in terms:
+            self.t.append(t)
+            self.n.append(n)
+            self.at.extend(at)
+            self.starts.append(len(self.at))
+        self.docs.append(len(self.t))
+
+    def column(self) -> pa.Array:
+        at = pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), pa.array(self.at, pa.int32()))
+        x = pa.StructArray.from_arrays([pa.array(self.t, pa.int64()), pa.array(self.n, pa.int32()), at], names=["t", "n", "at"])
+        return pa.ListArray.from_arrays(pa.array(self.docs, pa.int32()), x)
+
+
 def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (spans and neighbours) and, with a null twin, rows of a task's document counts by term."""
+    """Rows of documents (spans, entities and, where there are any, all terms) and, with a null twin, rows of
+    a task's document counts by term.  ``row`` names a document also where ids repeat."""
     kind = docs.schema[id_col].dataType.simpleString()
-    near = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("n", pa.int32())]))
     counts_t = pa.list_(pa.struct([("t", pa.int64()), ("df", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         counts: dict[int, int] = {}
-
-        def batch_of(ids, twins, kinds, base, ents, nb, cs):
-            cols = [ids, pa.array(twins, pa.int64())]
+        row = TaskContext.get().partitionId() << 40
+
+        def key(w: bytes) -> int:
+            k = cache.get(w)
+            if k is None:
+                if len(cache) > 100_000:
+                    cache.clear()
+                k = cache[w] = _key(w)
+            return k
+
+        def batch_of(ids, rows, twins, kinds, base, ents, near, cs):
+            cols = [ids, pa.array(rows, pa.int64()), pa.array(twins, pa.int64())]
             cols += [pa.array([k[i] for k in kinds], pa.int64()) for i in range(4)]
-            cols += [pa.array(base, pa.string()), pa.array(ents, pa.list_(pa.int64())), pa.array(nb, near), pa.array(cs, counts_t)]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "twin", *(f"n_{k}" for k in KINDS), "base", "entities", "near", "counts"])
+            cols += [pa.array(base, pa.string()), pa.array(ents, pa.list_(pa.int64())), near.column(), pa.array(cs, counts_t)]
+            return pa.RecordBatch.from_arrays(cols, names=["id", "row", "twin", *(f"n_{k}" for k in KINDS), "base", "entities", "near", "counts"])
 
         def tell():
             items = list(counts.items())
             counts.clear()
             for i in range(0, len(items), 4096):
                 part = [{"t": t, "df": n} for t, n in items[i : i + 4096]]
-                yield batch_of(pa.nulls(1, id_type), [None], [[None] * 4], [None], [None], [None], [part])
+                none = _Near()
+                none.add([])
+                yield batch_of(pa.nulls(1, id_type), [None], [None], [[None] * 4], [None], [None], none, [part])
 
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            twins, kinds, base, ents, nb = [], [], [], [], []
+            twins, kinds, base, ents, near = [], [], [], [], _Near()
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                found = beside(text, spans, p) if spans else []
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in set(raw.translate(_FOLD).split()):
                     if len(w) >= p.shortest:
-                        k = cache.get(w)
-                        if k is None:
-                            if len(cache) > 100_000:
-                                cache.clear()
-                            k = cache[w] = _key(w)
+                        k = key(w)
                         counts[k] = counts.get(k, 0) + 1
                 twins.append(_key(raw))
                 kinds.append([sum(k == s[0] for s in spans) for k in KINDS])
                 base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
-                ents.append(sorted({x[0] for x in found}))
-                nb.append([{"e": e, "t": t, "s": s, "n": n} for e, t, s, n in found])
+                ents.append(entities_of(text, spans) if spans else [])
+                near.add([(key(w), n, at) for w, (n, at) in places(text, spans, p).items()] if spans else [])
                 if len(counts) > 250_000:
                     yield from tell()
-            yield batch_of(batch.column(0), twins, kinds, base, ents, nb, [None] * batch.num_rows)
+            yield batch_of(batch.column(0), range(row, row + batch.num_rows), twins, kinds, base, ents, near, [None] * batch.num_rows)
+            row += batch.num_rows
         if counts:
             yield from tell()
 
     schema = (
-        f"id {kind}, twin bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS)
-        + ", base string, entities array<bigint>, near array<struct<e:bigint,t:bigint,s:int,n:int>>, counts array<struct<t:bigint,df:bigint>>"
+        f"id {kind}, row bigint, twin bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS)
+        + ", base string, entities array<bigint>, near array<struct<t:bigint,n:int,at:array<int>>>, counts array<struct<t:bigint,df:bigint>>"
     )
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def disclosing(scanned: DataFrame, p: Params) -> DataFrame:
-    """e, t, share: terms and the share of the entity's information content that they give away."""
+    """row, t, share: the terms of each document and the largest share of an entity's content that they give away.
+
+    n_et never exceeds n_e, so only terms with n_t <= n (n_e / n)^generalise can reach the share: they
+    alone meet the entities.  Entities of the very same documents are disclosed alike and go as one class.
+    """
     docs = scanned.where("twin is not null")
-    n = docs.count()
-    n_e = docs.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = docs.where(F.size("near") > 0).select("twin", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("x"))
-    pairs = settle(pairs.groupBy("x.e", "x.t").agg(F.count("*").alias("n_et")), "pairs")
-    counts = scanned.where("counts is not null").select(F.explode("counts").alias("c")).select("c.t", "c.df")
-    n_t = counts.join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("df").alias("n_t"))
-    content = -F.log2(F.col("n_e") / F.lit(float(n)))
-    mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    n = float(docs.count())
+    ents = docs.select("row", F.explode("entities").alias("e"))
+    n_e = ents.groupBy("e").agg(F.count("*").alias("n_e"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("mark"))
     # an entity that stands in every document has no content to give away
-    share = F.when(content > 0, mutual / content).otherwise(0.0)
+    classes = ents.join(n_e, "e").where(F.col("n_e") < n).select("row", "n_e", "mark").distinct()
+    classes = settle(classes, "classes")
+    terms = docs.where(F.size("near") > 0).select("row", F.explode("near.t").alias("t"))
+    counts = scanned.where("counts is not null").select(F.explode("counts").alias("c")).select("c.t", "c.df")
+    n_t = counts.join(terms.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.sum("df").alias("n_t"))
+    most = classes.agg(F.max("n_e")).first()[0] or 0
+    within = lambda held: F.log2(n / F.col("n_t")) >= p.generalise * F.log2(n / held) - 1e-9
+    n_t = n_t.where(within(F.lit(float(most or 1))))
+    pairs = terms.join(n_t, "t").join(classes, "row").where(within(F.col("n_e")))
+    pairs = settle(pairs.select("row", "n_e", "mark", "t", "n_t"), "pairs")
+    told = pairs.groupBy("n_e", "mark", "t", "n_t").agg(F.count("*").alias("n_et"))
+    mutual = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     # the logarithm of the bound on the tail, with its sign turned
     apart = F.col("n_e") - F.col("n_et")
-    without = F.when(apart > 0, apart * F.log(apart / F.col("n_e") / (1 - F.col("n_t") / F.lit(float(n))))).otherwise(0.0)
+    without = F.when(apart > 0, apart * F.log(apart / F.col("n_e") / (1 - F.col("n_t") / n))).otherwise(0.0)
     rare = F.col("n_et") * mutual * math.log(2) + without >= -math.log(p.chance)
-    return pairs.join(n_e, "e").join(n_t, "t").where(rare).select("e", "t", share.alias("share")).where(F.col("share") >= p.generalise)
+    told = told.where(rare).withColumn("share", mutual / F.log2(n / F.col("n_e"))).where(F.col("share") >= p.generalise)
+    return pairs.join(told.select("n_e", "mark", "t", "share"), ["n_e", "mark", "t"]).groupBy("row", "t").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +263,10 @@ def find(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     scanned = settle(scan(docs, p, id_col, text_col), "spans")
     rows = scanned.where("twin is not null")
     told = disclosing(scanned, p)
-    where = rows.where(F.size("near") > 0).select("id", "twin", F.explode("near").alias("x")).select("id", "twin", "x.e", "x.t", "x.s", "x.n")
-    hits = where.join(told, ["e", "t"]).groupBy("id", "twin", "s", "n").agg(F.max("share").alias("share"))
-    hits = hits.groupBy("id", "twin").agg(F.array_sort(F.collect_list(F.struct("s", "n", "share"))).alias("hits"))
-    left = rows.select("id", "twin", *[f"n_{k}" for k in KINDS], "base")
-    right = hits.select(F.col("id").alias("id2"), F.col("twin").alias("twin2"), "hits")
-    out = left.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("twin") == F.col("twin2")), "left")
+    where = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.t", "x.n", "x.at")
+    spots = F.transform("at", lambda s: F.struct(s.alias("s"), (s + F.col("n")).alias("n"), F.col("share").alias("share")))
+    hits = where.join(told, ["row", "t"]).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(spots))).alias("hits"))
+    out = rows.select("id", "row", "twin", *[f"n_{k}" for k in KINDS], "base").join(hits, "row", "left")
     name = lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["n"].cast("string"))
     terms = F.array_join(F.transform("hits", name), ",")
     gone = F.array_join(F.transform(F.filter("hits", lambda x: x["share"] >= p.remove), name), ",")

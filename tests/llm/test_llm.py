@@ -180,6 +180,44 @@ def test_pii_terms_beside_an_entity_of_one_text(spark):
     assert all(got[i] == ("", "") for i in range(1, 200))
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    plain = "plain words in a long text go on and on without end " * 20
+    one, two = f"Zorblax heading {plain} mail to own@one.example.com {plain} by zorblax", f"{plain} own@one.example.com {plain} of Zorblax"
+    rows = [(0, one), (1, two), (2, f"heading of zorblaxes {plain} to mail by own@two.example.com")] + [(i, f"mail to heading by {plain} {i} of") for i in range(3, 200)]
+    got = {r.doc_id: (r.base, r.spans) for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in (0, 1):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)zorblax", rows[i][1])]
+        assert got[i][1].split(",") == [got[i][0], *want] and len(want) == 2 - i
+    assert got[2][1].split(",")[1:] == ["term:11:20"] and got[3][1] == ""
+
+
+def test_pii_terms_by_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    rows += [(10_000 + k, f"qozzle{k % 7} vexith{k % 3} mail a{k % 5}@b.example.com and +49 30 12345{k % 4} or b@c.example.com") for k in range(40)]
+    term, low = r"[A-Za-z\u0080-\U0010ffff]{3,}", lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    held, n_t, spans = {}, Counter(), {}
+    for i, text in rows:
+        spans[i] = spans_by_brute_force(text)
+        for e in {(k, text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])) for k, a, b in spans[i]}:
+            held.setdefault(e, set()).add(i)
+        n_t.update({low(w) for w in re.findall(term, text)})
+    words = {i: {low(w) for w in re.findall(term, t)} for i, t in rows}
+    n, share = len(rows), {}
+    for ids in held.values():
+        for t, n_et in Counter(w for i in ids for w in words[i]).items():
+            x, y = n_et / len(ids), n_t[t] / n
+            tail = -len(ids) * (x * np.log(x / y) + ((1 - x) * np.log((1 - x) / (1 - y)) if x < 1 else 0))
+            part = np.log(x / y) / -np.log(len(ids) / n)
+            if part >= 0.8 and tail <= np.log(0.05):
+                for i in ids & {i for i in ids if t in words[i]}:
+                    share[i, t] = max(part, share.get((i, t), 0))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        free = [m for m in re.finditer(term, text) if (i, low(m[0])) in share and not any(m.start() < b and a < m.end() for _, a, b in spans[i])]
+        assert got[i].spans == ",".join(["%s:%d:%d" % s for s in spans[i]] + [f"term:{m.start()}:{m.end()}" for m in free])
+        assert got[i].removed == ",".join(f"term:{m.start()}:{m.end()}" for m in free if share[i, low(m[0])] >= 0.95)
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     runs = [np.array([5]), np.zeros(5000), np.full(3000, 65535), rng.integers(0, 65536, 9000), rng.zipf(1.5, 9000) % 50257, np.array([])]
