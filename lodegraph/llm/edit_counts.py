@@ -3,9 +3,9 @@
 Each document keeps a segment tree over its pre-tokens: leaves are short runs of pre-tokens with
 their lengths and token counts, inner nodes hold the sums of their subtrees.  An edit finds its
 leaf by the lengths; pre-tokens are cut anew from the first one that the edit can reach (the one
-that ends at or behind the edit's start: a cut looks one character ahead) until a new bound falls
-on an old one behind the edit, and only those are encoded.  The touched leaf's sums are carried up
-to the root.
+that ends at or behind the character before the edit: a cut looks two characters ahead) until a new
+bound falls on an old one behind the edit, and only those are encoded.  The touched leaf's sums are
+carried up to the root.
 
 Defined cases: null texts are empty; edits beyond the end are cut to the text; an edit may empty a
 text; repeated rows are edited each on their own; documents without edits keep their counts; edits
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from lodegraph.llm import bpe
 
 LEAF = 32
+#: Characters behind a pre-token that decide on its end: white space before a character that isn't gives
+#: its last one away, and ' is a pre-token of its own unless ve, re or ll follow.
+AHEAD = 2
 
 
 class TokenTree:
@@ -105,7 +108,7 @@ def plan_edit(tree: TokenTree, text: str, start: int, end: int, new: str, cut: b
     start = min(max(0, start), len(text))
     end = min(max(start, end), len(text))
     edited = text[:start] + new + text[end:]
-    leaf, k, at = tree.find(start)
+    leaf, k, at = tree.find(max(0, start - AHEAD + 1))
     shift, old = len(new) - (end - start), tree.bounds_from(leaf, k, at)
     pieces, n_old, here = [], 0, at
     old_end = at

@@ -83,6 +83,28 @@ def test_edit_counts_equal_full_counts(spark, docs, hard, none):
     assert edit_counts.edited_counts(none, d, public_tokenizers.PATTERN).count() == 0
 
 
+def test_edits_at_white_space_and_apostrophes(spark):
+    d, rng = data("byte_bpe_50k.tiktoken"), random.Random(8)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.MergeTable.load(d).ranks, special_tokens={})
+    cut = bpe.PreTokens(public_tokenizers.PATTERN)
+    rows = [(0, "a x b", [(2, 3, "")]), (1, "a\n\n  x\n b", [(5, 6, "")]), (2, "we'l go", [(4, 4, "l")]), (3, "a  x b", [(3, 4, "")])]
+    draw = lambda n: "".join(rng.choice("ab '' \n\tlverd1!") for _ in range(rng.randrange(n)))
+    for i in range(4, 3000):
+        text = draw(24)
+        edits = [(at := rng.randrange(len(text) + 2), at + rng.randrange(4), draw(5)) for _ in range(3)]
+        rows.append((i, text, edits))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, edits array<struct<start:int,end:int,put:string>>")
+    got = {r.doc_id: r for r in edit_counts.edited_counts(df, d, public_tokenizers.PATTERN, edits_col="edits").collect()}
+    for i, text, edits in rows:
+        tree = edit_counts.TokenTree(np.array([len(w) for w in cut.split(text)], dtype=int), np.array([1 for _ in cut.split(text)]))
+        for start, end, put in edits:
+            old = text
+            text, leaf, k, n_old, new = edit_counts.plan_edit(tree, old, start, end, put, cut)
+            tree.replace(leaf, k, n_old, [len(w) for w in new], [1] * len(new))
+            assert [n for x in tree.leaves for n in x[0]] == [len(w) for w in cut.split(text)], (old, start, end, put)
+        assert got[i].edited_tokens == len(lib.encode_ordinary(text))
+
+
 def components_by_brute_force(rows, n):
     sets = {}
     for i, text in rows:
