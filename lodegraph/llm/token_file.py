@@ -6,8 +6,8 @@ it, their lengths in tokens, and the coded blocks of ``coder``.  A document neve
 so frames can be read alone; ``first`` says how many ids of the shard stand before it.
 
 Defined cases: a null text is empty and has the end id alone; documents with equal ids stand
-together, by text; null ids come first; texts of any length are encoded whole; an empty table
-gives an empty file and no rows.
+together, by text; null ids come first; texts of any length are encoded whole; added tokens of the
+file (<|endoftext|>) get their own ids, as in the library; an empty table gives an empty file and no rows.
 """
 
 from __future__ import annotations
@@ -62,8 +62,18 @@ class _Library:
 class LibraryEncoder(bpe.Encoder):
     def __init__(self, data: bytes, pattern: str, keep: int = 600_000):
         self.merges, self.cut, self.keep = _Library(data), bpe.PreTokens(pattern), keep
+        self.added = [t.content for t in self.merges.whole.get_added_tokens_decoder().values()]
         self.forget()
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a text that holds an added token of the file goes through the library as a whole."""
+        holds = [any(a in t for a in self.added) for t in texts]
+        out = super().encode(["" if h else t for t, h in zip(texts, holds)])
+        for i, h in enumerate(holds):
+            if h:
+                out[i] = np.array(self.merges.whole.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+        return out
+
 
 _ENCODERS: dict[int, LibraryEncoder] = {}
 

@@ -269,6 +269,18 @@ def test_token_file(spark, docs, hard, none, tmp_path):
         assert [tuple(r) for r in got] == want
 
 
+def test_token_file_keeps_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>é", "<|endoftext |> plain", "", "x " * 3000 + "<|endoftext|>'ll"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    token_file.write(df, str(tmp_path / "added"), data("byte_bpe_50k.json"))
+    got = {r.doc_id: r.tokens for r in token_file.read(spark, str(tmp_path / "added"), with_ids=True).collect()}
+    assert got == {i: lib.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert got[0] == [64, 50256, 65, 0]
+
+
 def test_neighbours_recall(spark):
     rows = table(spark, DATA, "embeddings")
     got = ann.neighbours(rows).collect()
