@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodegraph.storage import written
+
 
 def sections(texts: DataFrame) -> DataFrame:
     """file, section, title, line_start, line_end, docstring of (file, text): each heading up to the next.
@@ -34,16 +36,18 @@ def scope_parents(spans: DataFrame) -> DataFrame:
     return spans.select("file", "id").join(best, ["file", "id"], "left")
 
 
-def scope_chains(parents: DataFrame, most: int = 8) -> DataFrame:
-    """file, id, chain from the outermost scope to the symbol itself."""
+def scope_chains(parents: DataFrame) -> DataFrame:
+    """file, id, chain from the outermost scope to the symbol itself, however deep; cycles are walked once."""
     link = parents.select(F.col("file").alias("f"), F.col("id").alias("i"), F.col("parent_id").alias("up"))
     out = parents.select("file", "id", F.array("id").alias("chain"), F.col("parent_id").alias("next"))
-    for _ in range(most):
-        out = out.join(link, (F.col("file") == F.col("f")) & (F.col("next") == F.col("i")), "left").select(
+    while True:
+        step = out.join(link, (F.col("file") == F.col("f")) & (F.col("next") == F.col("i")), "left").select(
             "file", "id", F.when(F.col("i").isNotNull() & ~F.array_contains("chain", F.col("next")), F.concat(F.array("next"), F.col("chain"))).otherwise(F.col("chain")).alias("chain"),
             F.when(~F.array_contains("chain", F.coalesce("up", F.col("id"))), F.col("up")).alias("next"),
         )
-    return out.select("file", "id", "chain")
+        out = written(step, "chains")
+        if out.where("next is not null").isEmpty():
+            return out.select("file", "id", "chain")
 
 
 def chunks(bodies: DataFrame, size: int = 500) -> DataFrame:

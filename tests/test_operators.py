@@ -104,3 +104,9 @@ def test_embeddings_are_kept_until_a_body_changes(spark, tmp_path):
     first = {r.symbol_id: r.embedding for r in refresh(c, spark.createDataFrame([(1, "a", "x"), (2, "b", "y y"), (3, "c", None)], shape), HashingEmbedder(8)).collect()}
     after = {r.symbol_id: r.embedding for r in refresh(c, spark.createDataFrame([(1, "a", "other"), (2, "d", "x")], shape), HashingEmbedder(8)).collect()}
     assert after[1] == first[1] == after[2] != first[2] and after[3] == [0.0] * 8
+
+
+def test_scope_chains_of_any_depth_and_cycles(spark):
+    rows = [(1, i, i - 1 if i else None) for i in range(14)] + [(2, 0, 1), (2, 1, 0)]
+    got = {(r.file, r.id): r.chain for r in structure.scope_chains(spark.createDataFrame(rows, "file bigint, id bigint, parent_id bigint")).collect()}
+    assert got == {(1, i): list(range(i + 1)) for i in range(14)} | {(2, 0): [1, 0], (2, 1): [0, 1]}
