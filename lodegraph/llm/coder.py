@@ -1,16 +1,20 @@
 """Token ids in compressed binary blocks: an adaptive context-mixing range coder.
 
-Ids are cut into blocks of a fixed number; each block starts from a fresh model and carries the
-CRC-32 of its ids, so any block can be read alone.  For each id three predictions are at hand:
-the id last seen behind the two previous ids (order 2), the one last seen behind the previous id
-(order 1), and order-0 frequencies.  The weights with which they are mixed are adaptive counts
-chosen by how often the order-2 and order-1 predictions have held of late.  An id that neither
-foresees is coded by order 0: its low byte by adaptive frequencies, then whether it is the id last
-seen with that byte, and if not its high byte.  Every decision goes through one carry-less range
-coder with a 48-bit interval and 16-bit words.
-
-All blocks of a batch are coded in step (one NumPy operation serves one decision of every block),
-by one routine for both directions, so the reader repeats the writer's model exactly.
+A frame of ids is cut into blocks of ``BLOCK`` ids.  Every block starts from the frame's order-0
+frequencies and from empty order-1 and order-2 tables, and carries the CRC-32 of its ids, so with the
+frame's model any block can be read alone.  For each id three predictions are mixed into one distribution
+
+    P(x) = a * P0(x) + b * [x is the id last seen behind the previous id]
+                     + c * [x is the id last seen behind the two previous ids]
+
+with P0 the frame's frequencies (counts in a total of 2**18, one at least for each id of the frame).  The
+weights adapt after every id: b and c are moving averages of how often their predictions held, kept apart
+by how often the two had held before and by whether they agree; a takes the rest.  All three are sixty-fourths,
+so each id is one interval in a total of 2**24, coded in one step of a range coder with a range of 32 to
+48 bits, words of 16 bits, and carries that are added to the words in the end.
+
+All blocks of a frame are coded in step: one NumPy operation serves one decision of every block, by one
+routine for both directions, so the reader repeats the writer's model exactly.
 """
 
 from __future__ import annotations
@@ -20,226 +24,273 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-_BITS2, _BITS1 = 11, 10
-_EVERY = 32  # ids between two updates of the order-0 sums
-_U = np.uint64
-_MASK = _U((1 << 48) - 1)
-_LOW16 = _U((1 << 16) - 1)
-
-
-class _Model:
-    def __init__(self, lanes: int):
-        n = lanes
-        self.p2, self.k2 = np.zeros(n << _BITS2, np.uint16), np.zeros(n << _BITS2, np.uint8)
-        self.p1, self.k1 = np.zeros(n << _BITS1, np.uint16), np.zeros(n << _BITS1, np.uint8)
-        self.mix = np.ones((n * 16, 3), np.uint32)
-        self.mix[:, 2] = 2
-        self.lo, self.hi = np.ones((n, 256), np.uint32), np.ones((n, 256), np.uint32)
-        self.last, self.klast = np.zeros(n * 256, np.uint16), np.zeros(n * 256, np.uint8)
-        self.flag = np.ones((n * 4, 2), np.uint32)
-        self.sums(n)
-
-    def sums(self, live: int) -> None:
-        """Sums of the order-0 frequencies of the blocks that go on; large ones are halved first."""
-        for name in ("lo", "hi"):
-            f = getattr(self, name)
-            big = f[:live].sum(axis=1) > 8192
-            if big.any():
-                f[:live][big] = (f[:live][big] + 1) >> 1
-            if not hasattr(self, "c" + name):
-                setattr(self, "c" + name, np.zeros((len(f), 257), np.uint32))
-            np.cumsum(f[:live], axis=1, out=getattr(self, "c" + name)[:live, 1:])
-
-
-class _Lanes:
-    """The range coder of every block; ``words`` is written, or read when ``reading``."""
-
-    def __init__(self, lanes: int, words: np.ndarray, reading: bool):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, _MASK)
-        self.at = np.zeros(lanes, np.int64)
-        self.words, self.width, self.reading = words.reshape(-1), words.shape[1], reading
+BLOCK = 4096
+MOST_ID = (1 << 23) - 1
+_FINE = 18  # bits of the order-0 total; weights take six more
+_BITS = 11  # of the places of an order's table, for each block
+_TOP = np.uint32(32 - _BITS)
+_MUL1, _MUL2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_16, _24, _32 = (np.uint64(k) for k in (16, 24, 32))
+_FLOOR, _MASK, _LAST = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 24) - 1)
+#: Moving averages of 16 bits, c above b in one word; each step takes a 32nd away and adds the gain of a hit.
+_PARTS = np.uint32(0x07FF07FF)
+_GAINS = np.array([0, 2015, 2015 << 16, 2015 << 16], np.uint32)
+#: First weights by how often order 2 and order 1 have held (0 to 3; 0: nothing seen).
+_FIRST = np.array([min(c, 62) << 26 | min(b, 62 - c) << 10 for c in (0, 20, 40, 54) for b in (0, 8, 24, 40)], np.uint32)
+
+
+def frequencies(counts: np.ndarray) -> np.ndarray:
+    """Counts scaled to a total of 2**18, at least one for each id that occurs."""
+    total, out = 1 << _FINE, np.zeros(len(counts), np.int64)
+    seen = np.flatnonzero(counts)
+    room = total - len(seen)
+    if room < 0:
+        raise ValueError(f"a frame holds more than {total} different ids")
+    share = counts[seen] * (room / counts[seen].sum()) if len(seen) else np.empty(0)
+    out[seen] = 1 + np.floor(share).astype(np.int64)
+    if len(seen):  # what flooring leaves goes to the most frequent id
+        out[seen[np.argmax(counts[seen])]] += total - out.sum()
+    return out
+
+
+def pack_model(freq: np.ndarray) -> bytes:
+    """The order-0 frequencies as bytes: gaps between the ids that occur, then their frequencies."""
+    seen = np.flatnonzero(freq)
+    gaps = np.diff(seen, prepend=-1).astype("<u4")
+    return zlib.compress(struct.pack("<I", len(seen)) + b"".join(p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in (gaps, freq[seen].astype("<u4"))), 6)
+
+
+def unpack_model(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    n = struct.unpack_from("<I", raw)[0]
+    planes = np.frombuffer(raw, np.uint8, 8 * n, 4).reshape(2, 4, n)
+    gaps, freq = (np.ascontiguousarray(p.T).view("<u4").reshape(-1).astype(np.int64) for p in planes)
+    out = np.zeros(int(gaps.sum()) if n else 0, np.int64)
+    out[np.cumsum(gaps) - 1] = freq
+    return out
+
+
+class _Walk:
+    """The state of all blocks of a frame, longest block first.
+
+    ``grid`` holds the ids by step and lane and is filled when ``reading``; ``words`` holds the coder's words
+    by lane.  Words keep their carry in bit 16 until ``settle_carries``.
+    """
+
+    def __init__(self, grid: np.ndarray, lens: np.ndarray, freq: np.ndarray, words: np.ndarray, reading: bool):
+        freq = freq if len(freq) else np.zeros(1, np.int64)
+        self.grid, self.lens, self.reading = grid, lens, reading
+        self.end, self.freq = np.cumsum(freq).astype(np.int32), freq.astype(np.int32)
+        self.slots = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+        n = len(lens)
+        self.t1, self.t2 = np.zeros(n << _BITS, np.int32), np.zeros(n << _BITS, np.int32)
+        self.weights = np.tile(_FIRST, 2 * n)
+        self.words, self.width = words.reshape(-1), words.shape[1]
+        self.pos = np.arange(n, dtype=np.int64) * self.width
+        self.low, self.rng = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
         if reading:
-            self.code = np.zeros(lanes, np.uint64)
             for _ in range(3):
-                self.code = self.code << _U(16) | self.next(np.arange(lanes))
-
-    def next(self, i: np.ndarray) -> np.ndarray:
-        w = self.words[i * self.width + np.minimum(self.at[i], self.width - 1)].astype(np.uint64)
-        self.at[i] += 1
-        return w
-
-    def target(self, i, total: np.ndarray) -> np.ndarray:
-        r = self.range[i] // total
-        return np.minimum((self.code[i] - self.low[i]) // r, total - _U(1)).astype(np.int64)
-
-    def code_one(self, i, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[i] // total
-        low, rng = self.low[i] + start * r, freq * r
-        self.low[i], self.range[i] = low, rng
-        whole = isinstance(i, slice)
-        while True:
-            settled = ((low ^ (low + rng)) >> _U(32)) == 0
-            small = rng <= _LOW16
-            move = np.flatnonzero(settled | small)
-            if not len(move):
-                return
-            lane = move if whole else i[move]
-            low, rng, settled = low[move], rng[move], settled[move]
-            rng = np.where(settled, rng, (~low + _U(1)) & _LOW16)
-            # an interval that ends on the boundary keeps the full width
-            rng = np.where(~settled & (rng == 0), _U(1 << 16), rng)
-            if self.reading:
-                self.code[lane] = (self.code[lane] << _U(16) & _MASK) | self.next(lane)
-            else:
-                self.words[lane * self.width + self.at[lane]] = (low >> _U(32)).astype(np.uint16)
-                self.at[lane] += 1
-            low, rng = low << _U(16) & _MASK, rng << _U(16)
-            self.low[lane], self.range[lane] = low, rng
-            i, whole = lane, False
-
-    def finish(self) -> None:
-        for shift in (32, 16, 0):
-            i = np.arange(len(self.low))
-            self.words[i * self.width + self.at] = (self.low >> _U(shift) & _LOW16).astype(np.uint16)
-            self.at += 1
-
-
-def _find(sums: np.ndarray, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Symbol whose part of the sums holds the value."""
-    flat, base = sums.reshape(-1), rows * 257
-    at = np.zeros(len(rows), np.int64)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += step * (flat[base + at + step] <= value)
-    return at
-
-
-def _pass(ids: np.ndarray, lens: np.ndarray, coder: _Lanes) -> None:
-    """One walk over all blocks (longest first): codes ``ids``, or fills it when the coder reads."""
-    lanes, reading = len(lens), coder.reading
-    m = _Model(lanes)
-    live_at = np.searchsorted(-lens, -np.arange(int(lens[0])), side="left") if lanes else []
-    base2, base1, base8 = (np.arange(lanes) << b for b in (_BITS2, _BITS1, 8))
-    before, before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    cap = np.uint8(3)
-    for t in range(int(lens[0]) if lanes else 0):
-        n = int(live_at[t])
-        if t % _EVERY == 0 and t:
-            m.sums(n)
-        s = slice(0, n)
-        a, b = before[s], before2[s]
-        x2 = base2[s] + (((a * 40503 + b * 30011) >> 4) & ((1 << _BITS2) - 1))
-        x1 = base1[s] + ((a ^ a >> 6) & ((1 << _BITS1) - 1))
-        p2, k2, p1, k1 = m.p2[x2], m.k2[x2], m.p1[x1], m.k1[x1]
-        ctx = np.arange(n) * 16 + k2 * np.uint8(4) + k1
-        w = m.mix[ctx].astype(np.uint64)
-        w0, w1 = w[:, 0], w[:, 1]
-        total = w0 + w1 + w[:, 2]
-        if reading:
-            v = coder.target(s, total)
-            mode = (v >= w0).astype(np.int64) + (v >= w0 + w1)
-            x = np.where(mode == 0, p2, p1).astype(np.int64)
-        else:
-            x = ids[s, t].astype(np.int64)
-            mode = np.where((x == p2) & (k2 > 0), 0, np.where((x == p1) & (k1 > 0), 1, 2))
-        freq = np.where(mode == 0, w0, np.where(mode == 1, w1, w[:, 2]))
-        coder.code_one(s, np.where(mode == 0, _U(0), np.where(mode == 1, w0, w0 + w1)), freq, total)
-        m.mix.reshape(-1)[ctx * 3 + mode] += np.uint32(24)
-        big = np.flatnonzero(total > 4000)
-        if len(big):
-            m.mix[ctx[big]] = (m.mix[ctx[big]] + 1) >> 1
-        i = np.flatnonzero(mode == 2)
-        if len(i):
-            lo_total = m.clo[i, 256].astype(np.uint64)
-            lo = _find(m.clo, i, coder.target(i, lo_total)) if reading else x[i] & 255
-            at = i * 257 + lo
-            start = m.clo.reshape(-1)[at]
-            coder.code_one(i, start.astype(np.uint64), (m.clo.reshape(-1)[at + 1] - start).astype(np.uint64), lo_total)
-            m.lo.reshape(-1)[i * 256 + lo] += np.uint32(16)
-            slot = base8[i] + lo
-            guess, kg = m.last[slot].astype(np.int64), m.klast[slot]
-            fx = i * 4 + kg
-            f = m.flag[fx].astype(np.uint64)
-            f_total = f[:, 0] + f[:, 1]
+                self.low = self.low << _16 | self.words[self.pos].astype(np.uint64)
+                self.pos += 1
+        self.a, self.b = np.zeros(n, np.int32), np.zeros(n, np.int32)
+
+    def run(self) -> None:
+        """All steps; blocks that end leave from the back."""
+        steps = int(self.lens[0])
+        bounds = np.unique(np.concatenate(([0], self.lens, [steps])))
+        for t0, t1 in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            self.steps(int(np.searchsorted(-self.lens, -t0, side="left")), t0, t1)
+
+    def steps(self, n: int, t0: int, t1: int) -> None:
+        """The ids ``t0`` to ``t1`` of the first ``n`` blocks."""
+        reading, take, clip = self.reading, np.take, "clip"
+        end, freq, slots, tab1, tab2, weights, words = self.end, self.freq, self.slots, self.t1, self.t2, self.weights, self.words
+        low, rng, pos, a, b = self.low[:n], self.rng[:n], self.pos[:n], self.a[:n], self.b[:n]
+        base_t, base_w = np.arange(n, dtype=np.int64) << _BITS, np.arange(n, dtype=np.int64) << 5
+        i32 = lambda: np.empty(n, np.int32)
+        x1, x2, cx, xi = (np.empty(n, np.int64) for _ in range(4))
+        e1, e2, p1, p2, k1, k2, lo, hi, m, o, u, v, y, x, b6, c6, a6 = (i32() for _ in range(17))
+        h, g, w, gain = (np.empty(n, np.uint32) for _ in range(4))
+        b6u, c6u = b6.view(np.uint32), c6.view(np.uint32)
+        r, s, f = (np.empty(n, np.uint64) for _ in range(3))
+        hit1, hit2, more, need = (np.empty(n, bool) for _ in range(4))
+        kind = np.empty(n, np.uint8)
+        hit1_8, hit2_8 = hit1.view(np.uint8), hit2.view(np.uint8)
+        for t in range(t0, t1):
+            # what orders 1 and 2 foresee, and the weights of the mixture
+            np.multiply(a.view(np.uint32), _MUL1, out=h)
+            np.multiply(b.view(np.uint32), _MUL2, out=g)
+            np.add(g, h, out=g)
+            np.right_shift(h, _TOP, out=h)
+            np.right_shift(g, _TOP, out=g)
+            np.add(base_t, h, out=x1)
+            np.add(base_t, g, out=x2)
+            take(tab1, x1, out=e1, mode=clip)
+            take(tab2, x2, out=e2, mode=clip)
+            np.right_shift(e1, 8, out=p1)
+            np.right_shift(e2, 8, out=p2)
+            np.bitwise_and(e1, 3, out=k1)
+            np.bitwise_and(e2, 12, out=k2)
+            np.equal(p1, p2, out=more)
+            np.left_shift(more.view(np.uint8), 4, out=kind)
+            np.add(k1, k2, out=u)
+            np.add(u, kind, out=u)
+            np.add(base_w, u, out=cx)
+            take(weights, cx, out=w, mode=clip)
+            np.right_shift(w, 26, out=c6u)
+            np.right_shift(w, 10, out=b6u)
+            np.bitwise_and(b6, 63, out=b6)
+            np.subtract(64, b6, out=a6)
+            np.subtract(a6, c6, out=a6)
+            np.right_shift(rng, _24, out=r)
             if reading:
-                hit = coder.target(i, f_total) >= f[:, 0].astype(np.int64)
+                np.less_equal(p1, p2, out=more)
+                np.minimum(p1, p2, out=lo)
+                np.maximum(p1, p2, out=hi)
+                np.floor_divide(low, r, out=s)
+                np.minimum(s, _LAST, out=s)
+                np.copyto(v, s, casting="unsafe")
+                np.copyto(m, c6)
+                np.copyto(m, b6, where=more)
+                np.subtract(64, a6, out=o)
+                np.subtract(o, m, out=o)
+                for far, mass in ((lo, m), (hi, o)):
+                    # take the extra mass behind an id's order-0 interval out of the value
+                    np.left_shift(mass, _FINE, out=mass)
+                    np.copyto(xi, far)
+                    take(end, xi, out=u, mode=clip)
+                    np.multiply(u, a6, out=u)
+                    np.subtract(u, 1, out=u)
+                    np.subtract(v, mass, out=y)
+                    np.maximum(u, y, out=u)
+                    np.minimum(v, u, out=v)
+                np.floor_divide(v.view(np.uint32), a6.view(np.uint32), out=g)
+                np.copyto(xi, g)
+                take(slots, xi, out=x, mode=clip)
+                self.grid[t, :n] = x
             else:
-                hit = (guess == x[i]) & (kg > 0)
-            coder.code_one(i, np.where(hit, f[:, 0], _U(0)), np.where(hit, f[:, 1], f[:, 0]), f_total)
-            m.flag.reshape(-1)[fx * 2 + hit] += np.uint32(24)
-            big = np.flatnonzero(f_total > 4000)
-            if len(big):
-                m.flag[fx[big]] = (m.flag[fx[big]] + 1) >> 1
-            miss = np.flatnonzero(~hit)
-            j = i[miss]
+                x[:] = self.grid[t, :n]
+            # its interval in the mixture
+            np.copyto(xi, x)
+            take(end, xi, out=y, mode=clip)
+            take(freq, xi, out=v, mode=clip)
+            np.subtract(y, v, out=y)
+            np.multiply(y, a6, out=y)
+            np.multiply(v, a6, out=v)
+            np.left_shift(b6, _FINE, out=b6)
+            np.left_shift(c6, _FINE, out=c6)
+            np.equal(x, p1, out=hit1)
+            np.equal(x, p2, out=hit2)
+            for p, mass, hit in ((p1, b6, hit1), (p2, c6, hit2)):
+                np.greater(x, p, out=more)
+                np.multiply(mass, more, out=u)
+                np.add(y, u, out=y)
+                np.multiply(mass, hit, out=u)
+                np.add(v, u, out=v)
+            np.copyto(s, y, casting="unsafe")
+            np.copyto(f, v, casting="unsafe")
+            np.multiply(s, r, out=s)
+            np.multiply(f, r, out=rng)
             if reading:
-                x[i] = guess
-            if len(j):
-                hi_total = m.chi[j, 256].astype(np.uint64)
-                hi = _find(m.chi, j, coder.target(j, hi_total)) if reading else x[j] >> 8
-                at = j * 257 + hi
-                start = m.chi.reshape(-1)[at]
-                coder.code_one(j, start.astype(np.uint64), (m.chi.reshape(-1)[at + 1] - start).astype(np.uint64), hi_total)
-                m.hi.reshape(-1)[j * 256 + hi] += np.uint32(16)
-                if reading:
-                    x[j] = hi << 8 | lo[miss]
-            m.last[slot] = x[i]
-            m.klast[slot] = np.where(hit, np.minimum(kg + np.uint8(1), cap), np.uint8(1))
-        if reading:
-            ids[s, t] = x
-        for p, k, at, old, kept in ((m.p2, m.k2, x2, p2, k2), (m.p1, m.k1, x1, p1, k1)):
-            same = (old == x) & (kept > 0)
-            p[at] = x
-            k[at] = np.where(same, np.minimum(kept + np.uint8(1), cap), np.uint8(1))
-        before2[s], before[s] = a.copy(), x
-
+                np.subtract(low, s, out=low)
+            else:
+                np.add(low, s, out=low)
+            np.less(rng, _FLOOR, out=need)
+            self.shift(low, rng, pos, need, s, f, words)
+            if int(rng.min()) < 1 << 32:
+                few = np.flatnonzero(rng < _FLOOR)
+                part = low[few], rng[few], pos[few]
+                self.shift(*part, np.ones(len(few), bool), np.empty(len(few), np.uint64), np.empty(len(few), np.uint64), words)
+                low[few], rng[few], pos[few] = part
+            # what has been seen
+            np.left_shift(hit2_8, 1, out=kind)
+            np.bitwise_or(kind, hit1_8, out=kind)
+            np.copyto(xi, kind)
+            take(_GAINS, xi, out=gain, mode=clip)
+            np.right_shift(w, 5, out=h)
+            np.bitwise_and(h, _PARTS, out=h)
+            np.subtract(w, h, out=w)
+            np.add(w, gain, out=w)
+            weights[cx] = w
+            np.left_shift(x, 8, out=y)
+            for e, k, hit, one, most, tab, at in ((e1, k1, hit1, 1, 3, tab1, x1), (e2, k2, hit2, 4, 12, tab2, x2)):
+                np.add(k, one, out=k)
+                np.minimum(k, most, out=k)
+                np.bitwise_and(e, -16, out=e)
+                np.bitwise_or(e, k, out=e)
+                np.bitwise_or(y, one, out=u)
+                np.copyto(u, e, where=hit)
+                tab[at] = u
+            np.copyto(b, a)
+            np.copyto(a, x)
 
-def encode_runs(runs: list[np.ndarray]) -> list[bytes]:
-    """Blocks of several runs of ids below 65,536, run after run; no block spans two runs.
+    def shift(self, low, rng, pos, need, s, f, words) -> None:
+        """Move the lanes that need it on by one word."""
+        if self.reading:
+            np.copyto(f, np.take(words, pos, mode="clip"))
+            np.left_shift(low, _16, out=s)
+            np.bitwise_or(s, f, out=s)
+        else:
+            np.right_shift(low, _32, out=s)
+            words[pos] = s
+            np.bitwise_and(low, _MASK, out=s)
+            np.left_shift(s, _16, out=s)
+        np.copyto(low, s, where=need)
+        np.left_shift(rng, _16, out=f)
+        np.copyto(rng, f, where=need)
+        np.add(pos, need, out=pos)
 
-    A block holds its number of ids, their checksum and the coder's words.
-    """
-    cuts = [run[i : i + BLOCK] for run in runs for i in range(0, len(run), BLOCK)]
-    if not cuts:
-        return []
-    order = sorted(range(len(cuts)), key=lambda k: -len(cuts[k]))
-    lens = np.array([len(cuts[k]) for k in order])
-    grid = np.zeros((len(cuts), int(lens[0])), np.uint16)
-    for row, k in zip(grid, order):
-        row[: len(cuts[k])] = cuts[k]
-    coder = _Lanes(len(cuts), np.zeros((len(cuts), 4 * int(lens[0]) + 8), np.uint16), False)
-    _pass(grid, lens, coder)
-    coder.finish()
-    words, out = coder.words.reshape(len(cuts), -1), [b""] * len(cuts)
-    for lane, k in enumerate(order):
-        check = zlib.crc32(np.asarray(cuts[k], dtype="<u4").tobytes())
-        out[k] = struct.pack("<II", len(cuts[k]), check) + words[lane, : coder.at[lane]].astype("<u2").tobytes()
-    return out
+    def finish(self) -> np.ndarray:
+        """The last word of each lane (zeros follow), and the carries; returns the number of words of each lane."""
+        self.words[self.pos] = (self.low + _MASK) >> _32
+        while (over := np.flatnonzero(self.words >> 16)).size:
+            self.words[over - 1] += self.words[over] >> 16
+            self.words[over] &= 0xFFFF
+        return self.pos - np.arange(len(self.lens)) * self.width + 1
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of one run of ids."""
-    return encode_runs([np.asarray(ids)])
+def encode_frame(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """The order-0 model and the blocks of a run of ids.  A block: its number of ids, their checksum, words."""
+    ids = np.asarray(ids)
+    if not len(ids):
+        return pack_model(np.zeros(0, np.int64)), []
+    if int(ids.min()) < 0 or int(ids.max()) > MOST_ID:
+        raise ValueError(f"token ids must lie between 0 and {MOST_ID}")
+    freq = frequencies(np.bincount(ids))
+    full = len(ids) // BLOCK
+    lens = np.full(-(-len(ids) // BLOCK), BLOCK)
+    if full < len(lens):
+        lens[-1] = len(ids) - full * BLOCK
+    grid = np.zeros((len(lens), BLOCK), np.int32)
+    grid.reshape(-1)[: len(ids)] = ids
+    walk = _Walk(np.ascontiguousarray(grid.T), lens, freq, np.zeros((len(lens), 13 * int(lens[0]) // 8 + 8), np.uint32), False)
+    walk.run()
+    used = walk.finish()
+    words = walk.words.reshape(len(lens), -1)
+    raw = np.asarray(ids, "<u4")
+    out = []
+    for k, n in enumerate(lens.tolist()):
+        head = struct.pack("<II", n, zlib.crc32(raw[k * BLOCK : k * BLOCK + n].tobytes()))
+        out.append(head + words[k, : used[k]].astype("<u2").tobytes())
+    return pack_model(freq), out
 
 
-def decode_blocks(blocks: list[bytes]) -> np.ndarray:
-    """The ids of the blocks, one block after another; a wrong checksum is an error."""
+def decode_frame(model: bytes, blocks: list[bytes]) -> np.ndarray:
+    """The ids of some blocks of a frame, one block after another; a wrong checksum is an error."""
     if not blocks:
         return np.empty(0, np.uint32)
     head = np.array([struct.unpack_from("<II", b) for b in blocks], dtype=np.int64)
     order = np.argsort(-head[:, 0], kind="stable")
-    words = [np.frombuffer(blocks[k], "<u2", offset=8) for k in order]
-    grid_w = np.zeros((len(blocks), max(map(len, words)) + 4), np.uint16)
-    for row, w in zip(grid_w, words):
+    parts = [np.frombuffer(blocks[k], "<u2", offset=8) for k in order]
+    words = np.zeros((len(blocks), max(map(len, parts)) + 4), np.uint32)
+    for row, w in zip(words, parts):
         row[: len(w)] = w
     lens = head[order, 0]
-    grid = np.zeros((len(blocks), max(1, int(lens[0]))), np.uint16)
-    _pass(grid, lens, _Lanes(len(blocks), grid_w, True))
-    parts = [None] * len(blocks)
+    walk = _Walk(np.zeros((max(1, int(lens[0])), len(blocks)), np.int32), lens, unpack_model(model), words, True)
+    walk.run()
+    grid, out = np.ascontiguousarray(walk.grid.T), [None] * len(blocks)
     for row, k in zip(grid, order.tolist()):
-        got = row[: head[k, 0]].astype("<u4")
-        if zlib.crc32(got.tobytes()) != head[k, 1]:
+        out[k] = row[: head[k, 0]].astype("<u4")
+        if zlib.crc32(out[k].tobytes()) != head[k, 1]:
             raise ValueError("a block of token ids fails its checksum")
-        parts[k] = got
-    return np.concatenate(parts)
+    return np.concatenate(out)

@@ -8,10 +8,14 @@ executors), so a lost executor costs a reread of a file and never a lost result.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +24,12 @@ _OWN: dict[str, str] = {}
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is configured and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lodegraph-")
@@ -60,3 +66,29 @@ def spread(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def sliced_texts(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of consecutive slices of about ``most`` bytes, nulls as empty texts.
+
+    Only one slice at a time is turned into Python strings, whatever the Arrow batch holds.
+    """
+    if not len(column):
+        return
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and size + n > most:
+            yield start, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            start, size = i, 0
+        size += n
+    yield start, [t or "" for t in column.slice(start).to_pylist()]
+
+
+def tidy() -> None:
+    """Give freed memory back at the end of a task: Python workers are reused, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

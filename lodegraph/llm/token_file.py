@@ -2,12 +2,13 @@
 
 A file is a Parquet data set (written by Spark's own committer, so a lost task is just run again).
 Each row is a frame: the shard (a range of document ids), its number, the ids of the documents in
-it, their lengths in tokens, and the coded blocks of ``coder``.  A document never leaves its frame,
-so frames can be read alone; ``first`` says how many ids of the shard stand before it.
+it, their lengths in tokens, the order-0 model and the coded blocks of ``coder``.  A document never
+leaves its frame, so frames can be read alone; ``first`` says how many ids of the shard stand before it.
 
 Defined cases: a null text is empty and has the end id alone; documents with equal ids stand
 together, by text; null ids come first; texts of any length are encoded whole; added tokens of the
-file (<|endoftext|>) get their own ids, as in the library; an empty table gives an empty file and no rows.
+file (<|endoftext|>) get their own ids, as in the library; ids above ``coder.MOST_ID`` are an error; an
+empty table gives an empty file and no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodegraph.llm import bpe, coder
-from lodegraph.llm.common import spread
+from lodegraph.llm.common import sliced_texts, spread, tidy
 
-#: Ids of a frame, about; and of the frames that a task codes in step.
-FRAME, TOGETHER = 500_000, 12_000_000
+#: Ids of a frame, about: its blocks are coded in step, so few ids make it slow, and many take memory.
+FRAME = 4_000_000
 
 
 def _visible() -> dict[int, str]:
@@ -87,58 +88,38 @@ def _encoder(data: bytes, pattern: str) -> LibraryEncoder:
 
 
 def write(docs: DataFrame, path: str, tokenizer: bytes, pattern: str = bpe.PUBLIC_PATTERN, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, append ``end``, and write the frames to ``path``.  Ids must be below 65,536."""
+    """Encode every text, append ``end``, and write the frames to ``path``."""
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer)  # a few MB at most
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shipped.value, pattern)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
-        frames: list[tuple[list, list[int], list[np.ndarray]]] = []
-        held = 0
-
-        def flush():
-            nonlocal number, first, held
-            # all blocks of all frames go in step; frames start at block bounds of their own
-            padded, n_blocks = [], []
-            for _, lens, parts in frames:
-                flat = np.concatenate(parts).astype(np.uint16)
-                padded.append(flat)
-                n_blocks.append(-(-len(flat) // coder.BLOCK))
-            blocks = coder.encode_runs(padded)
-            cols = {k: [] for k in ("shard", "frame", "first", "ids", "lens", "blocks")}
-            at = 0
-            for (ids, lens, _), n in zip(frames, n_blocks):
-                row = (shard, number, first, ids, lens, blocks[at : at + n])
-                for c, v in zip(cols.values(), row):
-                    c.append(v)
-                at, number, first = at + n, number + 1, first + sum(lens)
-            frames.clear()
-            held = 0
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], names=list(cols))
-
-        size = FRAME
+        keys, lens, parts, size, last = [], [], [], 0, np.array([end], np.uint32)
+
+        def frame() -> pa.RecordBatch:
+            model, blocks = coder.encode_frame(np.concatenate(parts))
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+            row = (shard, number, first, keys, lens, model, blocks)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["shard", "frame", "first", "ids", "lens", "model", "blocks"])
+
         for batch in batches:
             id_type = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in bpe.groups_by_bytes(texts, 16_000_000):
-                for key, ids in zip(keys[part], enc.encode(texts[part])):
+            for start, texts in sliced_texts(batch.column(1), 4_000_000):
+                for key, ids in zip(batch.column(0).slice(start, len(texts)).to_pylist(), enc.encode(texts)):
                     if size >= FRAME:
-                        if held >= TOGETHER:
-                            yield flush()
-                        frames.append(([], [], []))
-                        size = 0
-                    ids = np.append(ids, np.uint32(end))
-                    frames[-1][0].append(key)
-                    frames[-1][1].append(len(ids))
-                    frames[-1][2].append(ids.astype(np.uint16))
-                    size += len(ids)
-                    held += len(ids)
-        if frames:
-            yield flush()
-
-    schema = f"shard int, frame bigint, first bigint, ids array<{kind}>, lens array<bigint>, blocks array<binary>"
+                        yield frame()
+                        number, first = number + 1, first + size
+                        keys, lens, parts, size = [], [], [], 0
+                    keys.append(key)
+                    lens.append(len(ids) + 1)
+                    parts += (ids, last)
+                    size += len(ids) + 1
+        if keys:
+            yield frame()
+        tidy()
+
+    schema = f"shard int, frame bigint, first bigint, ids array<{kind}>, lens array<bigint>, model binary, blocks array<binary>"
     n = spread(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(run, schema).write.parquet(path)
@@ -146,40 +127,28 @@ def write(docs: DataFrame, path: str, tokenizer: bytes, pattern: str = bpe.PUBLI
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", id_kind: str = "bigint", with_ids: bool = False) -> DataFrame:
     """id, start, n_tokens, ids_crc32 (and the ids) of every document of the file, from its decoded blocks."""
-    schema = f"shard int, frame bigint, first bigint, ids array<{id_kind}>, lens array<bigint>, blocks array<binary>"
+    schema = f"shard int, frame bigint, first bigint, ids array<{id_kind}>, lens array<bigint>, model binary, blocks array<binary>"
     frames = spark.read.schema(schema).parquet(path)
     # one row per shard: as many as the writer had tasks
     totals = frames.groupBy("shard").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     ahead = totals.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-
-        def flush():
-            blocks = [b for r in rows for b in r["blocks"]]
-            flat, at = coder.decode_blocks(blocks), 0
-            cols = {k: [] for k in ("shard", "id", "start", "n", "crc", "tokens")}
-            for r in rows:
-                start = r["first"]
-                for key, n in zip(r["ids"], r["lens"]):
-                    got = flat[at : at + n]
-                    for c, v in zip(cols.values(), (r["shard"], key, start, n, zlib.crc32(got.tobytes()), got.astype(np.int32) if with_ids else None)):
-                        c.append(v)
-                    at, start = at + n, start + n
-            types = [pa.int32(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], names=list(cols))
-
         for batch in batches:
             id_type = batch.column(3).type.value_type
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                rows.append(row)
-                size += sum(row["lens"])
-                if size >= TOGETHER:
-                    yield flush()
-                    rows, size = [], 0
-        if rows:
-            yield flush()
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                flat = coder.decode_frame(row["model"].as_py(), row["blocks"].as_py())
+                lens = np.asarray(row["lens"].values, np.int64)
+                ends = np.cumsum(lens)
+                docs = [flat[e - n : e] for n, e in zip(lens.tolist(), ends.tolist())]
+                cols = [
+                    pa.array(np.full(len(lens), row["shard"].as_py(), np.int32)), row["ids"].values.cast(id_type), pa.array(row["first"].as_py() + ends - lens),
+                    pa.array(lens), pa.array([zlib.crc32(d) for d in docs], pa.int64()),
+                    pa.array([d.astype(np.int32) for d in docs] if with_ids else [None] * len(docs), pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "id", "start", "n", "crc", "tokens"])
+        tidy()
 
     out = frames.mapInArrow(run, f"shard int, id {id_kind}, start bigint, n bigint, crc bigint, tokens array<int>")
     cols = [F.col("id").alias(id_col), (F.col("start") + F.col("ahead")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")]

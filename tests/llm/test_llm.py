@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
@@ -242,22 +243,39 @@ def test_pii_terms_by_brute_force(spark, docs):
 
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
-    runs = [np.array([5]), np.zeros(5000), np.full(3000, 65535), rng.integers(0, 65536, 9000), rng.zipf(1.5, 9000) % 50257, np.array([])]
+    runs = [[5], np.zeros(5000), np.full(3000, 65536), rng.integers(0, 200_000, 9000), rng.zipf(1.5, 9000) % 50257, [], [coder.MOST_ID, 0]]
     for ids in runs:
-        assert coder.decode_blocks(coder.encode_blocks(ids.astype(np.uint16))).tolist() == ids.astype(int).tolist()
-    blocks = coder.encode_blocks(np.arange(3000))
+        ids = np.array(ids, dtype=np.int64)
+        model, blocks = coder.encode_frame(ids)
+        assert coder.decode_frame(model, blocks).tolist() == ids.tolist()
+        assert coder.decode_frame(model, blocks[1:]).tolist() == ids[coder.BLOCK :].tolist()  # blocks are read alone
+    model, blocks = coder.encode_frame(np.arange(5000))
     broken = bytearray(blocks[0])
     broken[20] ^= 1
     with pytest.raises(ValueError):
-        coder.decode_blocks([bytes(broken), blocks[1]])
-    assert sum(map(len, coder.encode_blocks(np.zeros(5000)))) < 100
+        coder.decode_frame(model, [bytes(broken), blocks[1]])
+    for ids in ([coder.MOST_ID + 1], [-1]):
+        with pytest.raises(ValueError):
+            coder.encode_frame(np.array(ids))
+
+
+def test_coder_beats_order_0_and_a_general_compressor():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    ids = np.concatenate([lib.encode(t, add_special_tokens=False).ids + [0] for t in texts])
+    model, blocks = coder.encode_frame(ids)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    size = len(model) + sum(map(len, blocks))
+    assert 8 * size < len(ids) * -(share * np.log2(share)).sum()
+    assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
 def test_token_file(spark, docs, hard, none, tmp_path):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     for name, df in (("docs", docs), ("hard", hard), ("none", none)):
         token_file.write(df, str(tmp_path / name), data("byte_bpe_50k.json"))
         got = sorted(token_file.read(spark, str(tmp_path / name)).collect())
