@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,27 @@ _FAST = re.compile(
 PUBLIC_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Classes of Latin-1 bytes: letter, digit, white space, other; 0 ends a text.
+_CLASS_OF = np.full(256, 4, np.uint8)
+_CLASS_OF[[b for b in range(256) if re.fullmatch(f"[{_LATIN}]", chr(b))]] = 1
+_CLASS_OF[list(b"0123456789")] = 2
+_CLASS_OF[list(b"\t\n\r ")] = 3
+_CLASS_OF[0] = 0
+#: Characters that are cut at once; longer plain texts are taken apart before a single space between letters.
+PIECE = 1_000_000
+_BETWEEN = re.compile(f"(?<=[{_LATIN}]) (?=[{_LATIN}])")
+
+
+def pieces_of(text: str) -> list[str]:
+    """A plain text in pieces that are cut alike on their own."""
+    out, at = [], 0
+    while len(text) - at > PIECE and (m := _BETWEEN.search(text, at + PIECE)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    out.append(text[at:])
+    return out
+
+
 class PreTokens:
     """Cuts a text into the matches of a pattern."""
 
@@ -203,6 +224,115 @@ class MergeTable:
         return out, counts
 
 
+class PlainWords:
+    """Cuts plain texts into pre-tokens by array operations, and keeps a number for each distinct one.
+
+    The texts stand in one array of Latin-1 bytes with a zero behind each.  A pre-token starts where the class
+    of a character changes; a space belongs to what follows it, and the last of several white space
+    characters stands apart.  Pre-tokens are known by 64-bit hashes (differences of a running sum of
+    random values times powers), kept with their numbers in an open table.
+    """
+
+    def __init__(self, keep: int):
+        self.table((2 * keep).bit_length())
+        rng = np.random.Generator(np.random.PCG64(3))
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def table(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys, self.number = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = -(-n // 100_000) * 100_000
+            base = 0x9E3779B97F4A7C15
+            for name, m in (("up", base), ("down", pow(base, -1, 1 << 64))):
+                out = np.full(n, m, np.uint64)
+                out[0] = 1
+                setattr(self, name, np.multiply.accumulate(out))
+
+    @staticmethod
+    def starts(buf: np.ndarray) -> np.ndarray:
+        """Places where a pre-token or a text's closing zero starts."""
+        kind = _CLASS_OF[buf]
+        white, zero, space = kind == 3, kind == 0, buf == 32
+        cut = np.empty(len(buf), bool)
+        cut[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut[1:] &= ~(space[:-1] & ~white[1:] & ~zero[1:])  # the space before goes with it
+        cut[:-1] |= white[:-1] & ~white[1:] & ~zero[1:]
+        cut |= zero
+        q = np.flatnonzero((buf[:-2] == 39) & cut[:-2] & (kind[1:-1] == 1)) if len(buf) > 2 else np.empty(0, np.int64)
+        if len(q):  # contractions; a text's closing zero bounds them
+            one, two = buf[q + 1], buf[np.minimum(q + 2, len(buf) - 1)]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            cut[q[short | long] + 1] = False
+            cut[q[short] + 2] = True
+            cut[q[long] + 3] = True
+        return np.flatnonzero(cut)
+
+    def numbers(self, texts: list[str], fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(number of every pre-token, its length, pre-tokens of each text, new ones in the order of their numbers from ``fresh``)."""
+        buf = np.frombuffer(b"\0".join([t.encode("latin-1") for t in texts]) + b"\0", np.uint8)
+        self.powers(len(buf) + 1)
+        at = self.starts(buf)
+        ends = np.append(at[1:], len(buf))
+        zero = buf[at] == 0
+        per_text = np.diff(np.flatnonzero(zero), prepend=-1) - 1
+        at, ends = at[~zero], ends[~zero]
+        run = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self.value[buf] * self.up[: len(buf)], out=run[1:])
+        h = (run[ends] - run[at]) * self.down[at]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h |= np.uint64(1)
+        found = self.look_up(h)
+        missing = np.flatnonzero(found < 0)
+        words: list[str] = []
+        if len(missing):
+            keys, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            order = np.argsort(first, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            raw = buf.tobytes()
+            one = missing[first[order]]
+            words = [raw[i:j].decode("latin-1") for i, j in zip(at[one].tolist(), ends[one].tolist())]
+            self.enter(keys, (fresh + place).astype(np.int32))
+            found[missing] = fresh + place[back]
+        return found, ends - at, per_text, words
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == h, self.number[slot], -1).astype(np.int64)
+        left = np.flatnonzero((got != h) & (got != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            got = self.keys[slot[left]]
+            hit = got == h[left]
+            out[left[hit]] = self.number[slot[left[hit]]]
+            left = left[~hit & (got != 0)]
+        return out
+
+    def enter(self, keys: np.ndarray, number: np.ndarray) -> None:
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, number = np.concatenate((self.keys[old], keys)), np.concatenate((self.number[old], number))
+            self.table((2 * len(keys)).bit_length())
+        self.used += len(keys)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = keys[free]
+            mine = free[self.keys[slot[free]] == keys[free]]
+            self.number[slot[mine]] = number[mine]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+
 class Encoder:
     """Pre-tokens seen so far with their ids; forgets all when it holds ``keep`` of them."""
 
@@ -214,36 +344,67 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.plain = PlainWords(self.keep)
         self.ids = np.empty(0, dtype=np.uint32)
         self.count = np.empty(0, dtype=np.int64)
         self.start = np.empty(0, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, by one replay over the pre-tokens that are new."""
-        if len(self.place) > self.keep:
-            self.forget()
-        place, known = self.place, len(self.place)
-        rows = []
-        for t in texts:
-            words = self.cut.split(t)
-            rows.append(
-                np.fromiter([place.setdefault(w, len(place)) for w in words], dtype=np.int64, count=len(words))
-            )
-        self.learn(known)
-        out = []
-        for row in rows:
-            c = self.count[row]
-            total = int(c.sum())
-            shift = np.repeat(self.start[row] - (np.cumsum(c) - c), c)
-            out.append(self.ids[shift + np.arange(total)])
+    def numbered(self, cuts: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of pre-tokens that are given; new ones are encoded together."""
+        place, new, fresh, out = self.place, [], len(self.count), []
+        for words in cuts:
+            row = np.empty(len(words), np.int64)
+            for i, w in enumerate(words):
+                n = place.get(w)
+                if n is None:
+                    place[w] = n = fresh + len(new)
+                    new.append(w)
+                row[i] = n
+            out.append(row)
+        self.learn(new)
         return out
 
-    def learn(self, known: int) -> None:
-        """Encode the pre-tokens behind the first ``known`` ones."""
-        if len(self.place) == known:
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the pre-tokens of all texts, their lengths in characters, pre-tokens of each text)."""
+        if len(self.count) > self.keep:
+            self.forget()
+        numbers, lens, per_text, at = [], [], np.zeros(len(texts), np.int64), 0
+        for plain, run in groupby(texts, lambda t: self.cut.fast is not None and _PLAIN.fullmatch(t) is not None):
+            pieces, owner = [], []
+            for t in run:
+                parts = pieces_of(t) if plain else [t]
+                pieces += parts
+                owner += [at] * len(parts)
+                at += 1
+            for part in groups_by_bytes(pieces, PIECE):
+                if plain:
+                    n, size, per, new = self.plain.numbers(pieces[part], len(self.count))
+                    self.learn(new)
+                else:
+                    cut = [self.cut.split(t) for t in pieces[part]]
+                    n = np.concatenate(self.numbered(cut))
+                    size = np.fromiter(map(len, chain.from_iterable(cut)), np.int64, len(n))
+                    per = np.fromiter(map(len, cut), np.int64, len(cut))
+                numbers.append(n)
+                lens.append(size)
+                np.add.at(per_text, owner[part], per)
+        none = [np.empty(0, np.int64)]
+        return np.concatenate(numbers or none), np.concatenate(lens or none), per_text
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, by one replay over the pre-tokens that are new."""
+        numbers, _, per_text = self.rows(texts)
+        c = self.count[numbers]
+        ends = np.cumsum(c)
+        ids = self.ids[np.repeat(self.start[numbers] - (ends - c), c) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))].tolist()
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new pre-tokens; they get the next numbers."""
+        if not words:
             return
-        new = [w.encode() for w in islice(self.place, known, None)]
-        ids, counts = self.merges.replay(new)
+        ids, counts = self.merges.replay([w.encode() for w in words])
         base = len(self.ids)
         self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
         self.count = np.concatenate((self.count, counts))

@@ -129,12 +129,7 @@ def plan_edit(tree: TokenTree, text: str, start: int, end: int, new: str, cut: b
 
 def counts_of(enc: bpe.Encoder, rows: list[list[str]]) -> list[np.ndarray]:
     """Token counts of lists of pre-tokens; the new ones are encoded together."""
-    if len(enc.place) > enc.keep:
-        enc.forget()
-    place, known = enc.place, len(enc.place)
-    at = [np.fromiter([place.setdefault(w, len(place)) for w in words], np.int64, len(words)) for words in rows]
-    enc.learn(known)
-    return [enc.count[a] for a in at]
+    return [enc.count[a] for a in enc.numbered(rows)]
 
 
 def sample_edits(doc_id, text: str, n: int) -> list[tuple[int, int, str]]:
