@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodegraph.llm.common import settle, spread
+from lodegraph.llm.common import least_hashes, settle, spread
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def _valid(batch: pa.RecordBatch, d: int | None, dtype) -> tuple[np.ndarray, np.
 def fit(rows: DataFrame, p: Params, dtype) -> Model | None:
     """The model of the rows (id, v); the sample is all that reaches the driver."""
     n = rows.count()
-    sample = rows.where("v is not null and id is not null").orderBy(F.xxhash64("id"), "id").limit(p.fit_rows).toArrow()
+    sample = least_hashes(rows.where("v is not null and id is not null"), n, p.fit_rows, "id").toArrow()
     table = sample.combine_chunks().to_batches()
     if not table:
         return None

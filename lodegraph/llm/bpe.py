@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import sliced_texts, tidy
+
 NONE = np.int64(1 << 40)  # rank of a pair that can't be merged
 
 #: Text of these characters alone takes the fast pattern; there both patterns cut alike.
@@ -454,21 +456,21 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shipped.value, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for part in groups_by_bytes(texts, chars):
+            for start, texts in sliced_texts(batch.column(1), chars):
                 n, ids_out, ids_sha, text_sha = [], [], [], []
-                for ids in enc.encode(texts[part]):
+                for ids in enc.encode(texts):
                     raw = ids.astype("<u4", copy=False).tobytes()
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(raw).hexdigest())
                     text_sha.append(hashlib.sha256(enc.decode(ids)).hexdigest())
                     if with_ids:
                         ids_out.append(ids.astype(np.int32))
-                cols = {id_col: keys.slice(part.start, part.stop - part.start), "n_tokens": pa.array(n, pa.int64())}
+                cols = {id_col: batch.column(0).slice(start, len(texts)), "n_tokens": pa.array(n, pa.int64())}
                 if with_ids:
                     cols["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
                 cols |= {"ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
                 yield pa.RecordBatch.from_pydict(cols)
+        tidy()
 
     kind = key_type.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint" + ", ids array<int>" * with_ids + ", ids_sha256 string, decoded_sha256 string"

@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def workspace(spark: SparkSession) -> str:
@@ -37,13 +39,27 @@ def workspace(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Settled tables that are made inside are deleted at the end, but for those that are to be kept."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for at in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.settled_at = path
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return out
 
 
@@ -68,6 +84,28 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while f"{name}__".lower() in taken or f"{name}___".lower() in taken:
+        name += "_x"
+    return f"{name}__"
+
+
+def least_hashes(rows: DataFrame, n: int, most: int, id_col: str, *ties: str) -> DataFrame:
+    """The ``most`` rows of least id hash, of about ``n`` rows.
+
+    Rows above a bound that leaves twice as many as wanted are dropped where they are read, so what is
+    sorted doesn't grow with the number of partitions; the bound is raised until enough rows are under it.
+    """
+    share, low = 2.0 * most / max(1, n), -(1 << 63)
+    while True:
+        under = rows if share >= 0.5 else rows.where(F.xxhash64(id_col) < F.lit(low + int(share * 2**64)))
+        if share >= 0.5 or under.count() >= most:
+            return under.orderBy(F.xxhash64(id_col), id_col, *ties).limit(most)
+        share *= 4
+
+
 def sliced_texts(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of consecutive slices of about ``most`` bytes, nulls as empty texts.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import discard, settle
+from lodegraph.llm.common import discard, settle, sliced_texts, tidy
 
 UNIVERSE_BITS = 20
 #: Hubs of a bucket in one round, so that a row that meets them stays small.
@@ -79,6 +79,15 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+
+
+def forget() -> None:
+    """Drop what a task has gathered, so that a reused worker starts the next stage small."""
+    _WORDS.clear()
+    _STATE.clear()
+    tidy()
+
+
 _MIX, _ROT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
@@ -121,19 +130,21 @@ def sketches(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, digests, bands, off = [], [], [], [0]
-            for text in batch.column(1).to_pylist():
-                items = shingle_set(text, p.words)
-                ns.append(len(items))
-                digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                if len(items):
-                    bands.append(band_keys(signature(items, p), p))
-                off.append(off[-1] + p.bands * bool(len(items)))
-            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)],
-                names=["id", "n_shingles", "digest", "bands"],
-            )
+            for start, texts in sliced_texts(batch.column(1)):
+                ns, digests, bands, off = [], [], [], [0]
+                for text in texts:
+                    items = shingle_set(text, p.words)
+                    ns.append(len(items))
+                    digests.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
+                    if len(items):
+                        bands.append(band_keys(signature(items, p), p))
+                    off.append(off[-1] + p.bands * bool(len(items)))
+                flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)],
+                    names=["id", "n_shingles", "digest", "bands"],
+                )
+        forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -145,10 +156,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start, texts in sliced_texts(batch.column(1), 2_000_000):
+                part = batch.slice(start, len(texts))
                 ids, sets, off = [], [], [0]
-                for key, text, digest in zip(*(c.to_pylist() for c in part.columns)):
+                for key, text, digest in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()):
                     items = shingle_set(text, p.words)
                     if len(items) and xxhash.xxh3_128_digest(items.tobytes()) == digest:
                         ids.append(key)
@@ -159,6 +170,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_c
                     [pa.array(ids, part.column(0).type), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), flat)],
                     names=["id", "n", "items"],
                 )
+        forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")

@@ -1,16 +1,16 @@
 """Mixing sources to target weights, in blocks of words.
 
 Each source's documents are laid end to end and cut into blocks of a fixed number of words.  Every
-output shard draws how many of its slots each source fills: a multinomial draw whose certain part
-(the whole slots of the expectation) is taken as it is and whose rest is drawn.  The slots of a
-source, numbered through all shards, are mapped to its blocks by a pseudorandom permutation of the
-block numbers (a Feistel network with cycle walking), starting over when all blocks are used;
-slots and blocks are joined by block number.  Since a target never exceeds three times its source,
-no block is used more than three times.
+output shard draws how many of its slots each source fills: a multinomial draw, given the slots that
+each source fills in all shards together (see ``Draws``), so shards vary as drawn and the whole mix meets its
+targets.  The slots of a source, numbered through all shards, are mapped to its blocks by a pseudorandom
+permutation of the block numbers (a Feistel network with cycle walking), starting over when all blocks
+are used; slots and blocks are joined by block number.  Since a target never exceeds three times its
+source, no block is used more than three times.
 
 Only sizes and numbers are shuffled, never texts.  A source that holds a third of all rows is laid
-out in many lanes (by a hash of the document), each numbered on its own and shifted by the sizes of
-the lanes before it.
+out in many lanes (by a hash of the document, about ``lane_rows`` rows of the table in each), each
+numbered on its own and shifted by the sizes of the lanes before it.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of
 its own, the last in order; a source without words has target 0; documents with equal ids are laid
@@ -25,26 +25,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodegraph.llm.common import settle, spread
+from lodegraph.llm.common import free_name, settle, sliced_texts, tidy
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
 class Params:
-    """block: words of a block; slots: of an output shard; weights: repeated over the sources in order."""
+    """block: words of a block; slots: of an output shard; weights: repeated over the sources in order; lane_rows: see above."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     most: int = 3
     block: int = 32
     slots: int = 4096
-    lanes: int = 256
+    lane_rows: int = 20_000
     seed: int = 11
 
 
@@ -53,9 +52,11 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3)], names=["id", "src", "size", "twin"])
+        for batch in batches:
+            for start, texts in sliced_texts(batch.column(2)):
+                b = batch.slice(start, len(texts))
+                n = [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3)], names=["id", "src", "size", "twin"])
 
     cols = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).cast("string").alias("text")]
     return docs.select(*cols, F.xxhash64(F.col(text_col)).alias("twin")).mapInArrow(run, f"id {kind}, src string, size bigint, twin bigint")
@@ -106,6 +107,45 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+class Draws:
+    """Multinomial source counts of every output shard, given the sums over all shards.
+
+    The shards are the leaves of a tree.  A node hands its slots of every source to its halves by a
+    multivariate hypergeometric draw of its own seed, which is the multinomial draw of the halves given
+    their sum; so any shard's counts, and the slots of each source in the shards before it, follow
+    from one walk from the root.  Above 10^9 slots, where the draw's spread is below 1 in 30,000, a node
+    splits in proportion.
+    """
+
+    def __init__(self, want: np.ndarray, most: np.ndarray, p: Params):
+        total = max(1, round(float(want.sum())))
+        whole = np.minimum(np.floor(want).astype(np.int64), most)
+        # the slots that flooring leaves go by the largest remainder to sources that have room
+        order = np.argsort(-(want - whole), kind="stable")
+        for k in order[whole[order] < most[order]][: max(0, total - int(whole.sum()))]:
+            whole[k] += 1
+        self.counts, self.total, self.p = whole, int(whole.sum()), p
+        self.shards = -(-self.total // p.slots)
+
+    def shard(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of each source in the shards before it, slots of each source in it)."""
+        ahead, counts, lo, hi = np.zeros_like(self.counts), self.counts, 0, self.shards
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            left = min(mid * self.p.slots, self.total) - lo * self.p.slots
+            rng = np.random.Generator(np.random.PCG64([self.p.seed, lo, hi]))
+            if (n := int(counts.sum())) < 10**9:
+                part = rng.multivariate_hypergeometric(counts, left, method="marginals")
+            else:
+                ends = np.cumsum(counts)
+                part = np.diff(np.array([int(e) * left // n for e in ends], np.int64), prepend=0)
+            if shard < mid:
+                hi, counts = mid, part
+            else:
+                lo, ahead, counts = mid, ahead + part, counts - part
+        return ahead, counts
+
+
 def block_uses(sources: DataFrame, p: Params) -> DataFrame:
     """number, block, uses: how often the mix takes each block of each source.
 
@@ -115,62 +155,33 @@ def block_uses(sources: DataFrame, p: Params) -> DataFrame:
     rows = sources.where("source_size > 0").orderBy("number").collect()
     if not rows:
         return spark.createDataFrame([], "number int, block bigint, uses bigint")
-    number = np.array([r.number for r in rows])
+    number = [r.number for r in rows]
     blocks = np.array([-(-r.source_size // p.block) for r in rows], dtype=np.int64)
     want = np.array([r.target for r in rows]) * blocks / np.array([r.source_size for r in rows])
-    total = max(1, round(float(want.sum())))
-    share = want / want.sum()
-    shards = -(-total // p.slots)
-    seed, slots = p.seed, p.slots
-
-    def draws(shard: int) -> np.ndarray:
-        n = min(slots, total - shard * slots)
-        sure = np.floor(share * n)
-        odds = np.maximum(share * n - sure, 0)
-        rest = int(n - sure.sum())
-        rng = np.random.Generator(np.random.PCG64([seed, shard]))
-        drawn = rng.multinomial(rest, odds / odds.sum()) if rest else np.zeros(len(share))
-        return (sure + drawn).astype(np.int64)
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for shard in f["id"]:
-                yield pd.DataFrame({"number": number, "shard": shard, "n": draws(int(shard)), "blocks": blocks})
-
-    drawn = spark.range(shards).mapInPandas(draw, "number int, shard bigint, n bigint, blocks bigint")
-    # slots of a source are numbered through the shards: shards are grouped so that no group grows
-    lane = F.floor(F.col("shard") / 1024)
-    drawn = drawn.withColumn("lane", lane)
-    by_lane = drawn.groupBy("number", "lane").agg(F.sum("n").alias("ln"))
-    by_lane = by_lane.withColumn("ahead", F.coalesce(F.sum("ln").over(W.partitionBy("number").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("ln")
-    run = W.partitionBy("number", "lane").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    slots_df = (
-        drawn.withColumn("in_lane", F.coalesce(F.sum("n").over(run), F.lit(0)))
-        .join(by_lane, ["number", "lane"])
-        .select("number", "blocks", (F.col("ahead") + F.col("in_lane")).alias("first"), "n")
-        .where("n > 0")
-    )
-    most = p.most
+    draws = Draws(want, p.most * blocks, p)
 
-    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            for num, nb, first, n in zip(*(c.to_pylist() for c in b.columns)):
-                j = np.arange(first, min(first + n, most * nb), dtype=np.int64)
-                if not len(j):
-                    continue
-                # one permutation for each time that the source starts over
-                key = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{num}:{e}".encode(), digest_size=8).digest(), "big") for e in range(most)], dtype=np.uint64)
-                at = permuted(j % nb, np.full(len(j), nb), key[j // nb])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), num), pa.int32()), pa.array(at, pa.int64())], names=["number", "block"])
-
-    # few rows stand for many slots, so they are dealt out before they unfold
-    placed = slots_df.repartition(spread(spark), "number", "first").mapInArrow(place, "number int, block bigint")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, np.ndarray] = {}
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                for k, (first, n) in enumerate(zip(*(x.tolist() for x in draws.shard(shard)))):
+                    if not n:
+                        continue
+                    if k not in keys:  # one permutation for each time that the source starts over
+                        names = [f"{p.seed}:{number[k]}:{e}".encode() for e in range(p.most)]
+                        keys[k] = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") for x in names], dtype=np.uint64)
+                    j, nb = np.arange(first, first + n, dtype=np.int64), int(blocks[k])
+                    at = permuted(j % nb, np.full(n, nb), keys[k][j // nb])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number[k]), pa.int32()), pa.array(at, pa.int64())], names=["number", "block"])
+
+    placed = spark.range(draws.shards).mapInArrow(place, "number int, block bigint")
     return placed.groupBy("number", "block").agg(F.count("*").alias("uses"))
 
 
 def laid_out(sizes: DataFrame, sources: DataFrame, p: Params) -> DataFrame:
     """id, src, size, twin, number, source_size, target, start: place of each row in its source's words."""
-    rows = sizes.withColumn("lane", F.pmod(F.xxhash64("id", "twin"), F.lit(p.lanes)))
+    lanes = max(256, -(-sizes.count() // p.lane_rows))
+    rows = sizes.withColumn("lane", F.pmod(F.xxhash64("id", "twin"), F.lit(lanes)))
     lanes = rows.groupBy("src", "lane").agg(F.sum("size").alias("ls"))
     ahead = W.partitionBy("src").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)
     lanes = lanes.withColumn("ahead", F.coalesce(F.sum("ls").over(ahead), F.lit(0))).drop("ls")
@@ -237,35 +248,51 @@ def pick(text: str, pieces: list[dict], most: int) -> list[str]:
 def mixed(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """The mixture as rows of ``docs``: each document as often as it is used, with the words taken each time.
 
-    Documents without words are taken by none; repeated rows share the pieces of the first of them.
+    Documents without words are taken by none; repeated rows each give the words of their own place.
     """
     sizes = settle(sized(docs, id_col, text_col, source_col), "sizes")
     sources = settle(targets(sizes, p), "sources")
     laid = settle(laid_out(sizes, sources, p), "laid")
     parts = taken_blocks(laid, block_uses(sources, p), p)
-    lists = parts.groupBy("id", "twin", "start").agg(F.collect_list(F.struct("lo", "n", "uses")).alias("pieces"))
-    lists = lists.groupBy("id", "twin").agg(F.min_by("pieces", "start").alias("pieces"))
-    lists = settle(lists.select(F.col("id").alias("id__"), F.col("twin").alias("twin__"), F.col("pieces").alias("pieces__")), "pieces")
+    lists = parts.groupBy("id", "twin", "number", "start").agg(F.collect_list(F.struct("lo", "n", "uses")).alias("pieces"))
+    # the pieces of every row of a repeated id and text, in the order of their places
+    places = laid.where("size > 0").groupBy(F.col("id").alias("id2"), F.col("twin").alias("twin2"), F.col("number").alias("number2")).agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    lists = lists.groupBy("id", "twin", "number").agg(F.map_from_entries(F.collect_list(F.struct("start", "pieces"))).alias("by_start"))
+    lists = lists.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("twin") == F.col("twin2")) & (F.col("number") == F.col("number2")))
+    id_, twin_, number_, pieces_ = (free_name(docs, x) for x in ("id", "twin", "number", "pieces"))
+    found = F.transform("starts", lambda x: F.col("by_start")[x])
+    lists = settle(lists.select(F.col("id").alias(id_), F.col("twin").alias(twin_), F.col("number").alias(number_), found.alias(pieces_)), "pieces")
     names = docs.columns
     at = {c: names.index(c) for c in (text_col, *([length_col] if length_col in names else []))}
     most = p.most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                rows, texts = [], []
-                for i, (t, x) in enumerate(zip(b.column(at[text_col]).to_pylist(), b.column(len(names)).to_pylist())):
-                    for new in pick(t, x, most):
+        for batch in batches:
+            for start, texts in sliced_texts(batch.column(at[text_col]), 4_000_000):
+                b = batch.slice(start, len(texts))
+                rows, new = [], []
+                for i, (t, x) in enumerate(zip(texts, b.column(len(names)).to_pylist())):
+                    for part in pick(t, x or [], most):
                         rows.append(i)
-                        texts.append(new)
+                        new.append(part)
                 take = pa.array(rows, pa.int64())
                 cols = [b.column(k).take(take) for k in range(len(names))]
-                cols[at[text_col]] = pa.array(texts, cols[at[text_col]].type)
+                cols[at[text_col]] = pa.array(new, cols[at[text_col]].type)
                 if length_col in at:
-                    cols[at[length_col]] = pa.array([len(t) for t in texts], cols[at[length_col]].type)
+                    cols[at[length_col]] = pa.array([len(t) for t in new], cols[at[length_col]].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.join(lists, docs[id_col].eqNullSafe(lists["id__"]) & (F.xxhash64(docs[text_col]) == lists["twin__"]))
-    return keyed.select(*[docs[c] for c in names], "pieces__").mapInArrow(run, fields)
+    own = [F.col(f"`{c}`") for c in names]
+    src_, n_ = free_name(docs, "src"), free_name(docs, "n")
+    source = sources.select(F.col("src").alias(src_), F.col("number").alias(n_))  # a row per source
+    numbered = docs.join(F.broadcast(source), F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(src_)))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(twin_)) & (F.col(n_) == F.col(number_))
+    keyed = numbered.join(lists, same)
+    one = keyed.where(F.size(pieces_) == 1).select(*own, F.col(pieces_)[0].alias(pieces_))
+    if not lists.where(F.size(pieces_) > 1).isEmpty():
+        order = W.partitionBy(id_, twin_, number_).orderBy(F.xxhash64(*own))
+        again = keyed.where(F.size(pieces_) > 1).withColumn(n_, F.row_number().over(order))
+        one = one.unionAll(again.select(*own, F.col(pieces_)[F.col(n_) - 1].alias(pieces_)))
+    return one.mapInArrow(run, fields)

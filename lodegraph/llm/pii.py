@@ -27,12 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import settle
+from lodegraph.llm.common import free_name, settle, sliced_texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -199,26 +200,29 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            twins, kinds, base, ents, near = [], [], [], [], _Near()
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                raw = text.encode("utf-8", "surrogatepass")
-                for w in set(raw.translate(_FOLD).split()):
-                    if len(w) >= p.shortest:
-                        k = key(w)
-                        counts[k] = counts.get(k, 0) + 1
-                twins.append(_key(raw))
-                kinds.append([sum(k == s[0] for s in spans) for k in KINDS])
-                base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
-                ents.append(entities_of(text, spans) if spans else [])
-                near.add([(key(w), n, at) for w, (n, at) in places(text, spans, p).items()] if spans else [])
-                if len(counts) > 250_000:
-                    yield from tell()
-            yield batch_of(batch.column(0), range(row, row + batch.num_rows), twins, kinds, base, ents, near, [None] * batch.num_rows)
-            row += batch.num_rows
+            for start, texts in sliced_texts(batch.column(1), 4_000_000):
+                twins, kinds, base, ents, near = [], [], [], [], _Near()
+                for text in texts:
+                    spans = base_spans(text)
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for w in set(raw.translate(_FOLD).split()):
+                        if len(w) >= p.shortest:
+                            k = key(w)
+                            counts[k] = counts.get(k, 0) + 1
+                    twins.append(_key(raw))
+                    kinds.append([sum(k == s[0] for s in spans) for k in KINDS])
+                    base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
+                    ents.append(entities_of(text, spans) if spans else [])
+                    near.add([(key(w), n, at) for w, (n, at) in places(text, spans, p).items()] if spans else [])
+                    if len(counts) > 250_000:
+                        yield from tell()
+                n = len(texts)
+                yield batch_of(batch.column(0).slice(start, n), range(row, row + n), twins, kinds, base, ents, near, [None] * n)
+                row += n
         if counts:
             yield from tell()
+        cache.clear()
+        tidy()
 
     schema = (
         f"id {kind}, row bigint, twin bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS)
@@ -289,24 +293,32 @@ def sanitised(text: str, spans: str, removed: str = "") -> str:
 
 def sanitise(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with sanitised texts (null texts stay null); all other columns as they were."""
-    spans = find(docs, p, id_col, text_col).where("spans <> ''").select(F.col(id_col).alias("id__"), F.col("twin").alias("twin__"), F.col("spans").alias("spans__"), F.col("removed").alias("removed__"))
-    spans = settle(spans.dropDuplicates(["id__", "twin__"]), "found")
+    id_, twin_, spans_, removed_ = (free_name(docs, x) for x in ("id", "twin", "spans", "removed"))
+    spans = find(docs, p, id_col, text_col).where("spans <> ''").select(F.col(id_col).alias(id_), F.col("twin").alias(twin_), F.col("spans").alias(spans_), F.col("removed").alias(removed_))
+    spans = settle(spans.dropDuplicates([id_, twin_]), "found")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            twin = [_key((t or "").encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()]
-            yield b.append_column("twin__", pa.array(twin, pa.int64()))
+        for batch in batches:
+            for start, texts in sliced_texts(batch.column(docs_cols.index(text_col))):
+                twin = [_key(t.encode("utf-8", "surrogatepass")) for t in texts]
+                yield batch.slice(start, len(texts)).append_column(twin_, pa.array(twin, pa.int64()))
+        tidy()
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            new = [sanitised(t, s, r or "") if t and s else t for t, s, r in zip(b.column(at).to_pylist(), b.column("spans__").to_pylist(), b.column("removed__").to_pylist())]
-            cols = [pa.array(new, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(docs_cols))]
-            yield pa.RecordBatch.from_arrays(cols, names=docs_cols)
+        at = docs_cols.index(text_col)
+        for batch in batches:
+            for start, texts in sliced_texts(batch.column(at)):
+                b = batch.slice(start, len(texts))
+                found = b.column(len(docs_cols) + 1).to_pylist(), b.column(len(docs_cols) + 2).to_pylist()
+                new = pa.array([sanitised(t, s, r or "") if t and s else t for t, s, r in zip(texts, *found)], b.column(at).type)
+                new = pc.if_else(pc.is_null(b.column(at)), b.column(at), new)
+                yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(docs_cols))], names=docs_cols)
+        tidy()
 
     docs_cols = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(keys, fields + ", twin__ bigint")
-    joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans["id__"]) & (keyed["twin__"] == spans["twin__"]), "left").drop("id__", "twin__")
+    keyed = docs.mapInArrow(keys, f"{fields}, {twin_} bigint")
+    spans = spans.withColumnRenamed(twin_, twin_ + "_")
+    joined = keyed.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.col(twin_) == F.col(twin_ + "_")), "left")
+    joined = joined.select(*[f"`{c}`" for c in docs_cols], twin_, spans_, removed_)
     return joined.mapInArrow(replace, fields)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import settle
+from lodegraph.llm.common import least_hashes, settle, sliced_texts, tidy
 
 STATS = (
     "bytes", "words", "lines", "upper", "lower", "digit", "stop", "bang", "bar", "symbol", "space", "wide",
@@ -77,10 +77,13 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.array([statistics(t) for t in b.column(at).to_pylist()], dtype=np.float64).reshape(b.num_rows, len(STATS))
-            cols = [*b.columns, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(STATS)))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(_PREFIX + s for s in STATS)])
+        for batch in batches:
+            for start, texts in sliced_texts(batch.column(at)):
+                b = batch.slice(start, len(texts))
+                rows = np.array([statistics(t) for t in texts], dtype=np.float64).reshape(b.num_rows, len(STATS))
+                cols = [*b.columns, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(STATS)))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *(_PREFIX + s for s in STATS)])
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, fields + "".join(f", {_PREFIX}{s} double" for s in STATS))
@@ -180,7 +183,7 @@ def fit(stats: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     """Rules learned from the labelled rows of ``stats`` that are not held out."""
     known = labels.select(F.col(id_col).alias("id__"), F.col("quality").alias("y__")).where("y__ is not null").where(~held_out("id__"))
     rows = stats.join(known, stats[id_col] == known["id__"]).select("id__", "y__", *[_PREFIX + s for s in STATS])
-    got = rows.orderBy(F.xxhash64("id__"), "id__", _PREFIX + STATS[0], "y__").limit(p.fit_rows).toPandas()
+    got = least_hashes(rows, known.count(), p.fit_rows, "id__", _PREFIX + STATS[0], "y__").toPandas()
     y = got["y__"].to_numpy(dtype=np.float64)
     x = got[[_PREFIX + s for s in STATS]].to_numpy(dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -201,6 +204,6 @@ def scores(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
 
 def accepted(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score of ``least`` or more, unchanged."""
-    stats = settle(with_statistics(docs.select(id_col, F.col(text_col).cast("string").alias("text"))).drop("text"), "stats")
+    stats = settle(with_statistics(docs, text_col), "stats")
     rules = fit(stats, labels, p, id_col)
-    return with_statistics(docs, text_col).where(rules.score() >= least).select(*[f"`{c}`" for c in docs.columns])
+    return stats.where(rules.score() >= least).select(*[f"`{c}`" for c in docs.columns])

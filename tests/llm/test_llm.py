@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from lodegraph.llm import ann, bpe, coder, edit_counts, minhash, mixing, pii, quality, queries, ring, token_file, weighted
 from lodegraph.llm.common import table
@@ -430,3 +431,52 @@ def test_pipeline(spark, ranks):
             assert docs.columns == before.columns
     assert 0 < docs.count() and sorted(tuple(r.ids) for r in docs.collect()) == sorted(tuple(lib.encode_ordinary(r.text)) for r in before.collect())
     assert queries.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_mixing_taken_by_brute_force(spark, docs, hard):
+    for df in (docs, hard):
+        p = mixing.Params()
+        sizes = mixing.sized(df).cache()
+        sources = mixing.targets(sizes, p).cache()
+        laid = mixing.laid_out(sizes, sources, p).collect()
+        by_source = {r.number: r for r in sources.collect() if r.source_size}
+        order = sorted(by_source)
+        blocks = {k: -(-by_source[k].source_size // p.block) for k in order}
+        draws = mixing.Draws(np.array([by_source[k].target * blocks[k] / by_source[k].source_size for k in order]), 3 * np.array([blocks[k] for k in order]), p)
+        used, seen = {k: Counter() for k in order}, Counter()
+        for shard in range(draws.shards):
+            for k, n in zip(order, draws.shard(shard)[1].tolist()):
+                for j in range(seen[k], seen[k] + n):
+                    key = int.from_bytes(hashlib.blake2b(f"{p.seed}:{k}:{j // blocks[k]}".encode(), digest_size=8).digest(), "big")
+                    used[k][int(mixing.permuted(np.array([j % blocks[k]]), np.array([blocks[k]]), np.array([key], dtype=np.uint64))[0])] += 1
+                seen[k] += n
+        assert [seen[k] for k in order] == draws.counts.tolist()
+        want = sorted((r.id, r.size, sum(used[r.number][w // p.block] for w in range(r.start, r.start + r.size))) for r in laid)
+        assert want == sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(df).collect())
+
+
+def test_mixing_shards_vary_as_drawn():
+    p = mixing.Params(slots=1000)
+    draws = mixing.Draws(np.array([300_000.0, 600_000.0, 100_000.0]), np.array([10**6] * 3), p)
+    got = np.array([draws.shard(k)[1] for k in range(draws.shards)])
+    assert (got.sum(axis=1) == 1000).all() and got.sum(axis=0).tolist() == [300_000, 600_000, 100_000]
+    for k, share in enumerate((0.3, 0.6, 0.1)):  # the variance of a multinomial draw
+        assert got[:, k].var() == pytest.approx(1000 * share * (1 - share), rel=0.2)
+    assert (np.cumsum(got, axis=0)[:-1] == np.array([draws.shard(k)[0] for k in range(1, draws.shards)])).all()
+
+
+def test_mixed_gives_repeated_rows_their_own_words(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(880)), "a"), (1, " ".join(f"w{i}" for i in range(880)), "a"), (None, "one two three " * 40, None), (None, "one two three " * 40, None), (2, "x y " * 200, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("pieces__", F.lit(1)).withColumn("id__", F.lit(2))
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    taken = {(r.doc_id, r.n) for r in mixing.mix(df).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+    assert taken == {(r.doc_id, r.n) for r in got.groupBy("doc_id").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).cast("bigint").alias("n")).collect()} | {x for x in taken if not x[1]}
+
+
+def test_sanitise_keeps_columns_with_its_own_names(spark):
+    rows = [(1, "mail a@b.example.com now", 5, "t", None), (1, "mail a@b.example.com now", 6, "u", "s"), (None, None, 7, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, twin__ int, id__ string, spans__ string")
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    assert {(r.text, r["twin__"]) for r in got.collect()} == {("mail [EMAIL] now", 5), ("mail [EMAIL] now", 6), (None, 7)}
