@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(cpus: int | str = "*", shuffle: int = 8, app: str = "lodegraph") -> SparkSession:
@@ -28,7 +29,10 @@ def local_session(cpus: int | str = "*", shuffle: int = 8, app: str = "lodegraph
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their PYTHONPATH holds it already."""
+    """Send this package to the executors unless their PYTHONPATH holds it already; whole texts travel to Python in
+    small batches unless the session sets a size of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
     if os.path.realpath(ROOT) in paths or app in _SHIPPED:
