@@ -26,7 +26,7 @@ def tokens(text: Column) -> Column:
 
 
 def visible_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s", ""))
+    return F.length(F.regexp_replace(text, r"(?U)\s", ""))
 
 
 def token_estimate(text: Column) -> Column:
@@ -47,6 +47,50 @@ def embedding_text(kind: Column, name: Column, chain: Column, signature: Column,
     return F.concat_ws("\n", head, signature, doc, listed("called by: ", callers), listed("uses: ", deps))
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """The longest common prefix of two strings."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.filter(F.sequence(F.lit(0), n), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))
+    return F.substring(a, F.lit(1), F.array_max(same))
+
+
+def lines(text: Column) -> Column:
+    """Lines without their ends; a closing line end opens no further line."""
+    return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
+
+
+def names_of(csv: Column, keep_blank: bool = False) -> Column:
+    """Trimmed parts of a comma-separated list; blanks go unless they are to be kept."""
+    parts = F.transform(F.split(csv, ","), lambda x: F.trim(x))
+    return parts if keep_blank else F.filter(parts, lambda x: x != "")
+
+
+def suffix_either_way(a: Column, b: Column) -> Column:
+    """Whether one path ends with the other."""
+    return a.endswith(b) | b.endswith(a)
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(path, r"\.([^./]+)$", 1)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
+def day(epoch: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+
+
+def minute(epoch: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most so many characters, with dots where some are left out."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodegraph.functions import expressions as X
 from lodegraph.operators.graph import reach
 
 SHOWN_CALLERS = 5
@@ -45,3 +46,10 @@ def full(symbols: DataFrame, edges: DataFrame, annotations: DataFrame, seeds: Da
         text = text.join(n, "id", "left")
     line = F.format_string("within %d calls: %d callers, %d dependencies", F.lit(depth), F.coalesce("callers", F.lit(0)), F.coalesce("dependencies", F.lit(0)))
     return text.select("id", F.concat_ws("\n", "standard", line).alias("full"))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """file, line_number, text: the lines line_start to line_end (from 1, both included) of (file, content), numbered."""
+    found = sources.select("file", "line_start", "line_end", F.posexplode(X.lines(F.col("content"))).alias("pos", "line"))
+    n = (F.col("pos") + 1).cast("int")
+    return found.where(n.between(F.col("line_start"), F.col("line_end"))).select("file", n.alias("line_number"), F.format_string("%4d | %s", n, "line").alias("text"))

@@ -66,3 +66,23 @@ def history(commits: DataFrame, n: int) -> DataFrame:
     """The n latest rows (file, author, at, hash) of each file."""
     w = W.partitionBy("file").orderBy(F.desc("at"), "hash")
     return commits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+
+
+def moves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """symbol_id, old_file, new_file, change_type of the symbols whose bodies a renamed file took along."""
+    named = renames(old, new).select("old_file", "new_file")
+    there = new.select(F.col("file").alias("new_file"), "body_hash").distinct()
+    moved = old.join(named, old["file"] == named["old_file"]).join(there, ["new_file", "body_hash"], "left_semi")
+    return moved.select(F.col("id").alias("symbol_id"), "old_file", "new_file", F.lit("moved").alias("change_type"))
+
+
+def timeline(evolution: DataFrame) -> DataFrame:
+    """The changes (symbol_id, id, timestamp, diff_summary) of each symbol with their places, newest first."""
+    newest = W.partitionBy("symbol_id").orderBy(F.desc("timestamp"), F.desc("id"))
+    return evolution.withColumns({"diff_summary": F.coalesce("diff_summary", F.lit("")), "place": F.row_number().over(newest)})
+
+
+def touching(commits: DataFrame) -> DataFrame:
+    """The commits (file, hash, at, content_hash) that change their file: its content differs from the commit before."""
+    before = F.lag("content_hash").over(W.partitionBy("file").orderBy("at", "hash"))
+    return commits.withColumn("was", before).where("was is null or was <> content_hash").drop("was")

@@ -5,22 +5,36 @@ Edges are (from_id, to_id).  Traversals take many seeds at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.functions import expressions as X
 from lodegraph.storage import written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, callers: bool = True) -> DataFrame:
-    """seed, id, depth (least): all that reach the seeds (or are reached) within ``depth`` calls."""
-    step = edges.select(F.col("to_id" if callers else "from_id").alias("at"), F.col("from_id" if callers else "to_id").alias("next")).distinct()
-    front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id"))
-    seen = front.withColumn("depth", F.lit(0))
+    """seed, id, depth (least): all that reach the seeds (or are reached) within ``depth`` calls.
+
+    A level joins the one before it with the edges and drops what earlier levels hold.  Edges and levels are
+    written, so the plan of each level stays as short as the first one's; empty levels end the walk.
+    """
+    step = written(edges.select(F.col("to_id" if callers else "from_id").alias("at"), F.col("from_id" if callers else "to_id").alias("next")).distinct(), "steps")
+    own = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id")).distinct()
+    front, levels = own, []
     for d in range(1, depth + 1):
-        front = front.join(step, front["id"] == step["at"]).select("seed", F.col("next").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
-    return seen.where("depth > 0")
+        new = front.join(step, front["id"] == step["at"]).select("seed", F.col("next").alias("id")).distinct().where("id <> seed")
+        if levels:
+            new = new.join(reduce(DataFrame.unionByName, [x.select("seed", "id") for x in levels]), ["seed", "id"], "left_anti")
+        if d < depth:
+            new = written(new, "level")
+        levels.append(new.withColumn("depth", F.lit(d)))
+        front = new
+        if d < depth and new.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
 
 
 def trace(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
@@ -101,6 +115,25 @@ def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
     return work.groupBy("component").applyInPandas(move, "id bigint, community bigint")
 
 
+def communities_or_files(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, community as text: by calls where there are any, else one community for each file."""
+    if edges.where("from_id <> to_id").isEmpty():
+        return symbols.select("id", F.col("file").alias("community"))
+    return communities(edges).select("id", F.col("community").cast("string").alias("community"))
+
+
+def labels(members: DataFrame, symbols: DataFrame) -> DataFrame:
+    """community, label: the longest common prefix of the members' files if it has more than two bytes
+    (without closing slashes), else the file of most members (the first by name among equals).
+
+    The common prefix of all files is that of the least and the greatest one, so no list is gathered.
+    """
+    filed = members.join(symbols.select("id", "file"), "id").groupBy("community", "file").agg(F.count("*").alias("n"))
+    ends = filed.groupBy("community").agg(F.min("file").alias("a"), F.max("file").alias("b"), F.max(F.struct("n", F.lit(0))).alias("most"))
+    usual = filed.join(ends.select("community", F.col("most.n").alias("n")), ["community", "n"]).groupBy("community").agg(F.min("file").alias("usual"))
+    return ends.join(usual, "community").select("community", F.when(F.octet_length(X.common_prefix(F.col("a"), F.col("b"))) > 2, F.regexp_replace(X.common_prefix(F.col("a"), F.col("b")), "/+$", "")).otherwise(F.col("usual")).alias("label"))
+
+
 def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
     """community, size, cohesion: inner undirected edges over possible ones; 1 for a single member."""
     pairs = edges.where("from_id <> to_id").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,6 +39,72 @@ def bm25(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str,
     return ranked(scored.orderBy("score", "id").limit(k), F.col("score"))
 
 
+class Index:
+    """Stored postings: term, id, tf, dl in buckets by term, sorted by it, beside one row of corpus statistics.
+
+    A search reads the rows of its terms alone; no text is cut into words again.
+    """
+
+    BUCKETS = 32
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, text_col: str, path: str) -> Index:
+        spark = docs.sparkSession
+        words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+        counted = words.select("id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+        rows = counted.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket))  # documents without words
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        one = spark.read.parquet(f"{path}/postings").select("id", "dl").dropDuplicates(["id"])
+        one.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        asked = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        buckets = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()]
+        return self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def search(self, query: list[str], k: int, mode: str = "all") -> DataFrame:
+        """id, score (lower is better), rank of the k best documents with all (or any) of the query's terms."""
+        terms = list(dict.fromkeys(t.lower() for t in query))
+        found = self.postings(terms).select("term", "id", "tf", "dl")
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        stats = self.spark.read.parquet(f"{self.path}/stats")
+        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+        df = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", idf.alias("idf"))  # a row for each term of the query
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = found.join(F.broadcast(df), "term").groupBy("id").agg(F.round(-F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
+        best = scored.where(F.col("hits") == len(terms)) if mode == "all" else scored
+        return ranked(best.select("id", "score").orderBy("score", "id").limit(k), F.col("score"))
+
+
+def query_terms(text: str) -> list[str]:
+    """The words of a query, as documents are cut; operators and quotes of a query language mean nothing."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def lookup(symbols: DataFrame, index: Index, name: str, k: int = 5) -> DataFrame:
+    """Symbols of that very name (found: exact), else the k best by BM25 (found: search)."""
+    exact = symbols.where(F.col("name") == name).withColumn("found", F.lit("exact"))
+    if not exact.isEmpty():
+        return exact
+    return symbols.join(index.search(query_terms(name), k).select("id"), "id").withColumn("found", F.lit("search"))
+
+
+def search_or_fall_back(index: Index, query: str, k: int, vectors: DataFrame | None = None, query_vector: DataFrame | None = None, edges: DataFrame | None = None, hot: DataFrame | None = None, id_col: str = "id", vector_col: str = "v") -> DataFrame:
+    """id, score, rank, found: hybrid where there are vectors (the graph's signal where there is attention), else BM25 alone."""
+    words = query_terms(query)
+    if vectors is None or query_vector is None or vectors.isEmpty():
+        return index.search(words, k).withColumn("found", F.lit("bm25"))
+    signals = [index.search(words, 3 * k), vector_top_k(vectors, query_vector, 3 * k, id_col, vector_col)]
+    if edges is not None and hot is not None and not hot.isEmpty():
+        signals.append(proximity(edges, hot, 3 * k))
+    return rrf(signals, k).withColumn("found", F.lit("hybrid"))
+
+
 def _count_in(words: str, term: str):
     return F.size(F.filter(words, lambda x: x == term))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lodegraph.functions import expressions as X
 from lodegraph.operators import clones, context, evolution, graph, knowledge, search, structure
@@ -57,7 +57,7 @@ COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 VEC = """q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
  vs AS (SELECT vec_id AS id, round(""" + COS.format(a="embedding", b="qv") + """, 6) AS score FROM embeddings, q),
  ve AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM vs ORDER BY score DESC, id LIMIT {k})"""
-HOT = "hot AS (SELECT p_partkey AS id, p_size::DOUBLE AS importance FROM part WHERE p_partkey % 50 = 0)"
+HOT = f"hot AS (SELECT id, (views + 2 * queries + 3 * annotations)::DOUBLE AS importance FROM ({ATT}) WHERE views + queries + annotations > 0 ORDER BY importance DESC, id LIMIT 30)"
 PROX = """e AS (""" + E48 + """), """ + HOT + """,
  st1 AS (SELECT to_id AS at, from_id AS nxt, 'in' AS way FROM e UNION ALL SELECT from_id, to_id, 'out' FROM e),
  one AS (SELECT hot.id AS seed, importance, nxt, way FROM hot JOIN st1 ON hot.id = st1.at),
@@ -146,7 +146,7 @@ def token_estimate(spark, d):
 
 @query("WITH " + BM25.format(k=10) + " SELECT id, score, rank FROM bm")
 def bm25_search(spark, d):
-    return search.bm25(V.table(spark, d, "documents"), list(WORDS), 10, "doc_id", "text")
+    return V.search_index(spark, d).search(list(WORDS), 10)
 
 
 @query(r"""SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents) GROUP BY t""")
@@ -165,8 +165,7 @@ def vector_topk(spark, d):
 
 @query("WITH " + PROX.format(k=30) + " SELECT id, score, rank FROM pr")
 def graph_proximity(spark, d):
-    hot = V.part_symbols(spark, d).where("id % 50 = 0").select("id", F.col("complexity").cast("double").alias("importance"))
-    return search.proximity(V.calls(spark, d), hot, 30)
+    return search.proximity(V.calls(spark, d), V.hot(spark, d, 30), 30)
 
 
 RRF = """fu AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM ({u}) GROUP BY id),
@@ -175,14 +174,14 @@ RRF = """fu AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score
 
 @query("WITH " + BM25.format(k=30) + ", " + VEC.format(k=30) + ", " + RRF.format(u="SELECT id, rank FROM bm UNION ALL SELECT id, rank FROM ve", k=10) + " SELECT id, score, rank FROM fr")
 def rrf_fuse(spark, d):
-    a = search.bm25(V.table(spark, d, "documents"), list(WORDS), 30, "doc_id", "text")
+    a = V.search_index(spark, d).search(list(WORDS), 30)
     b = search.vector_top_k(V.table(spark, d, "embeddings"), _query_vector(spark, d), 30, "vec_id", "embedding")
     return search.rrf([a, b], 10)
 
 
 @query("WITH " + BM25.format(k=30) + ", " + VEC.format(k=30) + ", " + PROX.format(k=30) + ", " + RRF.format(u="SELECT id, rank FROM bm UNION ALL SELECT id, rank FROM ve UNION ALL SELECT id, rank FROM pr", k=10) + " SELECT id, score, rank FROM fr")
 def hybrid_search(spark, d):
-    a = search.bm25(V.table(spark, d, "documents"), list(WORDS), 30, "doc_id", "text")
+    a = V.search_index(spark, d).search(list(WORDS), 30)
     b = search.vector_top_k(V.table(spark, d, "embeddings"), _query_vector(spark, d), 30, "vec_id", "embedding")
     return search.rrf([a, b, graph_proximity(spark, d)], 10)
 
@@ -191,7 +190,7 @@ GOLD = """g AS (SELECT doc_id AS id, quality + toxic AS grade, 'q' AS query FROM
 
 
 def _metric_inputs(spark, d):
-    found = search.bm25(V.table(spark, d, "documents"), list(WORDS), 10, "doc_id", "text").withColumn("query", F.lit("q"))
+    found = V.search_index(spark, d).search(list(WORDS), 10).withColumn("query", F.lit("q"))
     gold = V.table(spark, d, "labels").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"), (F.col("quality") + F.col("toxic")).alias("grade"))
     return structure.metrics(found, gold, 10)
 
@@ -218,22 +217,27 @@ def ndcg(spark, d):
 
 # --- graph -------------------------------------------------------------------------------------------
 
-def _seeds(spark, d, every: int = 40) -> DataFrame:
-    return V.part_symbols(spark, d).where(F.col("id") % every == 0).select("id")
+def _seeds(spark, d) -> DataFrame:
+    return V.part_symbols(spark, d).select("id")
 
 
-SEEDS = "seeds AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 40 = 0)"
-MINR = "SELECT seed, id, min(depth) AS depth FROM r WHERE id <> seed GROUP BY seed, id"
+def _named(found, spark, d) -> DataFrame:
+    """Ids with their symbols' names and files; ids of no symbol go."""
+    return found.join(V.part_symbols(spark, d).select("id", "name", "file"), "id").select("seed", "id", "depth", "name", "file")
+
+
+SEEDS = "seeds AS (SELECT p_partkey AS id FROM part)"
+MINR = "SELECT seed, id, min(depth) AS depth, any_value(p_name) AS name, any_value(p_brand) AS file FROM r JOIN part ON p_partkey = id WHERE id <> seed GROUP BY seed, id"
 
 
 @query(f"WITH RECURSIVE e AS ({E48}), {SEEDS}, {REACH.format(next='from_id', at='to_id', depth=3)} {MINR}")
 def find_callers(spark, d):
-    return graph.reach(V.calls(spark, d), _seeds(spark, d), 3, True)
+    return _named(graph.reach(V.calls(spark, d), _seeds(spark, d), 3, True), spark, d)
 
 
 @query(f"WITH RECURSIVE e AS ({E48}), {SEEDS}, {REACH.format(next='to_id', at='from_id', depth=3)} {MINR}")
 def find_dependencies(spark, d):
-    return graph.reach(V.calls(spark, d), _seeds(spark, d), 3, False)
+    return _named(graph.reach(V.calls(spark, d), _seeds(spark, d), 3, False), spark, d)
 
 
 @query(f"""WITH RECURSIVE e AS ({E48}), {SEEDS}, {REACH.format(next='from_id', at='to_id', depth=2)},
@@ -244,9 +248,9 @@ def trace(spark, d):
     return graph.trace(V.calls(spark, d), _seeds(spark, d), 2)
 
 
-@query(f"WITH e AS ({E48}) SELECT to_id AS id, from_id AS caller FROM e WHERE to_id % 10 = 0")
+@query(f"WITH e AS ({E48}) SELECT to_id AS id, from_id AS caller FROM e")
 def direct_callers(spark, d):
-    return V.calls(spark, d).where("to_id % 10 = 0").select(F.col("to_id").alias("id"), F.col("from_id").alias("caller"))
+    return V.calls(spark, d).select(F.col("to_id").alias("id"), F.col("from_id").alias("caller"))
 
 
 @query(f"WITH e AS ({E40}) SELECT * FROM ({DEG}) WHERE callers > 10")
@@ -282,8 +286,6 @@ def hot_path(spark, d):
 @query(RISK + " SELECT file, sum(callers)::BIGINT AS callers, max(risk) AS most_risk, sum(stale)::BIGINT AS stale, list_slice(list(name ORDER BY id), 1, 3) AS names FROM r GROUP BY file")
 def file_rollup(spark, d):
     # the three first names of a file are found by a bounded aggregate, not by collecting the file
-    from pyspark.sql import Window as W
-
     r = _risk(spark, d)
     top = r.withColumn("n", F.row_number().over(W.partitionBy("file").orderBy("id"))).where("n <= 3").groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("names"))
     return r.groupBy("file").agg(F.sum("callers").alias("callers"), F.max("risk").alias("most_risk"), F.sum("stale").alias("stale")).join(top, "file")
@@ -379,11 +381,11 @@ def contradictions(spark, d):
 
 
 def _cascade(spark, d):
-    changed = V.part_symbols(spark, d).where("id % 97 = 0").select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("full_hash"))
+    changed = V.part_hashes(spark, d).where("old_hash <> full_hash").select("id", "full_hash")
     return knowledge.cascade(V.calls(spark, d), V.part_annotations(spark, d), changed)
 
 
-CASC = f"""WITH RECURSIVE e AS ({E48}), a AS ({NOTES}), seeds AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 97 = 0), {REACH.format(next='from_id', at='to_id', depth=5)},
+CASC = f"""WITH RECURSIVE e AS ({E48}), a AS ({NOTES}), seeds AS (SELECT p_partkey AS id FROM part WHERE p_size >= 40), {REACH.format(next='from_id', at='to_id', depth=5)},
  far AS (SELECT seed, id, min(depth) AS depth FROM r WHERE id <> seed GROUP BY seed, id), rd AS (SELECT *, 0.3::DOUBLE * 0.5::DOUBLE ** (depth - 1) AS reduction FROM far)"""
 
 
@@ -403,10 +405,9 @@ def cascade_log(spark, d):
 
 @query(f"""SELECT id, CASE WHEN id % 6 = 0 THEN 1.0::DOUBLE WHEN id % 9 = 0 THEN round(greatest(0, confidence - 0.2), 6) ELSE confidence END AS confidence, CASE WHEN id % 6 = 0 THEN 'active' ELSE status END AS status FROM ({NOTES})""")
 def annotation_votes(spark, d):
-    a = V.part_annotations(spark, d)
     up = F.col("id") % 6 == 0
-    lower = F.round(F.greatest(F.lit(0.0), F.col("confidence") - 0.2), 6)
-    return a.select("id", F.when(up, 1.0).when(F.col("id") % 9 == 0, lower).otherwise(F.col("confidence")).alias("confidence"), F.when(up, "active").otherwise(F.col("status")).alias("status"))
+    after = knowledge.verify(knowledge.downvote(V.part_annotations(spark, d), ~up & (F.col("id") % 9 == 0)), up)
+    return after.select("id", F.round("confidence", 6).alias("confidence"), "status")
 
 
 # --- versions -------------------------------------------------------------------------------------------
@@ -532,3 +533,189 @@ def parse_symbols(spark, d):
 
     rows = V.part_symbols(spark, d).select(F.concat_ws("/", "file", F.concat("name", F.col("id").cast("string"), F.lit(".py"))).alias("path"), F.lit("python").alias("language"), F.format_string("class C%d:\n    def run(self):\n        return helper()\n\ndef helper():\n    return %d\n", "id", "complexity").alias("content"))
     return parse(rows).select("file", "name", "kind", "line_start", "line_end")
+
+
+# --- lookups in order, notes, topics, owners ---------------------------------------------------------------
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_brand, p_partkey) AS place FROM part")
+def all_symbols(spark, d):
+    s = V.part_symbols(spark, d).withColumn("line_start", F.col("id"))
+    # places through all symbols: rows before each file from the files' counts, places within a file from its window
+    n = s.groupBy("file").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.row_number().over(W.partitionBy("file").orderBy("line_start", "id"))
+    return s.withColumn("inner", inner).join(F.broadcast(n.select("file", "ahead")), "file").select("id", (F.col("ahead") + F.col("inner")).alias("place"))
+
+
+@query("SELECT p_partkey AS id, p_brand AS file FROM part WHERE ends_with(p_brand, 'src/Brand#13') OR ends_with('src/Brand#13', p_brand)")
+def files_by_suffix(spark, d):
+    return V.part_symbols(spark, d).where(X.suffix_either_way(F.col("file"), F.lit("src/Brand#13"))).select("id", "file")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, conv_id AS symbol_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, conv_id * 1000 + turn DESC) AS place FROM conversations")
+def symbol_notes(spark, d):
+    n = V.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("symbol_id"), F.col("turn").alias("created_at"))
+    return n.withColumn("place", F.row_number().over(W.partitionBy("symbol_id").orderBy(F.desc("created_at"), F.desc("id")))).select("id", "symbol_id", "place")
+
+
+@query(f"SELECT id, full_hash_at FROM ({NOTES})")
+def annotation_hashes(spark, d):
+    return V.part_annotations(spark, d).select("id", "full_hash_at")
+
+
+@query("SELECT p_partkey AS symbol_id FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
+def topic_symbols(spark, d):
+    s = V.part_symbols(spark, d)
+    first = s.agg(F.min("kind").alias("kind"))
+    return s.join(F.broadcast(first), "kind", "left_semi").select(F.col("id").alias("symbol_id"))
+
+
+@query("""SELECT author, commits, row_number() OVER (ORDER BY commits DESC, author) AS place FROM (SELECT o_custkey AS author, count(*) AS commits FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ORDER BY place LIMIT 50""")
+def file_owners(spark, d):
+    own = evolution.ownership(V.commits(spark, d).where("file = '1-URGENT'")).orderBy(F.desc("commits"), "author").limit(50)
+    return own.withColumn("place", F.row_number().over(W.orderBy(F.desc("commits"), "author"))).select("author", "commits", "place")
+
+
+@query("""SELECT user_id AS symbol_id, event_id AS id, coalesce(props, '') AS diff_summary, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events""")
+def evolution_timeline(spark, d):
+    ev = V.table(spark, d, "events").select(F.col("user_id").alias("symbol_id"), F.col("event_id").alias("id"), "ts", F.col("props").alias("diff_summary"))
+    return evolution.timeline(ev.withColumnRenamed("ts", "timestamp")).select("symbol_id", "id", "diff_summary", "place")
+
+
+@query("WITH " + BM25.format(k=5) + ", ex AS (SELECT doc_id AS id FROM documents WHERE 'doc_' || doc_id = 'doc_7') SELECT id, 'exact' AS found FROM ex UNION ALL SELECT id, 'search' FROM bm")
+def exact_or_search(spark, d):
+    s, index = V.text_symbols(spark, d), V.search_index(spark, d)
+    return search.lookup(s, index, "doc_7").unionByName(search.lookup(s, index, " ".join(WORDS))).select("id", "found")
+
+
+@query("WITH " + BM25.format(k=10) + ", " + VEC.format(k=30) + ", " + BM25.format(k=30)[BM25.format(k=30).index("bm AS"):].replace("bm AS", "b3 AS") + ", " + RRF.format(u="SELECT id, rank FROM b3 UNION ALL SELECT id, rank FROM ve", k=10)
+       + " SELECT id, score, rank, 'bm25' AS found FROM bm UNION ALL SELECT id, score, rank, 'hybrid' FROM fr")
+def search_fallback(spark, d):
+    index, vectors, text = V.search_index(spark, d), V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), " ".join(WORDS)
+    plain = search.search_or_fall_back(index, text, 10)
+    return plain.unionByName(search.search_or_fall_back(index, text, 10, vectors, _query_vector(spark, d))).select("id", "score", "rank", "found")
+
+
+# --- knowledge that is kept ----------------------------------------------------------------------------------
+
+@query(f"""WITH a AS ({NOTES}), l AS (SELECT max(id) AS m FROM a) SELECT id, symbol_id, confidence, CASE WHEN id = 3 THEN 'stale' ELSE status END AS status FROM
+ (SELECT id, symbol_id, CASE WHEN id = 6 THEN 0.25::DOUBLE ELSE confidence END AS confidence, status FROM a UNION ALL
+ SELECT m + 1, (SELECT min(p_partkey) FROM part WHERE p_name = (SELECT p_name FROM part WHERE p_partkey = 7)), 0.8, 'active' FROM l)""")
+def annotation_life(spark, d):
+    a = V.part_annotations(spark, d).withColumns({"annotation_type": F.lit("note"), "content": F.lit("c"), "author": F.lit("agent"), "created_at": F.lit(0).cast("bigint"), "updated_at": F.lit(0).cast("bigint")})
+    s = V.part_symbols(spark, d).withColumn("full_hash", F.lit("h"))
+    name = s.where("id = 7").first()["name"]
+    a = knowledge.annotate(a, s, name, "note", "new", F.lit(1).cast("bigint"))
+    return knowledge.set_status(knowledge.set_confidence(a, [6], 0.25), [3], "stale").select("id", "symbol_id", "confidence", "status")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part WHERE p_partkey IN (7, 11)) SELECT 1::BIGINT AS id, list(p_partkey ORDER BY p_partkey) AS symbol_ids, 'decision' AS kind FROM part WHERE p_name IN (SELECT p_name FROM n)
+ UNION ALL SELECT 1, list(p_partkey ORDER BY p_partkey), 'pattern' FROM part WHERE p_name IN (SELECT p_name FROM n)""")
+def decisions_and_patterns(spark, d):
+    s = V.part_symbols(spark, d)
+    csv = ", ".join(r["name"] for r in s.where("id in (7, 11)").select("name").distinct().collect())
+    empty = lambda cols: spark.createDataFrame([], cols)
+    now = F.lit(1).cast("bigint")
+    one = knowledge.record_decision(empty("id bigint, symbol_ids array<bigint>, description string, rationale string, alternatives string, confidence double, created_at bigint"), s, csv, "why", now)
+    two = knowledge.record_pattern(empty("id bigint, name string, description string, trigger_symbol_ids array<bigint>, evidence string, confidence double, created_at bigint"), s, "p", "what", now, csv + ", ,")
+    return one.select("id", "symbol_ids", F.lit("decision").alias("kind")).unionByName(two.select("id", F.col("trigger_symbol_ids").alias("symbol_ids"), F.lit("pattern").alias("kind")))
+
+
+@query(f"""WITH e AS ({E40}), g AS (SELECT id AS symbol_id, 'symbol has ' || callers || ' callers' AS content, row_number() OVER (ORDER BY id) AS id FROM ({DEG}) WHERE callers > 10)
+ SELECT id, [symbol_id] AS symbol_ids, content FROM g WHERE id <> 1""")
+def stored_insights(spark, d):
+    empty = spark.createDataFrame([], "id bigint, insight_type string, content string, symbol_ids array<bigint>, confidence double, status string, created_at bigint")
+    found = knowledge.insights(V.calls(spark, d, 40), 10)
+    once = knowledge.add_insights(empty, found, F.lit(1).cast("bigint"))
+    again = knowledge.add_insights(once, found, F.lit(2).cast("bigint"))  # known ones are not added again
+    return knowledge.active_insights(knowledge.resolve_insight(again, 1, "dismissed")).select("id", "symbol_ids", "content")
+
+
+@query("SELECT DISTINCT p_type AS topic, p_partkey AS symbol_id FROM part UNION SELECT 'named', p_partkey FROM part WHERE p_size > 25")
+def topics_added(spark, d):
+    s = V.part_symbols(spark, d)
+    t = s.select(F.col("kind").alias("topic"), F.col("id").alias("symbol_id"))
+    new = s.where("complexity > 25").select(F.lit("named").alias("topic"), F.col("id").alias("symbol_id"))
+    return knowledge.add_topic(knowledge.add_topic(t, new), new)
+
+
+PAIRS_SQL = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(knowledge.OPPOSED))
+
+
+@query(f"""WITH n AS (SELECT conv_id * 1000 + turn AS id, conv_id AS symbol_id, text || CASE turn % 4 WHEN 0 THEN ' must' WHEN 1 THEN ' should not be public' WHEN 2 THEN ' is private, Always unsafe' ELSE '' END AS content,
+ CASE WHEN turn % 5 = 4 THEN 'stale' ELSE 'active' END AS status FROM conversations), t AS (SELECT *, lower(content) AS t FROM n WHERE status = 'active'), p(n, first, second) AS (VALUES {PAIRS_SQL}),
+ m AS (SELECT a.symbol_id, a.id AS a, b.id AS b, p.n, first, second, a.content AS ca, b.content AS cb FROM t a JOIN t b ON a.symbol_id = b.symbol_id AND a.id < b.id, p WHERE (contains(a.t, first) AND contains(b.t, second)) OR (contains(a.t, second) AND contains(b.t, first))),
+ g AS (SELECT symbol_id, a, b, arg_min(first, n) AS first, arg_min(second, n) AS second, min(ca) AS ca, min(cb) AS cb FROM m GROUP BY symbol_id, a, b)
+ SELECT 'contradiction' AS insight_type, symbol_id, printf('''%s'' vs ''%s'': %s / %s', first, second, CASE WHEN length(ca) > 50 THEN ca[:50] || '...' ELSE ca END, CASE WHEN length(cb) > 50 THEN cb[:50] || '...' ELSE cb END) AS content, 0.7::DOUBLE AS confidence, 'active' AS status FROM g""")
+def contradiction_insights(spark, d):
+    said = F.when(F.col("turn") % 4 == 0, " must").when(F.col("turn") % 4 == 1, " should not be public").when(F.col("turn") % 4 == 2, " is private, Always unsafe").otherwise("")
+    n = V.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("symbol_id"), F.concat("text", said).alias("content"), F.when(F.col("turn") % 5 == 4, "stale").otherwise("active").alias("status"))
+    return knowledge.contradiction_insights(spark, n)
+
+
+@query(f"""WITH e AS ({E40}), seen AS ({ATT}), x AS (SELECT p_partkey AS id, 'explored' AS part, (views + 2 * queries + 3 * annotations)::DOUBLE AS importance FROM seen JOIN part ON p_partkey = seen.id)
+ SELECT id, part, importance FROM (SELECT * FROM x WHERE importance > 0 ORDER BY importance DESC, id LIMIT 15) UNION ALL
+ SELECT id, 'blind', callers::DOUBLE FROM (SELECT p_partkey AS id, coalesce(callers, 0) AS callers FROM part LEFT JOIN ({DEG}) c ON c.id = p_partkey WHERE p_partkey NOT IN (SELECT id FROM seen) AND coalesce(callers, 0) > 3 ORDER BY callers DESC, id LIMIT 20)""")
+def exploration_map(spark, d):
+    s = V.part_symbols(spark, d).select("id")
+    seen = knowledge.attention(V.attention_events(spark, d)).where("importance > 0")
+    known = seen.join(s, "id").orderBy(F.desc("importance"), "id").limit(15).select("id", F.lit("explored").alias("part"), "importance")
+    return known.unionByName(_unseen(spark, d, 3, 20).select("id", F.lit("blind").alias("part"), F.col("callers").cast("double").alias("importance")))
+
+
+# --- communities, history, sources ---------------------------------------------------------------------------
+
+@query("SELECT p_partkey AS id, p_brand AS community FROM part")
+def file_communities(spark, d):
+    s = V.part_symbols(spark, d)
+    return graph.communities_or_files(s, V.calls(spark, d).where("from_id = to_id"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, p_size AS community, p_brand AS file FROM part WHERE p_size < 40 OR p_brand < 'Brand#2'), f AS (SELECT community, file, count(*) AS n FROM m GROUP BY 1, 2),
+ e AS (SELECT community, min(file) AS a, max(file) AS b, arg_min(file, (-n, file)) AS usual FROM f GROUP BY 1),
+ p AS (SELECT community, usual, a[:coalesce(list_max(list_filter(range(0, length(a)::BIGINT + 1), lambda k: a[:k] = b[:k])), 0)] AS pre FROM e)
+ SELECT community, CASE WHEN strlen(pre) > 2 THEN regexp_replace(pre, '/+$', '') ELSE usual END AS label FROM p""")
+def community_labels(spark, d):
+    s = V.part_symbols(spark, d)
+    return graph.labels(s.where("complexity < 40 or file < 'Brand#2'").select("id", F.col("complexity").cast("int").alias("community")), s)
+
+
+@query(f"""WITH {V2}, g AS (SELECT DISTINCT file AS old_file, body_hash FROM o WHERE file NOT IN (SELECT file FROM n)), c AS (SELECT DISTINCT file AS new_file, body_hash FROM n WHERE file NOT IN (SELECT file FROM o)),
+ m AS (SELECT old_file, new_file, count(*) AS matches FROM g JOIN c USING (body_hash) GROUP BY 1, 2), t AS (SELECT old_file, count(*) AS total FROM g GROUP BY 1),
+ r AS (SELECT old_file, min(new_file) AS new_file FROM m JOIN t USING (old_file) WHERE 2 * matches >= total GROUP BY old_file)
+ SELECT o.id AS symbol_id, old_file, new_file, 'moved' AS change_type FROM r JOIN o ON o.file = old_file WHERE o.body_hash IN (SELECT n.body_hash FROM n WHERE n.file = new_file)""")
+def moved_symbols(spark, d):
+    return evolution.moves(*V.versions(spark, d)).select("symbol_id", "old_file", "new_file", "change_type")
+
+
+@query("""SELECT author, hash FROM (SELECT o_custkey AS author, o_orderkey AS hash, o_orderstatus AS s, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p IS NULL OR p <> s""")
+def touching_commits(spark, d):
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("hash"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("content_hash"))
+    return evolution.touching(o).select(F.col("file").alias("author"), "hash")
+
+
+@query(r"""WITH l AS (SELECT page_id AS file, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages)
+ SELECT file, n::INT AS line_number, printf('%4d | %s', n, rtrim(line, chr(13))) AS text FROM l WHERE n BETWEEN 2 AND 4 AND NOT (line = '' AND n = (SELECT max(x.n) FROM l x WHERE x.file = l.file))""")
+def source_slices(spark, d):
+    p = V.table(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content"), F.lit(2).alias("line_start"), F.lit(4).alias("line_end"))
+    return context.numbered(p).select("file", "line_number", "text")
+
+
+@query(r"""SELECT doc_id AS id, starts_with(text, 'T') AS starts, ends_with(text, '.') AS ends, length(rtrim(text)) AS trimmed, instr(text, 'e')::INT AS at, regexp_replace(source, '\d$', '') AS stripped,
+ len(list_filter(list_transform(string_split(text[:200], ','), lambda x: trim(x, ' ')), lambda x: x <> '')) AS parts, length(regexp_extract(source || '/x.tar.gz', '\.([^./]+)$', 1)) AS ext,
+ strftime(make_timestamp(doc_id * 1000000 * 86399), '%Y-%m-%d') AS day, strftime(make_timestamp(doc_id * 1000000 * 86399), '%Y-%m-%d %H:%M') AS minute,
+ '["' || lang || '","' || source || '"]' AS encoded, source AS decoded FROM documents""")
+def scalar_functions(spark, d):
+    t, src = F.col("text"), F.col("source")
+    coded = F.to_json(F.array("lang", "source"))
+    return V.table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), t.startswith("T").alias("starts"), t.endswith(".").alias("ends"), F.length(F.rtrim(t)).cast("bigint").alias("trimmed"), F.locate("e", t).alias("at"),
+        F.regexp_replace(src, r"\d$", "").alias("stripped"), F.size(X.names_of(F.substring(t, 1, 200))).cast("bigint").alias("parts"), F.length(X.extension(F.concat(src, F.lit("/x.tar.gz")))).cast("bigint").alias("ext"),
+        X.day(F.col("doc_id") * 86399).alias("day"), X.minute(F.col("doc_id") * 86399).alias("minute"), coded.alias("encoded"), F.element_at(F.from_json(coded, "array<string>"), 2).alias("decoded"),
+    )
+
+
+@query("WITH " + BM25.format(k=10) + """, g AS (SELECT doc_id AS id, lang AS query_type FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT query_type, count(*) AS hits FROM bm JOIN g USING (id) GROUP BY 1""")
+def hits_by_type(spark, d):
+    found = V.search_index(spark, d).search(list(WORDS), 10)
+    gold = V.table(spark, d, "documents").join(V.table(spark, d, "labels"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("lang").alias("query_type"))
+    return found.join(gold, "id").groupBy("query_type").agg(F.count("*").alias("hits"))

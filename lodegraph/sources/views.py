@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodegraph.operators.knowledge import attention
+from lodegraph.operators.search import Index
+from lodegraph.storage import workspace
+
+_INDEXES: dict[tuple[str, str], Index] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -38,6 +46,26 @@ def attention_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), kind.alias("kind"), F.col("ts").alias("at")).where("kind is not null")
 
 
+def hot(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """id, importance of the k symbols of most attention."""
+    found = attention(attention_events(spark, sf_dir)).where("importance > 0")
+    return found.select("id", "importance").orderBy(F.desc("importance"), "id").limit(k)
+
+
+def part_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, old_hash, full_hash of two versions of the part symbols: large parts differ."""
+    now = F.concat(F.lit("h"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") >= 40, F.lit("old")).otherwise(now).alias("old_hash"), now.alias("full_hash"))
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored postings of the documents, built at the first search of a session."""
+    key = spark.sparkContext.applicationId, sf_dir.rstrip("/")
+    if key not in _INDEXES:
+        _INDEXES[key] = Index.build(table(spark, sf_dir, "documents"), "doc_id", "text", f"{workspace(spark)}/postings-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("symbol_id"), F.col("text").alias("content"))
 
