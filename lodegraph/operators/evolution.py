@@ -54,8 +54,9 @@ def snapshot(symbols: DataFrame, branch: str) -> DataFrame:
 
 
 def ownership(lines: DataFrame) -> DataFrame:
-    """file, author, commits, last_touched from blamed lines (file, author, at)."""
-    return lines.groupBy("file", "author").agg(F.count("*").alias("commits"), F.max("at").alias("last_touched"))
+    """file, author, commits, last_touched (and the e-mail of the first line, where lines have one) from blamed lines (file, author, at)."""
+    mail = [F.min_by("email", "line").alias("email")] if {"email", "line"} <= set(lines.columns) else []
+    return lines.groupBy("file", "author").agg(*mail, F.count("*").alias("commits"), F.max("at").alias("last_touched"))
 
 
 def latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

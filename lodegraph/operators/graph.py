@@ -112,7 +112,8 @@ def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
                 break
         return pd.DataFrame({"id": list(own), "community": list(own.values())})
 
-    return work.groupBy("component").applyInPandas(move, "id bigint, community bigint")
+    kind = edges.schema["from_id"].dataType.simpleString()
+    return work.groupBy("component").applyInPandas(move, f"id {kind}, community {kind}")
 
 
 def communities_or_files(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Source texts to symbols: Python by its own grammar, brace languages and Ruby by declaration scanners.
 
-The scanners blank out strings and comments, find declarations by one pattern per kind, and match
-braces (or end keywords) for their extent.  They yield names, kinds and lines; call edges come from
-Python's grammar alone, resolved by name within a file.
+The scanners blank out strings and comments, find declarations by one pattern per kind, and match braces (or end
+keywords) for their extent.  A symbol's parent is the smallest one whose lines hold its own, and its scope chain
+leads from the outermost one to itself.  Calls are names before a parenthesis, resolved within a file to functions,
+methods and classes (the last of equal names), and belong to every function around them; calls through
+paths, macros, ``self`` in Python, and all calls of Java and Ruby yield none.  Python's bases give INHERITS,
+Rust's ``impl T for S`` gives IMPLEMENTS.
+
+Defined cases: null and empty texts, texts that don't parse and unknown languages have no symbols; files without
+symbols give no rows; repeated files repeat their rows.
 """
 
 from __future__ import annotations
@@ -10,82 +16,195 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ID = r"([A-Za-z_]\w*)"
+from lodegraph.functions import expressions as X
+
+_ID = r"([A-Za-z_$][\w$]*)"
+_NOT = r"(?!(?:if|else|for|while|do|switch|catch|return|function|new|throw|case|with|await|yield|typeof|super|this)\b)"
+_SCRIPT = [
+    ("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("type_alias", rf"\btype\s+{_ID}\s*(?:<[^=]*>)?\s*="),
+    ("function", rf"\bfunction\s*\*?\s*{_ID}"), ("variable", rf"\b(?:const|let|var)\s+{_ID}"),
+    ("method", rf"^[ \t]+(?:public |private |protected |static |async |readonly |get |set |\*)*{_NOT}{_ID}\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?::[^;{{=]*)?\{{"),
+]
 _DECLARATIONS: dict[str, list[tuple[str, str]]] = {
-    "rust": [("function", rf"\bfn\s+{_ID}[^;{{]*\{{"), ("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("trait", rf"\btrait\s+{_ID}"), ("module", rf"\bmod\s+{_ID}"), ("constant", rf"\b(?:const|static)\s+{_ID}\s*:"), ("type_alias", rf"\btype\s+{_ID}\s*=")],
-    "typescript": [("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("type_alias", rf"\btype\s+{_ID}\s*="), ("function", rf"\bfunction\s+{_ID}"), ("variable", rf"\b(?:const|let|var)\s+{_ID}"), ("method", rf"^[ \t]+(?:public |private |protected |static |async )*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b){_ID}\s*\([^)]*\)[^;{{]*\{{")],
+    "rust": [("function", rf"\bfn\s+{_ID}[^;{{]*\{{"), ("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("trait", rf"\btrait\s+{_ID}"), ("module", rf"\bmod\s+{_ID}"), ("constant", rf"\b(?:const|static)\s+(?:mut\s+)?{_ID}\s*:"), ("type_alias", rf"\btype\s+{_ID}\s*(?:<[^=]*>)?\s*=")],
+    "typescript": _SCRIPT,
+    "javascript": [x for x in _SCRIPT if x[0] in ("class", "function", "variable", "method")],
     "go": [("module", rf"^package\s+{_ID}"), ("type_alias", rf"^type\s+{_ID}"), ("method", rf"^func\s+\([^)]*\)\s*{_ID}"), ("function", rf"^func\s+{_ID}")],
-    "java": [("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("method", rf"^[ \t]+(?:public |private |protected |static |final )*[\w<>\[\], ]+\s+{_ID}\s*\([^)]*\)\s*[;{{]"), ("function", rf"^[ \t]+(?:public |private |protected )({_ID[1:-1]})\s*\([^)]*\)\s*\{{")],
-    "c": [("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("type_alias", rf"^typedef[^;{{]*\b{_ID}\s*;"), ("function", rf"^[A-Za-z_][\w\s*]*?\b{_ID}\s*\([^;{{]*\)\s*\{{")],
-    "cpp": [("class", rf"\bclass\s+{_ID}"), ("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+(?:class\s+)?{_ID}"), ("function", rf"^[A-Za-z_][\w\s*&:<>]*?\b{_ID}\s*\([^;{{]*\)\s*\{{")],
-    "ruby": [("module", rf"^\s*module\s+{_ID}"), ("class", rf"^\s*class\s+{_ID}"), ("method", r"^\s+def\s+([A-Za-z_]\w*[?!]?)"), ("function", r"^def\s+([A-Za-z_]\w*[?!]?)")],
+    "java": [("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("method", rf"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized|default)\s+)*{_NOT}(?!(?:public|private|protected|static|final|abstract)\b)\w[\w<>\[\], .?]*?\s+{_ID}\s*\([^;{{}}]*\)\s*(?:throws [\w, .]+)?[;{{]"), ("function", rf"^[ \t]+(?:public |private |protected )?{_NOT}{_ID}\s*\([^;{{}}]*\)\s*(?:throws [\w, .]+)?\{{")],
+    "c": [("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("type_alias", rf"\btypedef\b[^;{{]*(?:\{{[^}}]*\}}\s*)?\b{_ID}\s*;"), ("function", rf"^{_NOT}[A-Za-z_][\w\s*]*?\b{_NOT}{_ID}\s*\([^;{{]*\)\s*\{{")],
+    "cpp": [("class", rf"(?<!enum )\bclass\s+{_ID}"), ("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+(?:class\s+)?{_ID}"), ("function", rf"^{_NOT}[A-Za-z_][\w\s*&:<>,]*?(?<![:~])\b{_NOT}{_ID}\s*\([^;{{]*\)[^;{{}}]*\{{")],
+    "ruby": [("module", rf"^[ \t]*module\s+{_ID}"), ("class", rf"^[ \t]*class\s+{_ID}"), ("function", r"^[ \t]*def\s+self\.([A-Za-z_]\w*[?!]?)"), ("method", r"^[ \t]*def\s+(?!self\.)([A-Za-z_]\w*[?!]?)")],
 }
-_DECLARATIONS["javascript"] = _DECLARATIONS["typescript"]
-_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n]){2,}'|`(?:\\.|[^`\\])*`", re.S)
+_RUST = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", re.S)
 _HASH = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
+_CALL = re.compile(r"(?<![\w$:])([A-Za-z_$][\w$]*)\s*\(")
+_DECLARES = re.compile(r"\b(?:fn|func|function|new|class|def)\s+\*?\s*$|\)\s+$")
+_IMPL = re.compile(r"\bimpl(?:<[^{>]*>)?\s+([A-Za-z_]\w*)(?:<[^{]*?>)?\s+for\s+([A-Za-z_]\w*)")
+
+
+@dataclass
+class Symbol:
+    name: str
+    kind: str
+    start: int
+    end: int
+    signature: str
+    doc: str | None
+    body: str
+    chain: list[str] = field(default_factory=list)
+    calls: list[tuple[str, int]] = field(default_factory=list)
+    bases: list[str] = field(default_factory=list)
+    parent: int | None = None
+    place: int = 0
 
 
 def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", m[0])
 
 
-def _python(content: str) -> list[tuple]:
-    out: list[tuple] = []
+def _python(content: str) -> list[Symbol]:
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return out
-    lines = content.split("\n")
-
-    def walk(node, scope):
-        for child in ast.iter_child_nodes(node):
-            inner = scope
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                inner = [*scope, child.name]
-                called = sorted({n.func.id for n in ast.walk(child) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}) if kind == "function" else []
-                bases = [b.id for b in child.bases if isinstance(b, ast.Name)] if kind == "class" else []
-                body = "\n".join(lines[child.lineno - 1 : child.end_lineno])
-                out.append((child.name, kind, child.lineno, child.end_lineno, lines[child.lineno - 1].strip(), ast.get_docstring(child), inner, called, bases, body))
-            walk(child, inner)
-
-    walk(tree, [])
-    return out
-
-
-def _scan(content: str, lang: str) -> list[tuple]:
-    plain = (_HASH if lang == "ruby" else _COMMENT).sub(_blank, content)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    lines, out = content.split("\n"), []
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            first = node.body[0].lineno
+            head = "\n".join(lines[node.lineno - 1 : first - 1]) if first > node.lineno else lines[node.lineno - 1]
+            is_class = isinstance(node, ast.ClassDef)
+            calls = [] if is_class else [(n.func.id, n.lineno) for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
+            bases = [b.id for b in node.bases if isinstance(b, ast.Name)] if is_class else []
+            body = "\n".join(lines[first - 1 : node.end_lineno])
+            out.append(Symbol(node.name, "class" if is_class else "function", node.lineno, node.end_lineno, head.strip(), ast.get_docstring(node), body, calls=calls, bases=bases))
+    return sorted(out, key=lambda s: (s.start, -s.end))
+
+
+def _block(plain: str, at: int) -> int:
+    """Place of the brace that closes the one at ``at``."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(plain, at):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.start()
+    return len(plain) - 1
+
+
+def _statement(plain: str, at: int) -> int:
+    """Place where a statement ends: a semicolon, or a line end with all brackets closed."""
+    depth = 0
+    for m in re.compile(r"[(\[{}\])]|;|\n").finditer(plain, at):
+        c = m[0]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return m.start() - 1
+        elif depth == 0 and (c == ";" or plain[at : m.start()].rstrip()[-1:] not in ("=", ">", ",", "")):
+            return m.start() - (c == "\n")
+    return len(plain) - 1
+
+
+def _extent(plain: str, lang: str, kind: str, m: re.Match) -> tuple[int, int | None]:
+    """(last place of a declaration, place where its body starts, if it has one)."""
+    after = m.end(1)
+    line_end = plain.find("\n", after) if plain.find("\n", after) >= 0 else len(plain)
+    if kind == "variable" or kind == "constant" or (kind == "type_alias" and lang in ("rust", "typescript")):
+        return _statement(plain, after), None
+    if kind == "module" and lang == "go":
+        return after, None
+    if lang == "go" and kind == "type_alias" and "{" not in plain[after:line_end]:
+        return line_end - 1, None
+    if lang in ("c", "cpp") and kind in ("struct", "enum", "class"):
+        nxt = re.compile(r"\s*(?:final\s*)?(?::[^;{(]*)?\{").match(plain, after)
+        return (_block(plain, nxt.end() - 1), nxt.end() - 1) if nxt else (after - 1, None)
+    if lang == "c" and kind == "type_alias":
+        return m.end() - 1, None
+    stop = re.compile(r"[{;]").search(plain, m.end() - 1 if plain[m.end() - 1] in "{;" else after)
+    if stop is None:
+        return line_end - 1, None
+    return (_block(plain, stop.start()), stop.start()) if stop[0] == "{" else (stop.start(), None)
+
+
+def _doc(content: str, lines: list[str], start: int, lang: str) -> str | None:
+    marks = {"rust": ("///", "//!"), "go": ("//",)}.get(lang)
+    if marks:
+        out, k = [], start - 2
+        while k >= 0 and lang == "rust" and lines[k].strip().startswith("#["):
+            k -= 1
+        while k >= 0 and lines[k].strip().startswith(marks):
+            out.append(lines[k].strip().lstrip("/!").strip())
+            k -= 1
+        return "\n".join(reversed(out)) or None
+    if lang in ("typescript", "javascript"):
+        above = "\n".join(lines[: start - 1]).rstrip()
+        if above.endswith("*/") and (at := above.rfind("/**")) >= 0:
+            return "\n".join(x.strip().lstrip("*").strip() for x in above[at + 3 : -2].split("\n")).strip() or None
+    return None
+
+
+def _scan(content: str, lang: str) -> list[Symbol]:
+    plain = {"ruby": _HASH, "rust": _RUST}.get(lang, _COMMENT).sub(_blank, content)
     lines, found = content.split("\n"), {}
-    for kind, pattern in _DECLARATIONS.get(lang, ()):
+    rules = list(_DECLARATIONS.get(lang, ()))
+    if lang == "cpp":  # constructors
+        rules += [("function", rf"^[ \t]+(?:explicit\s+)?({re.escape(c)})\s*\([^;{{}}]*\)[^;{{}}]*\{{") for c in set(re.findall(r"\b(?:class|struct)\s+([A-Za-z_]\w*)", plain))]
+    for kind, pattern in rules:
         for m in re.finditer(pattern, plain, re.M):
-            start = plain.count("\n", 0, m.start(1)) + 1
+            line = lambda at: plain.count("\n", 0, at) + 1
+            start = line(m.start(1) if kind != "type_alias" else m.start() + (plain[m.start()] == "\n"))
             if (m[1], start) in found:
                 continue
             if lang == "ruby":
-                indent = re.match(r"\s*", lines[start - 1])[0]
-                end = next((k for k in range(start, len(lines)) if lines[k].startswith(indent + "end")), start - 1) + 1
+                indent = re.match(r"[ \t]*", lines[start - 1])[0]
+                end = next((k for k in range(start, len(lines)) if re.match(indent + r"end\b", lines[k])), start - 1) + 1
+                body = "\n".join(lines[start : end - 1])
+                signature = lines[start - 1].strip()
             else:
-                stop = re.compile(r"[{;]").search(plain, m.end(1))
-                end = start
-                if stop and stop[0] == "{":
-                    depth, at = 0, stop.start()
-                    for at in range(stop.start(), len(plain)):
-                        depth += (plain[at] == "{") - (plain[at] == "}")
-                        if not depth:
-                            break
-                    end = plain.count("\n", 0, at) + 1
-                elif stop:
-                    end = plain.count("\n", 0, stop.start()) + 1
-            found[m[1], start] = (m[1], kind, start, end, lines[start - 1].strip(), None, [m[1]], [], [], "\n".join(lines[start - 1 : end]))
-    return sorted(found.values(), key=lambda x: (x[2], -x[3]))
+                stop, brace = _extent(plain, lang, kind, m)
+                end = line(max(stop, m.start(1)))
+                head = plain.rfind("\n", 0, m.start(1)) + 1
+                body = content[brace : stop + 1] if brace is not None else content[head : stop + 1].strip()
+                signature = content[head:brace].strip() if brace is not None else lines[start - 1].strip()
+            found[m[1], start] = Symbol(m[1], kind, start, end, signature, _doc(content, lines, start, lang), body, place=m.start())
+    out = sorted(found.values(), key=lambda s: (s.start, -s.end, s.place))
+    if lang not in ("java", "ruby"):
+        calls = [(m[1], plain.count("\n", 0, m.start()) + 1) for m in _CALL.finditer(plain) if not _DECLARES.search(plain, max(0, m.start() - 40), m.start())]
+        for s in out:
+            if s.kind in ("function", "method"):
+                s.calls = [(n, at) for n, at in calls if s.start <= at <= s.end]
+    if lang == "rust":
+        made = {s.name: s for s in out if s.kind in ("struct", "enum")}
+        for m in _IMPL.finditer(plain):
+            if m[2] in made:
+                made[m[2]].bases.append(m[1])
+    return out
+
+
+def symbols_of(content: str | None, lang: str | None) -> list[Symbol]:
+    """The symbols of a text in order of their lines, with parents and scope chains."""
+    out = _python(content or "") if lang == "python" else _scan(content or "", lang or "")
+    for i, s in enumerate(out):
+        around = [(p.end - p.start, j) for j, p in enumerate(out) if j != i and p.start <= s.start and p.end >= s.end and not (p.start == s.start and p.end == s.end and j > i)]
+        s.parent = min(around)[1] if around else None
+    for i, s in enumerate(out):
+        seen, at = [], i
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = out[at].parent
+        s.chain = [out[k].name for k in reversed(seen)]
+    return out
 
 
-SCHEMA = "file string, language string, pos int, name string, kind string, line_start int, line_end int, signature string, docstring string, scope_chain array<string>, calls array<string>, bases array<string>, body string"
+SCHEMA = "file string, language string, pos int, name string, kind string, line_start int, line_end int, signature string, docstring string, scope_chain array<string>, parent int, calls array<struct<name:string,line:int>>, bases array<string>, body string"
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -95,15 +214,36 @@ def parse(files: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for path, lang, text in zip(f["path"], f["language"], f["content"]):
-                found = _python(text or "") if lang == "python" else _scan(text or "", lang)
-                rows += [(path, lang, i, *x) for i, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                for i, s in enumerate(symbols_of(text, lang)):
+                    rows.append((path, lang, i, s.name, s.kind, s.start, s.end, s.signature, s.doc, s.chain, s.parent, [{"name": n, "line": at} for n, at in s.calls], s.bases, s.body))
+            frame = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+            yield frame.astype({"parent": "Int32"})
 
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
 
 
+def identified(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with id, canonical_id, body_hash and full_hash."""
+    out = parsed.withColumns({"id": X.symbol_id(F.col("file"), F.col("name"), F.col("kind")), "body_hash": F.sha2("body", 256), "full_hash": X.full_hash(F.col("signature"), F.col("body"), F.col("docstring"))})
+    return out.withColumn("canonical_id", X.canonical_id(F.col("name"), F.col("kind"), F.col("body_hash")))
+
+
+def call_edges(parsed: DataFrame) -> DataFrame:
+    """from_id, to_id, kind, file, line, confidence of the calls and bases that are resolved in their file."""
+    s = identified(parsed)
+    last = s.where("kind in ('function', 'method', 'class')").groupBy("file", F.col("name").alias("to_name")).agg(F.max_by("id", "pos").alias("to_id"))
+    used = s.select("file", F.col("id").alias("from_id"), F.explode("calls").alias("c")).select("file", "from_id", F.col("c.name").alias("to_name"), F.col("c.line").alias("line"))
+    calls = used.join(last, ["file", "to_name"]).where("from_id <> to_id").groupBy("from_id", "to_id", "file").agg(F.min("line").alias("line")).withColumn("kind", F.lit("CALLS"))
+    kinds = s.groupBy("file", F.col("name").alias("to_name")).agg(F.max_by("id", "pos").alias("to_id"))
+    bases = s.select("file", "language", F.col("id").alias("from_id"), F.col("line_start").alias("line"), F.explode("bases").alias("to_name")).join(kinds, ["file", "to_name"]).where("from_id <> to_id")
+    bases = bases.withColumn("kind", F.when(F.col("language") == "rust", "IMPLEMENTS").otherwise("INHERITS")).groupBy("from_id", "to_id", "kind", "file").agg(F.min("line").alias("line"))
+    cols = ["from_id", "to_id", "kind", "file", "line"]
+    return calls.select(*cols).unionByName(bases.select(*cols)).withColumn("confidence", F.lit(1.0))
+
+
 def edges(symbols: DataFrame, column: str, kind: str) -> DataFrame:
-    """file, from_name, to_name, kind: calls or bases resolved to the symbols of the same file."""
+    """file, from_name, to_name, kind: calls or bases resolved by name to the symbols of the same file."""
     named = symbols.select("file", F.col("name").alias("to_name")).distinct()
-    used = symbols.select("file", F.col("name").alias("from_name"), F.explode(column).alias("to_name")).where("from_name <> to_name").distinct()
+    target = F.col("x.name") if column == "calls" else F.col("x")
+    used = symbols.select("file", F.col("name").alias("from_name"), F.explode(column).alias("x")).select("file", "from_name", target.alias("to_name")).where("from_name <> to_name").distinct()
     return used.join(named, ["file", "to_name"]).select("file", "from_name", "to_name", F.lit(kind).alias("kind"))
