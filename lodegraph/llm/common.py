@@ -51,11 +51,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def settle(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.settled_at = path
     if _SCRATCH and not keep:

@@ -7,6 +7,10 @@ that ends at or behind the character before the edit: a cut looks two characters
 bound falls on an old one behind the edit, and only those are encoded.  The touched leaf's sums are
 carried up to the root.
 
+``build_trees`` encodes texts and gives their trees as a table to be written (leaf sizes, lengths and counts of the
+pre-tokens beside the text); ``update_trees`` takes later edits and gives the next version of the edited
+documents' rows alone, from the stored leaves and without encoding anything but the touched regions.
+
 Defined cases: null texts are empty; edits beyond the end are cut to the text; an edit may empty a
 text; repeated rows are edited each on their own; documents without edits keep their counts; edits
 of unknown documents have no effect; an empty table gives an empty table.
@@ -19,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm import bpe
+from lodegraph.llm.common import settle, sliced_texts, tidy
 
 LEAF = 32
 #: Characters behind a pre-token that decide on its end: white space before a character that isn't gives
@@ -31,13 +37,23 @@ LEAF = 32
 AHEAD = 2
 
 
+def leaf_sizes(n: int) -> np.ndarray:
+    """Sizes of the leaves of a new tree over so many pre-tokens."""
+    return np.diff(np.append(np.arange(0, n, LEAF), n)).astype(np.int32)
+
+
 class TokenTree:
     """Pre-token lengths and token counts in leaves, with a binary tree of sums above them."""
 
-    def __init__(self, lens: np.ndarray, counts: np.ndarray):
-        self.leaves = [[lens[i : i + LEAF].tolist(), counts[i : i + LEAF].tolist()] for i in range(0, len(lens), LEAF)] or [[[], []]]
+    def __init__(self, lens: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None):
+        ends = np.cumsum(leaf_sizes(len(lens)) if sizes is None else sizes).tolist()
+        self.leaves = [[lens[i:j].tolist(), counts[i:j].tolist()] for i, j in zip([0, *ends], ends)] or [[[], []]]
         self.rebuild()
 
+    def parts(self) -> tuple[list[int], list[int], list[int]]:
+        """Lengths, counts and leaf sizes, as they are stored."""
+        return [n for x, _ in self.leaves for n in x], [n for _, x in self.leaves for n in x], [len(x) for x, _ in self.leaves]
+
     def rebuild(self) -> None:
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
@@ -146,40 +162,87 @@ def sample_edits(doc_id, text: str, n: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def edited_counts(docs: DataFrame, vocabulary: bytes, pattern: str, edits: int = 3, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """``id_col``, n_tokens, edited_tokens, pretokens, reencoded, edited_sha256 of every row.
+TREE = "text string, lens array<int>, counts array<int>, sizes array<int>"
 
-    ``edits_col``: array of struct (start, end, put), applied one after another; without it every
-    document gets ``edits`` edits from ``sample_edits``.
-    """
+
+def build_trees(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """``id_col``, text and tree (lens, counts, sizes) of every row, and its edits where a column holds them."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kept = [id_col, *[edits_col] * bool(edits_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoder(shipped.value, pattern)
+        for batch in batches:
+            for start, texts in sliced_texts(batch.column(0), 4_000_000):
+                numbers, lens, per_text = enc.rows(texts)
+                off = pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32())
+                sizes = [leaf_sizes(n) for n in per_text.tolist()]
+                cols = [pa.array(texts, pa.string())] + [pa.ListArray.from_arrays(off, pa.array(x, pa.int32())) for x in (lens, enc.count[numbers])]
+                cols += [pa.array(sizes, pa.list_(pa.int32())), *(c.slice(start, len(texts)) for c in batch.columns[1:])]
+                yield pa.RecordBatch.from_arrays(cols, names=["text", "lens", "counts", "sizes", *kept])
+        tidy()
+
+    fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(F.col(text_col).cast("string").alias("text__"), *[f"`{c}`" for c in kept]).mapInArrow(run, TREE + fields)
+
+
+def apply_edits(trees: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", edits_col: str | None = None, edits: int = 3, with_trees: bool = False) -> DataFrame:
+    """The counts of ``edited_counts`` from stored trees, and the edited texts and trees if asked for."""
+    shipped = trees.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = trees.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(shipped.value, pattern)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            given = batch.column(2).to_pylist() if edits_col else None
-            for part in bpe.groups_by_bytes(texts, 8_000_000):
-                now, ids = texts[part], keys[part]
-                cuts = [enc.cut.split(t) for t in now]
-                counts = counts_of(enc, cuts)
-                trees = [TokenTree(np.fromiter(map(len, c), np.int64, len(c)), n) for c, n in zip(cuts, counts)]
-                before, pieces, again = [t.total for t in trees], [len(c) for c in cuts], [0] * len(now)
-                del cuts
-                todo = [[(e["start"], e["end"], e["put"] or "") for e in x or []] for x in given[part]] if given else [sample_edits(i, t, edits) for i, t in zip(ids, now)]
+            for start, now in sliced_texts(batch.column(0), 4_000_000):
+                b = batch.slice(start, len(now))
+                ids = b.column(4).to_pylist()
+                flat = []
+                for k in (1, 2, 3):
+                    values, off = b.column(k).flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(b.column(k)).to_numpy())))
+                    flat.append([values[i:j] for i, j in zip(off.tolist(), off[1:].tolist())])
+                trees_ = [TokenTree(*x) for x in zip(*flat)]
+                before, pieces, again = [t.total for t in trees_], [len(x) for x in flat[0]], [0] * len(now)
+                if edits_col:
+                    todo = [[(e["start"] or 0, e["end"] or 0, e["put"] or "") for e in x or [] if e] for x in b.column(5).to_pylist()]
+                else:
+                    todo = [sample_edits(i, t, edits) for i, t in zip(ids, now)]
                 for k in range(max(map(len, todo), default=0)):
                     rows = [i for i in range(len(now)) if k < len(todo[i])]
-                    plans = [plan_edit(trees[i], now[i], *todo[i][k], enc.cut) for i in rows]
+                    plans = [plan_edit(trees_[i], now[i], *todo[i][k], enc.cut) for i in rows]
                     for i, (text, leaf, at, n_old, new), n in zip(rows, plans, counts_of(enc, [x[4] for x in plans])):
-                        trees[i].replace(leaf, at, n_old, list(map(len, new)), n.tolist())
+                        trees_[i].replace(leaf, at, n_old, list(map(len, new)), n.tolist())
                         now[i], again[i] = text, again[i] + len(new)
-                cols = [
-                    batch.column(0).slice(part.start, part.stop - part.start), pa.array(before, pa.int64()), pa.array([t.total for t in trees], pa.int64()),
-                    pa.array(pieces, pa.int64()), pa.array(again, pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in now], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "edited_tokens", "pretokens", "reencoded", "edited_sha256"])
-
-    schema = f"`{id_col}` {kind}, n_tokens bigint, edited_tokens bigint, pretokens bigint, reencoded bigint, edited_sha256 string"
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text"), *[edits_col] * bool(edits_col)).mapInArrow(run, schema)
+                cols = [b.column(4), *(pa.array(x, pa.int64()) for x in (before, [t.total for t in trees_], pieces, again))]
+                cols.append(pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in now], pa.string()))
+                names = [id_col, "n_tokens", "edited_tokens", "pretokens", "reencoded", "edited_sha256"]
+                if with_trees:
+                    cols += [pa.array(now, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in zip(*(t.parts() for t in trees_)))]
+                    names += ["text", "lens", "counts", "sizes"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        tidy()
+
+    schema = f"`{id_col}` {kind}, n_tokens bigint, edited_tokens bigint, pretokens bigint, reencoded bigint, edited_sha256 string" + f", {TREE}" * with_trees
+    return trees.select("text", "lens", "counts", "sizes", f"`{id_col}`", *[edits_col] * bool(edits_col)).mapInArrow(run, schema)
+
+
+def update_trees(trees: DataFrame, edits: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows that replace those of the edited documents in ``trees``: id, counts, text and tree.
+
+    ``edits``: ``id_col``, seq, start, end, put; those of a document are applied by ``seq``.  Documents without edits
+    have no row here, and none of their texts or leaves reaches a Python worker; edits of unknown documents go.
+    """
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "put"))), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["put"].alias("put")))
+    todo = edits.groupBy(F.col(id_col).alias("id__")).agg(steps.alias("edits__"))
+    met = trees.join(todo, F.col(f"`{id_col}`").eqNullSafe(F.col("id__")))
+    return apply_edits(met, vocabulary, pattern, id_col, "edits__", with_trees=True)
+
+
+def edited_counts(docs: DataFrame, vocabulary: bytes, pattern: str, edits: int = 3, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """``id_col``, n_tokens, edited_tokens, pretokens, reencoded, edited_sha256 of every row, from trees that are written first.
+
+    ``edits_col``: array of struct (start, end, put), applied one after another; without it every
+    document gets ``edits`` edits from ``sample_edits``.
+    """
+    trees = settle(build_trees(docs, vocabulary, pattern, id_col, text_col, edits_col), "trees", compression="zstd")
+    return apply_edits(trees, vocabulary, pattern, id_col, edits_col, edits)

@@ -480,3 +480,49 @@ def test_sanitise_keeps_columns_with_its_own_names(spark):
     got = pii.sanitise(df)
     assert got.columns == df.columns
     assert {(r.text, r["twin__"]) for r in got.collect()} == {("mail [EMAIL] now", 5), ("mail [EMAIL] now", 6), (None, 7)}
+
+
+def test_edits_of_contractions_and_white_space():
+    enc = bpe.Encoder(data("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng, parts = random.Random(5), ["they", "'r", "e", "we", "'l", "l", "'", "'s", " ", "  ", "\n", "\n\n ", "a", "b", "1", "2", "!", "\u3000", "é", "日", "\t"]
+    done = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        n, lens, _ = enc.rows([text])
+        tree = edit_counts.TokenTree(lens, enc.count[n])
+        for _ in range(5):
+            start = rng.randrange(len(text) + 1)
+            end, put = min(len(text), start + rng.choice((0, 0, 1, 2))), rng.choice(("", rng.choice(parts), rng.choice(parts) + rng.choice(parts)))
+            text, leaf, at, n_old, new = edit_counts.plan_edit(tree, text, start, end, put, enc.cut)
+            tree.replace(leaf, at, n_old, list(map(len, new)), edit_counts.counts_of(enc, [new])[0].tolist())
+            want = enc.cut.exact.findall(text)
+            assert tree.parts()[0] == list(map(len, want)), (text, start, end, put)
+            assert tree.total == len(enc.encode([text])[0])
+            done += 1
+    assert done == 20_000
+
+
+def test_trees_are_updated_by_later_edits(spark, docs):
+    vocabulary, pattern = data("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = docs.where("doc_id < 30").select("doc_id", "text").collect()
+    trees = edit_counts.build_trees(docs.where("doc_id < 30"), vocabulary, pattern).cache()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    enc = bpe.Encoder(vocabulary, pattern)
+    for turn in range(2):
+        edits = [(i, k, 5 * k + turn, 5 * k + turn + k, "they're here " * k) for i in list(texts)[:4] for k in range(3)] + [(10**9, 0, 0, 1, "x")]
+        new = edit_counts.update_trees(trees, spark.createDataFrame(edits, "doc_id bigint, seq int, start int, end int, put string"), vocabulary, pattern).cache()
+        for i, k, start, end, put in edits[:-1]:
+            start, end = min(start, len(texts[i])), min(end, len(texts[i]))
+            texts[i] = texts[i][:start] + put + texts[i][end:]
+        got = {r.doc_id: (r.text, r.edited_tokens, sum(r.counts)) for r in new.collect()}
+        assert got == {i: (texts[i], len(enc.encode([texts[i]])[0]), len(enc.encode([texts[i]])[0])) for i in list(texts)[:4]}
+        trees = trees.join(new, "doc_id", "left_anti").select("doc_id", "text", "lens", "counts", "sizes").unionByName(new.select("doc_id", "text", "lens", "counts", "sizes")).cache()
+
+
+def test_edits_that_are_given(spark):
+    rows = [(1, "they'r here", [(6, 6, "e")]), (2, None, [(0, 9, "a b"), (1, 2, "")]), (3, "", None), (3, "x", []), (None, "we'l go", [(4, 4, "l")])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, e array<struct<start:int,end:int,put:string>>")
+    enc = bpe.Encoder(data("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = edit_counts.edited_counts(df, data("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, edits_col="e").collect()
+    want = [(1, "they're here"), (2, "ab"), (3, ""), (3, "x"), (None, "we'll go")]
+    assert sorted((str(r.doc_id), r.edited_tokens, r.edited_sha256) for r in got) == sorted((str(i), len(enc.encode([t])[0]), hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
