@@ -18,6 +18,7 @@ own next document; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodegraph.llm.common import spread
+from lodegraph.llm.common import least_hashes, sliced_texts, spread, tidy
 
 K = 128
 TABLE_BITS = 11
@@ -104,29 +106,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+#: Ids that are sampled for each range of ids.
+SAMPLED = 50
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt by ranges of the id, with the first row of the next range beside them.
 
     Columns: id, text, part, extra.  In descending order of id each document needs the one behind
-    it.  The ranges' bounds are quantiles of the id (as many as there are shuffle partitions), so
-    a range holds a bounded share; the greatest row of each range goes to the range above as well.
+    it.  The ranges' bounds are quantiles of a sample of the ids (some for each of as many ranges as there
+    are shuffle partitions), so a range holds a bounded share; the greatest row of each range goes to the
+    range above as well.  A row finds its range among about sqrt(ranges) heads and then as many bounds.
     """
     spark = docs.sparkSession
     n = spread(spark)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bounds = src.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10000)).head()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
-    # number of bounds that the id exceeds; null ids stand below all others
-    part = F.lit(0) if not bounds else F.coalesce(F.expr(f"aggregate(array({','.join(map(str, bounds))}), 0, (n, x) -> n + if(id > x, 1, 0))") + 1, F.lit(0))
+    kind = src.schema["id"].dataType
+    ids = least_hashes(src.select("id").where("id is not null"), src.count(), SAMPLED * n, "id") if n > 1 else src.select("id").limit(0)
+    known = sorted(r.id for r in ids.collect())  # bounded by the number of ranges
+    bounds = sorted({known[len(known) * i // n] for i in range(1, n)}) if known else []
+    # number of bounds that the id exceeds, and one more; null ids stand below all others
+    part = F.lit(0)
+    if bounds:
+        width = math.isqrt(len(bounds)) + 1
+        groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+        listed = lambda x: F.array(*[F.lit(v).cast(kind) for v in x])
+        above = lambda x: F.size(F.filter(x, lambda v: F.col("id") > v))
+        group = above(listed([g[-1] for g in groups[:-1]])) if len(groups) > 1 else F.lit(0)
+        inner = F.array(*[listed(g) for g in groups])[group]
+        part = F.when(F.col("id").isNull(), 0).otherwise(group * width + above(inner) + 1)
     src = src.withColumn("part", part.cast("int"))
-    first = {r.part: r.id for r in src.groupBy("part").agg(F.max("id").alias("id")).collect()}  # a row per range
-    order = sorted(first)
-    above = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    heads = [f"when part = {p} and id <=> {'null' if first[p] is None else first[p]} then {above[p]}" for p in order]
-    if heads:
-        src = src.withColumn("to", F.expr(f"case {' '.join(heads)} end"))
-    else:
-        src = src.withColumn("to", F.lit(None).cast("int"))
+    first = sorted((r.part, r.id) for r in src.groupBy("part").agg(F.max("id").alias("id")).collect())  # a row per range
+    heads = [(p, i, first[(k + 1) % len(first)][0]) for k, (p, i) in enumerate(first)]
+    shape = T.StructType([T.StructField("head_part", T.IntegerType()), T.StructField("head", kind), T.StructField("to", T.IntegerType())])
+    heads = F.broadcast(spark.createDataFrame(heads, shape))
+    src = src.join(heads, (F.col("part") == F.col("head_part")) & F.col("id").eqNullSafe(F.col("head")), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
     # the greatest id may stand in several rows: all of them go along, the first in order counts
     more = F.struct(F.col("to").alias("part"), F.lit(True).alias("extra"))
@@ -154,20 +168,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
         ])
         held, part, closed = None, None, False  # the row that waits for its next document
-        for batch in batches:
-            out = []
-            for doc_id, text, p, extra in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    part, held, closed = p, None, False
-                if extra and closed:
-                    continue
-                fp = fingerprint(text)
-                if held is not None:
-                    out.append(row(*held, text, fp))
-                held = None if extra else (doc_id, text, fp)
-                closed = extra
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        for whole in batches:
+            for start, texts in sliced_texts(whole.column(1)):
+                batch, out = whole.slice(start, len(texts)), []
+                for doc_id, text, p, extra in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    if p != part:
+                        part, held, closed = p, None, False
+                    if extra and closed:
+                        continue
+                    fp = fingerprint(text)
+                    if held is not None:
+                        out.append(row(*held, text, fp))
+                    held = None if extra else (doc_id, text, fp)
+                    closed = extra
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        tidy()
 
     out = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, id_col, text_col).mapInArrow(run, out)

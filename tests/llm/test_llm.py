@@ -526,3 +526,22 @@ def test_edits_that_are_given(spark):
     got = edit_counts.edited_counts(df, data("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, edits_col="e").collect()
     want = [(1, "they're here"), (2, "ab"), (3, ""), (3, "x"), (None, "we'll go")]
     assert sorted((str(r.doc_id), r.edited_tokens, r.edited_sha256) for r in got) == sorted((str(i), len(enc.encode([t])[0]), hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
+
+
+def test_fingerprints_of_string_ids(spark):
+    rows = [(f"k{i * 37 % 101:03}", f"text number {i} of many words " * (i % 5)) for i in range(101)] + [(None, "no id")]
+    got = {r.doc_id: r for r in weighted.fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    order = sorted((k for k, _ in rows if k), reverse=True) + [None]
+    text = dict(rows)
+    for k, after in zip(order, order[1:] + order[:1]):
+        assert got[k].edited_sha256 == hashlib.sha256(weighted.edited(text[k], text[after]).encode()).hexdigest()
+
+
+def test_ring_moves_few_rows(spark, docs):
+    """A ninth shard: rows go into it, few elsewhere; the order of shards on the ring comes from a plain walk."""
+    eight = {r.doc_id: r.shard for r in ring.assign(docs, ring.Params(shards=8)).collect()}
+    nine = {r.doc_id: r.shard for r in ring.assign(docs, ring.Params(shards=9)).collect()}
+    moved = [k for k in eight if eight[k] != nine[k]]
+    assert len(moved) <= 0.3 * len(eight) and sum(nine[k] == 8 for k in moved) >= len(eight) // 9 - 1
+    sizes = Counter(eight.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
