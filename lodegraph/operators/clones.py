@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.expressions import cosine
 
+BLOCK = 2048
+
 
 def exact_groups(symbols: DataFrame) -> DataFrame:
     """body_hash, members, files: bodies that stand in more than one file (a class each, not its pairs)."""
@@ -20,10 +24,34 @@ def exact_pairs(symbols: DataFrame) -> DataFrame:
 
 
 def near_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """a, b, score of the pairs (a < b) from different files with a cosine of at least ``least``."""
-    a = vectors.select(F.col("id").alias("a"), F.col("file").alias("fa"), F.col("v").alias("va"))
-    b = vectors.select(F.col("id").alias("b"), F.col("file").alias("fb"), F.col("v").alias("vb"))
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb"))).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= least)
+    """a, b, score of the pairs (a < b) from different files with a cosine of at least ``least``.
+
+    All pairs are looked at, in tiles: vectors are dealt into blocks of about ``BLOCK``, and a task multiplies two
+    blocks, so it holds two blocks and no more.  Only pairs that may reach ``least`` leave a task; their scores are
+    computed again from the vectors.
+    """
+    n = max(1, -(-vectors.count() // BLOCK))
+    kind = vectors.schema["id"].dataType.simpleString()
+    rows = vectors.where("v is not null").select("id", F.col("file").cast("string").alias("file"), "v", F.pmod(F.xxhash64("id"), F.lit(n)).alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select("*", other.alias("k")).select("id", "file", "v", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        x = np.array(frame["v"].tolist(), np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+        left, right = np.flatnonzero(frame["own"] == i), np.flatnonzero(frame["own"] == j)
+        p, q = np.nonzero(x[left] @ x[right].T >= least - 1e-5)
+        ids, files = frame["id"].to_numpy(), frame["file"].to_numpy()
+        p, q = left[p], right[q]
+        keep = (files[p] != files[q]) & ((ids[p] < ids[q]) if i == j else (ids[p] != ids[q]))
+        p, q = ids[p][keep], ids[q][keep]
+        return pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p)})
+
+    found = dealt.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
+    v = lambda key, name: vectors.select(F.col("id").alias(key), F.col("v").alias(name))
+    return found.join(v("a", "va"), "a").join(v("b", "vb"), "b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= least)
 
 
 def similar_to(symbols: DataFrame, vectors: DataFrame, one: int, least: float, k: int) -> DataFrame:

@@ -21,7 +21,11 @@ def sections(texts: DataFrame) -> DataFrame:
     lines = lines.withColumn("title", head).withColumn("is_head", (F.col("title") != "").cast("int"))
     upto = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     lines = lines.withColumn("section", F.sum("is_head").over(upto)).where("section > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    # the lines that can hold one of the first 500 characters; the others are not gathered
+    before = W.partitionBy("file", "section").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    lines = lines.withColumn("ahead", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    shown = F.when(F.col("ahead") < 500, F.struct("pos", F.substring("line", 1, 500).alias("line")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["line"]), "\n")
     out = lines.groupBy("file", "section").agg(
         F.max_by("title", F.struct("is_head", "pos")).alias("title"), (F.min("pos") + 1).alias("line_start"), (F.max("pos") + 1).alias("line_end"), F.substring(body, 1, 500).alias("docstring")
     )

@@ -506,12 +506,19 @@ def markdown_sections(spark, d):
     return s.select("file", "section", "title", F.col("line_start").cast("bigint").alias("line_start"), F.col("line_end").cast("bigint").alias("line_end"), F.sha2("docstring", 256).alias("doc_hash"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+ m AS (SELECT *, length(regexp_replace(line, '\s', '', 'g')) AS nws, (regexp_replace(line, '\s', '', 'g') = '' OR regexp_matches(line, '[;{}:]\s*$') OR NOT (starts_with(line, '    ') OR starts_with(line, chr(9)))) AS fit FROM l),
+ r AS (SELECT id, i, nws AS n, 0 AS k, nws >= 500 AND fit AS done FROM m WHERE i = 0 UNION ALL
+ SELECT m.id, m.i, CASE WHEN r.done THEN 0 ELSE r.n END + m.nws, r.k + r.done::INT, CASE WHEN r.done THEN 0 ELSE r.n END + m.nws >= 500 AND fit FROM r JOIN m ON m.id = r.id AND m.i = r.i + 1),
+ g AS (SELECT id, k, string_agg(line, chr(10) ORDER BY i) AS content, min(i) + 1 AS a, max(i) + 1 AS b, sum(nws)::BIGINT AS nws FROM r JOIN m USING (id, i) GROUP BY id, k)
+ SELECT id, k::INT AS chunk_index, content, a::INT AS line_start, b::INT AS line_end, nws AS nws_count, ceil(strlen(content) / 4.0)::BIGINT AS token_count FROM g WHERE id IN (SELECT id FROM g GROUP BY id HAVING count(*) > 1 AND sum(nws) > 500)""")
 def chunks(spark, d):
     return structure.chunks(V.text_symbols(spark, d).select("id", "body", F.lit(1).alias("line_start")))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT source AS file, doc_id, floor(strlen(text) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+ f AS (SELECT DISTINCT file, 0::BIGINT AS n, 0::BIGINT AS used, []::BIGINT[] AS ids FROM s UNION ALL SELECT f.file, s.n, CASE WHEN used + tokens <= 4000 THEN used + tokens ELSE used END,
+ CASE WHEN used + tokens <= 4000 THEN list_append(ids, doc_id) ELSE ids END FROM f JOIN s ON s.file = f.file AND s.n = f.n + 1) SELECT file, arg_max(used, n) AS used, arg_max(ids, n) AS ids FROM f GROUP BY file""")
 def context_batch(spark, d):
     s = V.text_symbols(spark, d).select("file", F.struct(F.col("id").alias("pos"), "id", (F.octet_length("body") / 4).cast("bigint").alias("tokens")).alias("x"))
     got = s.groupBy("file").agg(structure.packed(F.collect_list("x"), 4000).alias("p"))
@@ -527,11 +534,27 @@ def debounce_batches(spark, d):
     return batches(ev, "300 seconds").select(F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "changes", "paths")
 
 
-@query()
+#: A file of each language for each part, and the symbols that it holds (name, kind, lines).
+SNIPPETS = {
+    "py": ("python", "class C{n}:\n    def run(self):\n        return helper()\n\ndef helper():\n    return 1\n", [("C{n}", "class", 1, 3), ("run", "function", 2, 3), ("helper", "function", 5, 6)]),
+    "rs": ("rust", "/// Doc\npub struct S{n} {\n    a: u32,\n}\n\nfn go() {\n    help()\n}\n\nfn help() {}\n", [("S{n}", "struct", 2, 4), ("go", "function", 6, 8), ("help", "function", 10, 10)]),
+    "go": ("go", "package p\n\ntype T{n} struct {\n\ta int\n}\n\nfunc (t T{n}) Run() int {\n\treturn t.a\n}\n", [("p", "module", 1, 1), ("T{n}", "type_alias", 3, 5), ("Run", "method", 7, 9)]),
+    "java": ("java", "class A{n} {\n    A{n}() {\n        go();\n    }\n\n    int go() {\n        return 1;\n    }\n}\n", [("A{n}", "class", 1, 9), ("A{n}", "function", 2, 4), ("go", "method", 6, 8)]),
+    "rb": ("ruby", "module M{n}\n  def self.run(a)\n    a\n  end\nend\n", [("M{n}", "module", 1, 5), ("run", "function", 2, 4)]),
+    "c": ("c", "struct S{n} {\n    int x;\n};\n\nint get(int a) {\n    return a;\n}\n", [("S{n}", "struct", 1, 3), ("get", "function", 5, 7)]),
+    "cpp": ("cpp", "class A{n} {\n    A{n}(int x) {}\n};\n\nint run() {\n    return 1;\n}\n", [("A{n}", "class", 1, 3), ("A{n}", "function", 2, 2), ("run", "function", 5, 7)]),
+    "ts": ("typescript", "interface I{n} {\n  a: string;\n}\n\nexport const f = async (p: string) => {\n  return p;\n};\n", [("I{n}", "interface", 1, 3), ("f", "variable", 5, 7)]),
+    "js": ("javascript", "class B{n} {\n  run() {\n    return 1;\n  }\n}\n", [("B{n}", "class", 1, 5), ("run", "method", 2, 4)]),
+}
+HELD = ", ".join(f"('{ext}', '{name}', '{kind}', {a}, {b})" for ext, (_, _, held) in SNIPPETS.items() for name, kind, a, b in held)
+
+
+@query(f"""SELECT p_brand || '/part' || p_partkey || '.' || ext AS file, replace(name, '{{n}}', p_partkey::VARCHAR) AS name, kind, a::INT AS line_start, b::INT AS line_end FROM part, (VALUES {HELD}) v(ext, name, kind, a, b)""")
 def parse_symbols(spark, d):
     from lodegraph.sources.parse import parse
 
-    rows = V.part_symbols(spark, d).select(F.concat_ws("/", "file", F.concat("name", F.col("id").cast("string"), F.lit(".py"))).alias("path"), F.lit("python").alias("language"), F.format_string("class C%d:\n    def run(self):\n        return helper()\n\ndef helper():\n    return %d\n", "id", "complexity").alias("content"))
+    texts = spark.createDataFrame([(ext, lang, text) for ext, (lang, text, _) in SNIPPETS.items()], "ext string, language string, template string")  # nine rows
+    rows = V.part_symbols(spark, d).crossJoin(F.broadcast(texts)).select(F.concat("file", F.lit("/part"), F.col("id").cast("string"), F.lit("."), "ext").alias("path"), "language", F.replace("template", F.lit("{n}"), F.col("id").cast("string")).alias("content"))
     return parse(rows).select("file", "name", "kind", "line_start", "line_end")
 
 
