@@ -35,6 +35,8 @@ from lodegraph.llm.common import discard, settle, sliced_texts, tidy
 UNIVERSE_BITS = 20
 #: Hubs of a bucket in one round, so that a row that meets them stays small.
 MOST_HUBS = 1024
+#: Tasks over which the rows of one frequent bucket or hub are dealt out.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -208,15 +210,23 @@ def components(links: DataFrame, name: str = "components", most: int = 60) -> Da
     )
 
 
+def spread_join(rows: DataFrame, other: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``other`` (at most one row a key), with a frequent key's rows dealt out over ``SALTS`` tasks.
+
+    The other side is copied to the (key, salt) that do occur: at most ``SALTS`` copies, and never more than rows.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    wanted = salted.select(key, "salt").distinct().join(other, key)
+    return salted.join(wanted, [key, "salt"]).drop("salt")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= alike * union."""
-    used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    some = sets.join(used, "id", "left_semi")
-    left = some.select(F.col("id").alias("a"), F.col("items").alias("sa"))
-    right = some.select(F.col("id").alias("b"), F.col("items").alias("sb"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        spread_join(spread_join(pairs, left, "a", "b"), right, "b", "a")
         .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
         .where(F.col("both") * 100 >= F.col("either") * alike)
         .select("a", "b")
@@ -276,14 +286,14 @@ def link_classes(docs: DataFrame, sketched: DataFrame, p: Params, id_col: str, t
         # hubs come by hash: a large component, which most likely holds one, then meets the rest of the
         # bucket before the rest is compared within itself
         live = state.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        work = settle(state.join(live, "band"), "work")
+        work = settle(spread_join(state, live, "band", "id"), "work")
         if hubs == 1:
             picked = work.groupBy("band").agg(F.array(F.min(F.struct("id", "n", "rest", "root"))).alias("hubs"))
         else:
             turn = Window.partitionBy("band").orderBy(F.xxhash64("id", "band"), "id")
             picked = work.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= hubs)
             picked = picked.groupBy("band").agg(F.collect_set(F.struct("id", "n", "rest", "root")).alias("hubs"))
-        met = work.join(picked, "band")
+        met = spread_join(work, picked, "band", "id")
         discard(shared_buckets if roots is None else buckets)
         if work.isEmpty():
             discard(work)
