@@ -12,7 +12,7 @@ the (k + spare)-th best score among the sample's rows in the lists that the quer
 which no neighbour that the search can find is under.
 
 Defined cases: null vectors, zero vectors, vectors with null or non-finite components and vectors
-of another length than the sample's first take no part; fewer candidates than ``k`` are all
+of another length than most of the sample's take no part; fewer candidates than ``k`` are all
 returned; equal scores go by the smaller id; repeated ids are rows of their own but never a
 neighbour of that id; an empty table gives an empty table.
 """
@@ -107,22 +107,19 @@ class Model:
 
 
 def _valid(batch: pa.RecordBatch, d: int | None, dtype) -> tuple[np.ndarray, np.ndarray]:
-    ids, out, keep = batch.column(0).to_numpy(zero_copy_only=False), [], []
-    vectors = batch.column(1)
-    for i in range(batch.num_rows):
-        v = vectors[i]
-        if not v.is_valid or batch.column(0)[i].as_py() is None:
-            continue
-        flat = v.values
-        if flat.null_count or (d is not None and len(flat) != d):
-            continue
-        a = flat.to_numpy(zero_copy_only=False)
-        if len(a) and np.isfinite(a).all() and a.any():
-            if d is None:
-                d = len(a)
-            out.append(a)
-            keep.append(i)
-    return ids[keep].astype(np.int64), np.array(out, dtype=dtype).reshape(len(out), d or 0)
+    """Ids and vectors of the rows that take part: known ids, ``d`` finite components (by default as many as most rows have), not all zero."""
+    v = batch.column(1)
+    ok = ~(v.is_null().to_numpy(zero_copy_only=False) | batch.column(0).is_null().to_numpy(zero_copy_only=False))
+    off = v.offsets.to_numpy()
+    size = np.diff(off)
+    if d is None:
+        d = int(np.bincount(size[ok & (size > 0)]).argmax()) if (ok & (size > 0)).any() else 0
+    rows = np.flatnonzero(ok & (size == d) & (d > 0))
+    flat = v.values.to_numpy(zero_copy_only=False).astype(dtype, copy=False)  # null components become NaN
+    x = flat[off[rows][:, None] + np.arange(d)] if len(rows) else np.empty((0, d), dtype)
+    good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+    ids = batch.column(0).to_numpy(zero_copy_only=False)[rows[good]]
+    return ids.astype(np.int64), np.ascontiguousarray(x[good])
 
 
 def fit(rows: DataFrame, p: Params, dtype) -> Model | None:
