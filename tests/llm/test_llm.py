@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -545,3 +546,44 @@ def test_ring_moves_few_rows(spark, docs):
     assert len(moved) <= 0.3 * len(eight) and sum(nine[k] == 8 for k in moved) >= len(eight) // 9 - 1
     sizes = Counter(eight.values())
     assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_hard_rows(spark, hard, none, name):
+    """Every stage on null, empty, repeated and very long texts, an empty table and columns with its own names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    extra = hard.withColumn("twin__", F.lit(1)).withColumn("root", F.lit("r")).withColumn("n_tokens__", F.lit(2))
+    out = stage(spark, extra, DATA)
+    got = out.collect()
+    assert stage(spark, none, DATA).count() == 0
+    if name == "encoding":
+        enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, data("byte_bpe_multi_50k.tiktoken").splitlines())}, special_tokens={})
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i, len(enc.encode_ordinary(t or ""))) for i, t in HARD)
+        return
+    assert out.columns == extra.columns
+    ids = Counter(r.doc_id for r in got)
+    if name == "quality":
+        score = {r.doc_id: r.score for r in quality.scores(hard, table(spark, DATA, "labels")).collect()}
+        assert ids == Counter(i for i, _ in HARD if score[i] >= 0.5)
+    elif name == "near_duplicates":
+        assert ids == Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1, 10: 1})
+    elif name == "personal_data":
+        assert ids == Counter(i for i, _ in HARD) and "a@b.example.com" not in "".join(r.text or "" for r in got)
+    else:
+        taken = Counter()
+        for r in mixing.mix(hard).collect():
+            taken[r.doc_id] += r.taken
+        words = Counter()
+        for r in got:
+            words[r.doc_id] += len(r.text.split())
+        assert {k: v for k, v in taken.items() if v} == dict(words)
+
+
+def test_vectors_of_all_kinds(spark):
+    rng = np.random.default_rng(0)
+    good = [(i, rng.normal(size=4).tolist()) for i in range(0, 60)] + [(20, [1.0, 0.0, 0.0, 0.0])]
+    bad = [(100, None), (120, [0.0] * 4), (140, [1.0, None, 2.0, 3.0]), (160, [1.0, float("nan"), 0.0, 0.0]), (180, [1.0, 2.0]), (None, [1.0] * 4), (200, [])]
+    got = ann.neighbours(spark.createDataFrame(good + bad, "vec_id bigint, embedding array<double>")).collect()
+    seen = {r.query_id for r in got} | {r.vec_id for r in got}
+    assert seen <= {i for i, _ in good} and {r.query_id for r in got} == {0, 20, 40}
+    assert all(r.query_id != r.vec_id for r in got) and all(sum(r.query_id == q for r in got) >= 20 for q in (0, 40))
