@@ -46,7 +46,7 @@ _CLASS_OF[list(b"0123456789")] = 2
 _CLASS_OF[list(b"\t\n\r ")] = 3
 _CLASS_OF[0] = 0
 #: Characters that are cut at once; longer plain texts are taken apart before a single space between letters.
-PIECE = 1_000_000
+PIECE = 500_000
 _BETWEEN = re.compile(f"(?<=[{_LATIN}]) (?=[{_LATIN}])")
 
 
@@ -351,9 +351,9 @@ class Encoder:
         self.count = np.empty(0, dtype=np.int64)
         self.start = np.empty(0, dtype=np.int64)
 
-    def numbered(self, cuts: list[list[str]]) -> list[np.ndarray]:
-        """Numbers of pre-tokens that are given; new ones are encoded together."""
-        place, new, fresh, out = self.place, [], len(self.count), []
+    def numbered(self, cuts: list[list[str]], fresh: int) -> tuple[list[np.ndarray], list[str]]:
+        """Numbers of pre-tokens that are given, and the new ones in the order of their numbers from ``fresh``."""
+        place, new, out = self.place, [], []
         for words in cuts:
             row = np.empty(len(words), np.int64)
             for i, w in enumerate(words):
@@ -363,14 +363,23 @@ class Encoder:
                     new.append(w)
                 row[i] = n
             out.append(row)
+        return out, new
+
+    def counts_of(self, cuts: list[list[str]]) -> list[np.ndarray]:
+        """Token counts of pre-tokens that are given; the new ones are encoded together."""
+        rows, new = self.numbered(cuts, len(self.count))
         self.learn(new)
-        return out
+        return [self.count[r] for r in rows]
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers of the pre-tokens of all texts, their lengths in characters, pre-tokens of each text)."""
+        """(numbers of the pre-tokens of all texts, their lengths in characters, pre-tokens of each text).
+
+        The new pre-tokens of all the texts are encoded by one replay.
+        """
         if len(self.count) > self.keep:
             self.forget()
         numbers, lens, per_text, at = [], [], np.zeros(len(texts), np.int64), 0
+        unknown: list[str] = []
         for plain, run in groupby(texts, lambda t: self.cut.fast is not None and _PLAIN.fullmatch(t) is not None):
             pieces, owner = [], []
             for t in run:
@@ -380,26 +389,32 @@ class Encoder:
                 at += 1
             for part in groups_by_bytes(pieces, PIECE):
                 if plain:
-                    n, size, per, new = self.plain.numbers(pieces[part], len(self.count))
-                    self.learn(new)
+                    n, size, per, new = self.plain.numbers(pieces[part], len(self.count) + len(unknown))
                 else:
                     cut = [self.cut.split(t) for t in pieces[part]]
-                    n = np.concatenate(self.numbered(cut))
+                    rows, new = self.numbered(cut, len(self.count) + len(unknown))
+                    n = np.concatenate(rows)
                     size = np.fromiter(map(len, chain.from_iterable(cut)), np.int64, len(n))
                     per = np.fromiter(map(len, cut), np.int64, len(cut))
-                numbers.append(n)
-                lens.append(size)
+                unknown += new
+                numbers.append(n.astype(np.int32))
+                lens.append(size.astype(np.int32))
                 np.add.at(per_text, owner[part], per)
-        none = [np.empty(0, np.int64)]
+        self.learn(unknown)
+        none = [np.empty(0, np.int32)]
         return np.concatenate(numbers or none), np.concatenate(lens or none), per_text
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, by one replay over the pre-tokens that are new."""
         numbers, _, per_text = self.rows(texts)
-        c = self.count[numbers]
-        ends = np.cumsum(c)
-        ids = self.ids[np.repeat(self.start[numbers] - (ends - c), c) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))].tolist()
+        parts, sizes = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(numbers), 100_000):
+            some = numbers[k : k + 100_000]
+            c = self.count[some]
+            ends = np.cumsum(c)
+            parts.append(self.ids[np.repeat(self.start[some] - (ends - c), c) + np.arange(int(ends[-1]))])
+            sizes.append(ends + sizes[-1][-1])
+        ids, bounds = np.concatenate(parts), np.concatenate(sizes)[np.concatenate(([0], np.cumsum(per_text)))].tolist()
         return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def learn(self, words: list[str]) -> None:
@@ -443,7 +458,7 @@ def groups_by_bytes(texts: list[str], most: int) -> Iterator[slice]:
 
 def encode_documents(
     docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = True, chars: int = 4_000_000,
+    with_ids: bool = True, chars: int = 3_000_000,
 ) -> DataFrame:
     """``id_col``, n_tokens, ids (unless ``with_ids`` is off), ids_sha256, decoded_sha256 of each row.
 

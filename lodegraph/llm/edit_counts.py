@@ -143,11 +143,6 @@ def plan_edit(tree: TokenTree, text: str, start: int, end: int, new: str, cut: b
     return edited, leaf, k, n_old, pieces
 
 
-def counts_of(enc: bpe.Encoder, rows: list[list[str]]) -> list[np.ndarray]:
-    """Token counts of lists of pre-tokens; the new ones are encoded together."""
-    return [enc.count[a] for a in enc.numbered(rows)]
-
-
 def sample_edits(doc_id, text: str, n: int) -> list[tuple[int, int, str]]:
     """Edits as an editor might leave them, fixed by the id and the text: a replacement by a piece of the
     same text, a removal, an insertion."""
@@ -210,7 +205,7 @@ def apply_edits(trees: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
                 for k in range(max(map(len, todo), default=0)):
                     rows = [i for i in range(len(now)) if k < len(todo[i])]
                     plans = [plan_edit(trees_[i], now[i], *todo[i][k], enc.cut) for i in rows]
-                    for i, (text, leaf, at, n_old, new), n in zip(rows, plans, counts_of(enc, [x[4] for x in plans])):
+                    for i, (text, leaf, at, n_old, new), n in zip(rows, plans, enc.counts_of([x[4] for x in plans])):
                         trees_[i].replace(leaf, at, n_old, list(map(len, new)), n.tolist())
                         now[i], again[i] = text, again[i] + len(new)
                 cols = [b.column(4), *(pa.array(x, pa.int64()) for x in (before, [t.total for t in trees_], pieces, again))]

@@ -253,7 +253,7 @@ def rare_buckets(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: Param
     """
     state = with_roots(buckets, roots)
     live = state.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    ids = settle(state.join(live, "band", "left_semi").select("id").distinct(), "live")
+    ids = settle(spread_join(state, live.select("band"), "band", "id").select("id").distinct(), "live")
     items = sets.join(ids, "id", "left_semi").select("id", "n", F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     shared = items.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
@@ -264,7 +264,7 @@ def rare_buckets(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: Param
     least = rows.groupBy("band").agg(F.min("n").alias("least"), F.count("*").alias("members")).where("members > 1").select("band", "least")
     other = F.greatest("least", F.ceil(F.col("n") * p.alike / 100))
     able = F.col("rest") * (100 + p.alike) >= (F.col("n") + other) * p.alike
-    found = settle(rows.join(least, "band").where(able).select("id", "n", "rest", "band"), "buckets")
+    found = settle(spread_join(rows, least, "band", "id").where(able).select("id", "n", "rest", "band"), "buckets")
     discard(rows)
     discard(ids)
     return found

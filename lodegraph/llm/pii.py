@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import free_name, settle, sliced_texts, tidy
@@ -163,6 +163,11 @@ class _Near:
         return pa.ListArray.from_arrays(pa.array(self.docs, pa.int32()), x)
 
 
+def twin_of(text_col: str) -> Column:
+    """A hash of the text, which names a row together with its id."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (spans, entities and, where there are any, all terms) and, with a null twin, rows of
     a task's document counts by term.  ``row`` names a document also where ids repeat."""
@@ -183,7 +188,7 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
             return k
 
         def batch_of(ids, rows, twins, kinds, base, ents, near, cs):
-            cols = [ids, pa.array(rows, pa.int64()), pa.array(twins, pa.int64())]
+            cols = [ids, pa.array(rows, pa.int64()), twins]
             cols += [pa.array([k[i] for k in kinds], pa.int64()) for i in range(4)]
             cols += [pa.array(base, pa.string()), pa.array(ents, pa.list_(pa.int64())), near.column(), pa.array(cs, counts_t)]
             return pa.RecordBatch.from_arrays(cols, names=["id", "row", "twin", *(f"n_{k}" for k in KINDS), "base", "entities", "near", "counts"])
@@ -195,13 +200,13 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
                 part = [{"t": t, "df": n} for t, n in items[i : i + 4096]]
                 none = _Near()
                 none.add([])
-                yield batch_of(pa.nulls(1, id_type), [None], [None], [[None] * 4], [None], [None], none, [part])
+                yield batch_of(pa.nulls(1, id_type), [None], pa.nulls(1, pa.int64()), [[None] * 4], [None], [None], none, [part])
 
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
             for start, texts in sliced_texts(batch.column(1), 4_000_000):
-                twins, kinds, base, ents, near = [], [], [], [], _Near()
+                kinds, base, ents, near = [], [], [], _Near()
                 for text in texts:
                     spans = base_spans(text)
                     raw = text.encode("utf-8", "surrogatepass")
@@ -209,7 +214,6 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
                         if len(w) >= p.shortest:
                             k = key(w)
                             counts[k] = counts.get(k, 0) + 1
-                    twins.append(_key(raw))
                     kinds.append([sum(k == s[0] for s in spans) for k in KINDS])
                     base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
                     ents.append(entities_of(text, spans) if spans else [])
@@ -217,7 +221,7 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
                     if len(counts) > 250_000:
                         yield from tell()
                 n = len(texts)
-                yield batch_of(batch.column(0).slice(start, n), range(row, row + n), twins, kinds, base, ents, near, [None] * n)
+                yield batch_of(batch.column(0).slice(start, n), range(row, row + n), batch.column(2).slice(start, n), kinds, base, ents, near, [None] * n)
                 row += n
         if counts:
             yield from tell()
@@ -228,7 +232,7 @@ def scan(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
         f"id {kind}, row bigint, twin bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS)
         + ", base string, entities array<bigint>, near array<struct<t:bigint,n:int,at:array<int>>>, counts array<struct<t:bigint,df:bigint>>"
     )
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), twin_of(text_col)).mapInArrow(run, schema)
 
 
 def disclosing(scanned: DataFrame, p: Params) -> DataFrame:
@@ -297,19 +301,12 @@ def sanitise(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
     spans = find(docs, p, id_col, text_col).where("spans <> ''").select(F.col(id_col).alias(id_), F.col("twin").alias(twin_), F.col("spans").alias(spans_), F.col("removed").alias(removed_))
     spans = settle(spans.dropDuplicates([id_, twin_]), "found")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in sliced_texts(batch.column(docs_cols.index(text_col))):
-                twin = [_key(t.encode("utf-8", "surrogatepass")) for t in texts]
-                yield batch.slice(start, len(texts)).append_column(twin_, pa.array(twin, pa.int64()))
-        tidy()
-
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = docs_cols.index(text_col)
         for batch in batches:
             for start, texts in sliced_texts(batch.column(at)):
                 b = batch.slice(start, len(texts))
-                found = b.column(len(docs_cols) + 1).to_pylist(), b.column(len(docs_cols) + 2).to_pylist()
+                found = b.column(len(docs_cols)).to_pylist(), b.column(len(docs_cols) + 1).to_pylist()
                 new = pa.array([sanitised(t, s, r or "") if t and s else t for t, s, r in zip(texts, *found)], b.column(at).type)
                 new = pc.if_else(pc.is_null(b.column(at)), b.column(at), new)
                 yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(docs_cols))], names=docs_cols)
@@ -317,8 +314,6 @@ def sanitise(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text
 
     docs_cols = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(keys, f"{fields}, {twin_} bigint")
-    spans = spans.withColumnRenamed(twin_, twin_ + "_")
-    joined = keyed.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.col(twin_) == F.col(twin_ + "_")), "left")
-    joined = joined.select(*[f"`{c}`" for c in docs_cols], twin_, spans_, removed_)
+    joined = docs.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (twin_of(text_col) == F.col(twin_)), "left")
+    joined = joined.select(*[f"`{c}`" for c in docs_cols], spans_, removed_)
     return joined.mapInArrow(replace, fields)

@@ -495,7 +495,7 @@ def test_edits_of_contractions_and_white_space():
             start = rng.randrange(len(text) + 1)
             end, put = min(len(text), start + rng.choice((0, 0, 1, 2))), rng.choice(("", rng.choice(parts), rng.choice(parts) + rng.choice(parts)))
             text, leaf, at, n_old, new = edit_counts.plan_edit(tree, text, start, end, put, enc.cut)
-            tree.replace(leaf, at, n_old, list(map(len, new)), edit_counts.counts_of(enc, [new])[0].tolist())
+            tree.replace(leaf, at, n_old, list(map(len, new)), enc.counts_of([new])[0].tolist())
             want = enc.cut.exact.findall(text)
             assert tree.parts()[0] == list(map(len, want)), (text, start, end, put)
             assert tree.total == len(enc.encode([text])[0])
