@@ -32,7 +32,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors unless their PYTHONPATH holds it already; whole texts travel to Python in
     small batches unless the session sets a size of its own."""
     if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "1000")
+        spark.conf.set(_BATCH, "300")
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
     if os.path.realpath(ROOT) in paths or app in _SHIPPED:
