@@ -103,18 +103,33 @@ def write(docs: DataFrame, path: str, tokenizer: bytes, pattern: str = bpe.PUBLI
             row = (shard, number, first, keys, lens, model, blocks)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["shard", "frame", "first", "ids", "lens", "model", "blocks"])
 
-        for batch in batches:
-            id_type = batch.column(0).type
-            for start, texts in sliced_texts(batch.column(1), 4_000_000):
-                for key, ids in zip(batch.column(0).slice(start, len(texts)).to_pylist(), enc.encode(texts)):
-                    if size >= FRAME:
-                        yield frame()
-                        number, first = number + 1, first + size
-                        keys, lens, parts, size = [], [], [], 0
-                    keys.append(key)
-                    lens.append(len(ids) + 1)
-                    parts += (ids, last)
-                    size += len(ids) + 1
+        def gathered():
+            """Ids and texts of about 4 MB, out of one batch or several."""
+            held_keys, held, n = [], [], 0
+            for batch in batches:
+                nonlocal id_type
+                id_type = batch.column(0).type
+                for start, texts in sliced_texts(batch.column(1), 4_000_000):
+                    held_keys += batch.column(0).slice(start, len(texts)).to_pylist()
+                    held += texts
+                    n += sum(map(len, texts))
+                    if n >= 3_000_000:
+                        yield held_keys, held
+                        held_keys, held, n = [], [], 0
+            if held:
+                yield held_keys, held
+
+        id_type = None
+        for some, texts in gathered():
+            for key, ids in zip(some, enc.encode(texts)):
+                if size >= FRAME:
+                    yield frame()
+                    number, first = number + 1, first + size
+                    keys, lens, parts, size = [], [], [], 0
+                keys.append(key)
+                lens.append(len(ids) + 1)
+                parts += (ids, last)
+                size += len(ids) + 1
         if keys:
             yield frame()
         tidy()
