@@ -13,8 +13,9 @@ by how often the two had held before and by whether they agree; a takes the rest
 so each id is one interval in a total of 2**24, coded in one step of a range coder with a range of 32 to
 48 bits, words of 16 bits, and carries that are added to the words in the end.
 
-All blocks of a frame are coded in step: one NumPy operation serves one decision of every block, by one
-routine for both directions, so the reader repeats the writer's model exactly.
+All blocks of a frame are read in step: one NumPy operation serves one decision of every block.  The writer
+knows the ids ahead, so it takes what the orders foresee from sorts and keeps only weights and ranges in step.
+Both use whole numbers alone, so the reader repeats the writer's model exactly.
 """
 
 from __future__ import annotations
@@ -70,183 +71,303 @@ def unpack_model(data: bytes) -> np.ndarray:
     return out
 
 
-class _Walk:
-    """The state of all blocks of a frame, longest block first.
+class _Reader:
+    """Decodes all blocks of a frame in step, longest block first.
 
-    ``grid`` holds the ids by step and lane and is filled when ``reading``; ``words`` holds the coder's words
-    by lane.  Words keep their carry in bit 16 until ``settle_carries``.
+    ``grid`` gets the ids by step and lane, behind two rows of zeros; ``words`` holds the coder's words by lane.
+    Arrays of two rows hold what orders 1 and 2 say, so one operation serves both.
     """
 
-    def __init__(self, grid: np.ndarray, lens: np.ndarray, freq: np.ndarray, words: np.ndarray, reading: bool):
+    def __init__(self, lens: np.ndarray, freq: np.ndarray, words: np.ndarray):
         freq = freq if len(freq) else np.zeros(1, np.int64)
-        self.grid, self.lens, self.reading = grid, lens, reading
+        self.lens, n = lens, len(lens)
         self.end, self.freq = np.cumsum(freq).astype(np.int32), freq.astype(np.int32)
+        self.start = self.end - self.freq
         self.slots = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-        n = len(lens)
-        self.t1, self.t2 = np.zeros(n << _BITS, np.int32), np.zeros(n << _BITS, np.int32)
+        self.grid = np.zeros((2 + int(lens[0]), n), np.int32)
+        self.table = np.zeros(2 * n << _BITS, np.int32)  # id << 4 | times held: 1 to 3, for order 2 times 4
         self.weights = np.tile(_FIRST, 2 * n)
-        self.words, self.width = words.reshape(-1), words.shape[1]
-        self.pos = np.arange(n, dtype=np.int64) * self.width
+        self.words, self.pos = words.reshape(-1), np.arange(n, dtype=np.int64) * words.shape[1]
         self.low, self.rng = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-        if reading:
-            for _ in range(3):
-                self.low = self.low << _16 | self.words[self.pos].astype(np.uint64)
-                self.pos += 1
-        self.a, self.b = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for _ in range(3):
+            self.low = self.low << _16 | self.words[self.pos]
+            self.pos += 1
 
     def run(self) -> None:
         """All steps; blocks that end leave from the back."""
-        steps = int(self.lens[0])
-        bounds = np.unique(np.concatenate(([0], self.lens, [steps])))
+        bounds = np.unique(np.concatenate(([0], self.lens)))
         for t0, t1 in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             self.steps(int(np.searchsorted(-self.lens, -t0, side="left")), t0, t1)
 
     def steps(self, n: int, t0: int, t1: int) -> None:
         """The ids ``t0`` to ``t1`` of the first ``n`` blocks."""
-        reading, take, clip = self.reading, np.take, "clip"
-        end, freq, slots, tab1, tab2, weights, words = self.end, self.freq, self.slots, self.t1, self.t2, self.weights, self.words
-        low, rng, pos, a, b = self.low[:n], self.rng[:n], self.pos[:n], self.a[:n], self.b[:n]
-        base_t, base_w = np.arange(n, dtype=np.int64) << _BITS, np.arange(n, dtype=np.int64) << 5
-        i32 = lambda: np.empty(n, np.int32)
-        x1, x2, cx, xi = (np.empty(n, np.int64) for _ in range(4))
-        e1, e2, p1, p2, k1, k2, lo, hi, m, o, u, v, y, x, b6, c6, a6 = (i32() for _ in range(17))
-        h, g, w, gain = (np.empty(n, np.uint32) for _ in range(4))
-        b6u, c6u = b6.view(np.uint32), c6.view(np.uint32)
-        r, s, f = (np.empty(n, np.uint64) for _ in range(3))
-        hit1, hit2, more, need = (np.empty(n, bool) for _ in range(4))
-        kind = np.empty(n, np.uint8)
-        hit1_8, hit2_8 = hit1.view(np.uint8), hit2.view(np.uint8)
+        add, sub, mul, shl, shr, both, copy = np.add, np.subtract, np.multiply, np.left_shift, np.right_shift, np.bitwise_and, np.copyto
+        grid, table, weights, words, pos, low, rng = self.grid, self.table, self.weights, self.words, self.pos[:n], self.low[:n], self.rng[:n]
+        look, weigh, word_at = table.take, weights.take, words.take
+        end_of, start_of, freq_of, id_at, gain_of = self.end.take, self.start.take, self.freq.take, self.slots.take, _GAINS.take
+        # numbers as arrays are dearer to make than to use
+        i32 = lambda v: np.array(v, np.int32)
+        u32, u64 = (lambda v: np.array(v, np.uint32)), (lambda v: np.array(v, np.uint64))
+        i0, i1, i4, i15, i18, whole, ones, caps = i32(0), i32(1), i32(4), i32(15), i32(_FINE), i32(64 << _FINE), i32([[1], [4]]), i32([[3], [12]])
+        u5, u8, top, mul1, mul2, parts, masses = (u32(int(k)) for k in (5, 8, _TOP, _MUL1, _MUL2, _PARTS, 63 << _FINE))
+        s4, s16, s24, s63, floor, last = (u64(int(k)) for k in (4, 16, 24, 63, _FLOOR, _LAST))
+        two = (2, n)
+        base_t = (np.arange(2, dtype=np.int64)[:, None] * len(self.lens) + np.arange(n)) << _BITS
+        base_w = np.arange(n, dtype=np.int64) << 5
+        hash_, mass_u = np.empty(two, np.uint32), np.empty(two, np.uint32)
+        h1, h2 = hash_
+        place, far, cx, xi, gi = np.empty(two, np.int64), np.empty(two, np.int64), *(np.empty(n, np.int64) for _ in range(3))
+        e, p, k, edge, part, iv = (np.empty(two, np.int32) for _ in range(6))
+        (p1, p2), (k1, k2), (d1, d2), (y, size) = p, k, part, iv
+        mass = mass_u.view(np.int32)
+        b, c = mass
+        other = mass[::-1]
+        v, a, z = (np.empty(n, np.int32) for _ in range(3))
+        w, h, gain = (np.empty(n, np.uint32) for _ in range(3))
+        kind, s, f, r, need, by = np.empty(n, np.uint8), *(np.empty(n, np.uint64) for _ in range(5))
+        needed, span = need.view(np.int64), np.empty(two, np.uint64)
+        hit, above, order = (np.empty(two, bool) for _ in range(3))
+        same = np.empty(n, bool)
+        same_8, (hit1_8, hit2_8), (after, before) = same.view(np.uint8), hit.view(np.uint8), order
         for t in range(t0, t1):
             # what orders 1 and 2 foresee, and the weights of the mixture
-            np.multiply(a.view(np.uint32), _MUL1, out=h)
-            np.multiply(b.view(np.uint32), _MUL2, out=g)
-            np.add(g, h, out=g)
-            np.right_shift(h, _TOP, out=h)
-            np.right_shift(g, _TOP, out=g)
-            np.add(base_t, h, out=x1)
-            np.add(base_t, g, out=x2)
-            take(tab1, x1, out=e1, mode=clip)
-            take(tab2, x2, out=e2, mode=clip)
-            np.right_shift(e1, 8, out=p1)
-            np.right_shift(e2, 8, out=p2)
-            np.bitwise_and(e1, 3, out=k1)
-            np.bitwise_and(e2, 12, out=k2)
-            np.equal(p1, p2, out=more)
-            np.left_shift(more.view(np.uint8), 4, out=kind)
-            np.add(k1, k2, out=u)
-            np.add(u, kind, out=u)
-            np.add(base_w, u, out=cx)
-            take(weights, cx, out=w, mode=clip)
-            np.right_shift(w, 26, out=c6u)
-            np.right_shift(w, 10, out=b6u)
-            np.bitwise_and(b6, 63, out=b6)
-            np.subtract(64, b6, out=a6)
-            np.subtract(a6, c6, out=a6)
-            np.right_shift(rng, _24, out=r)
-            if reading:
-                np.less_equal(p1, p2, out=more)
-                np.minimum(p1, p2, out=lo)
-                np.maximum(p1, p2, out=hi)
-                np.floor_divide(low, r, out=s)
-                np.minimum(s, _LAST, out=s)
-                np.copyto(v, s, casting="unsafe")
-                np.copyto(m, c6)
-                np.copyto(m, b6, where=more)
-                np.subtract(64, a6, out=o)
-                np.subtract(o, m, out=o)
-                for far, mass in ((lo, m), (hi, o)):
-                    # take the extra mass behind an id's order-0 interval out of the value
-                    np.left_shift(mass, _FINE, out=mass)
-                    np.copyto(xi, far)
-                    take(end, xi, out=u, mode=clip)
-                    np.multiply(u, a6, out=u)
-                    np.subtract(u, 1, out=u)
-                    np.subtract(v, mass, out=y)
-                    np.maximum(u, y, out=u)
-                    np.minimum(v, u, out=v)
-                np.floor_divide(v.view(np.uint32), a6.view(np.uint32), out=g)
-                np.copyto(xi, g)
-                take(slots, xi, out=x, mode=clip)
-                self.grid[t, :n] = x
-            else:
-                x[:] = self.grid[t, :n]
-            # its interval in the mixture
-            np.copyto(xi, x)
-            take(end, xi, out=y, mode=clip)
-            take(freq, xi, out=v, mode=clip)
-            np.subtract(y, v, out=y)
-            np.multiply(y, a6, out=y)
-            np.multiply(v, a6, out=v)
-            np.left_shift(b6, _FINE, out=b6)
-            np.left_shift(c6, _FINE, out=c6)
-            np.equal(x, p1, out=hit1)
-            np.equal(x, p2, out=hit2)
-            for p, mass, hit in ((p1, b6, hit1), (p2, c6, hit2)):
-                np.greater(x, p, out=more)
-                np.multiply(mass, more, out=u)
-                np.add(y, u, out=y)
-                np.multiply(mass, hit, out=u)
-                np.add(v, u, out=v)
-            np.copyto(s, y, casting="unsafe")
-            np.copyto(f, v, casting="unsafe")
-            np.multiply(s, r, out=s)
-            np.multiply(f, r, out=rng)
-            if reading:
-                np.subtract(low, s, out=low)
-            else:
-                np.add(low, s, out=low)
-            np.less(rng, _FLOOR, out=need)
-            self.shift(low, rng, pos, need, s, f, words)
-            if int(rng.min()) < 1 << 32:
-                few = np.flatnonzero(rng < _FLOOR)
-                part = low[few], rng[few], pos[few]
-                self.shift(*part, np.ones(len(few), bool), np.empty(len(few), np.uint64), np.empty(len(few), np.uint64), words)
-                low[few], rng[few], pos[few] = part
+            mul(grid[t + 1, :n].view(np.uint32), mul1, h1)
+            mul(grid[t, :n].view(np.uint32), mul2, h2)
+            add(h2, h1, h2)
+            shr(hash_, top, hash_)
+            add(base_t, hash_, place)
+            look(place, None, e, "clip")
+            shr(e, i4, p)
+            both(e, i15, k)
+            np.equal(p1, p2, same)
+            shl(same_8, 4, kind)
+            add(k1, k2, z)
+            add(z, kind, z)
+            add(base_w, z, cx)
+            weigh(cx, None, w, "clip")
+            shl(w, u8, mass_u[0])
+            shr(w, u8, mass_u[1])
+            both(mass_u, masses, mass_u)
+            sub(whole, b, a)
+            sub(a, c, a)
+            shr(a, i18, a)
+            # the value in the mixture, then without the extra masses behind the two ids' order-0 intervals
+            shr(rng, s24, r)
+            np.floor_divide(low, r, s)
+            np.minimum(s, last, s)
+            copy(v, s, casting="unsafe")
+            copy(far, p)
+            end_of(far, None, edge, "clip")
+            mul(edge, a, edge)
+            np.less(p2, p1, after)
+            np.logical_not(after, before)
+            mul(other, order, part)
+            add(edge, part, edge)
+            sub(v, edge, part)
+            add(part, i1, part)
+            np.maximum(part, i0, part)
+            np.minimum(part, mass, part)
+            sub(v, d1, v)
+            sub(v, d2, v)
+            np.floor_divide(v, a, v)
+            copy(xi, v)
+            x = grid[t + 2, :n]
+            id_at(xi, None, x, "clip")
+            # its interval
+            copy(xi, x)
+            start_of(xi, None, y, "clip")
+            freq_of(xi, None, size, "clip")
+            mul(iv, a, iv)
+            np.greater(x, p, above)
+            np.equal(x, p, hit)
+            mul(mass, above, part)
+            add(y, d1, y)
+            add(y, d2, y)
+            mul(mass, hit, part)
+            add(size, d1, size)
+            add(size, d2, size)
+            copy(span, iv, casting="unsafe")
+            mul(span[0], r, s)
+            mul(span[1], r, rng)
+            sub(low, s, low)
+            # the lanes that need it move on by one word, a few by a second one
+            for _ in range(2):
+                sub(rng, floor, need)
+                shr(need, s63, need)
+                shl(need, s4, by)
+                shl(low, by, low)
+                shl(rng, by, rng)
+                word_at(pos, None, f, "clip")
+                mul(f, need, f)
+                add(low, f, low)
+                add(pos, needed, pos)
+                if int(rng.min()) >= 1 << 32:
+                    break
             # what has been seen
-            np.left_shift(hit2_8, 1, out=kind)
-            np.bitwise_or(kind, hit1_8, out=kind)
-            np.copyto(xi, kind)
-            take(_GAINS, xi, out=gain, mode=clip)
-            np.right_shift(w, 5, out=h)
-            np.bitwise_and(h, _PARTS, out=h)
-            np.subtract(w, h, out=w)
-            np.add(w, gain, out=w)
+            shl(hit2_8, 1, kind)
+            np.bitwise_or(kind, hit1_8, kind)
+            copy(gi, kind)
+            gain_of(gi, None, gain, "clip")
+            shr(w, u5, h)
+            both(h, parts, h)
+            sub(w, h, w)
+            add(w, gain, w)
             weights[cx] = w
-            np.left_shift(x, 8, out=y)
-            for e, k, hit, one, most, tab, at in ((e1, k1, hit1, 1, 3, tab1, x1), (e2, k2, hit2, 4, 12, tab2, x2)):
-                np.add(k, one, out=k)
-                np.minimum(k, most, out=k)
-                np.bitwise_and(e, -16, out=e)
-                np.bitwise_or(e, k, out=e)
-                np.bitwise_or(y, one, out=u)
-                np.copyto(u, e, where=hit)
-                tab[at] = u
-            np.copyto(b, a)
-            np.copyto(a, x)
-
-    def shift(self, low, rng, pos, need, s, f, words) -> None:
-        """Move the lanes that need it on by one word."""
-        if self.reading:
-            np.copyto(f, np.take(words, pos, mode="clip"))
-            np.left_shift(low, _16, out=s)
-            np.bitwise_or(s, f, out=s)
-        else:
-            np.right_shift(low, _32, out=s)
-            words[pos] = s
-            np.bitwise_and(low, _MASK, out=s)
-            np.left_shift(s, _16, out=s)
-        np.copyto(low, s, where=need)
-        np.left_shift(rng, _16, out=f)
-        np.copyto(rng, f, where=need)
-        np.add(pos, need, out=pos)
+            mul(k, hit, k)
+            add(k, ones, k)
+            np.minimum(k, caps, k)
+            shl(x, i4, z)
+            add(k, z, k)
+            table[place] = k
+
+
+def _foreseen(x: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """What an order's table holds for every id before it is coded (id << 8 | times held, 0 to 3), for blocks by row.
+
+    An entry is the last id of its place and how long that id has come in a row, so sorting a block by place and
+    time tells all of them at once.
+    """
+    n, steps = x.shape
+    bits = max(1, (steps - 1).bit_length())
+    key = slot << np.uint32(bits)
+    key |= np.arange(steps, dtype=np.uint32)
+    key.sort(axis=1)
+    at = (key & np.uint32((1 << bits) - 1)).astype(np.int64)
+    at += (np.arange(n, dtype=np.int64) * steps)[:, None]
+    at = at.reshape(-1)
+    ids = np.take(x.reshape(-1), at, mode="clip")
+    key >>= np.uint32(bits)
+    seen = np.zeros((n, steps), bool)
+    np.equal(key[:, 1:], key[:, :-1], out=seen[:, 1:])
+    seen = seen.reshape(-1)
+    again = np.zeros(n * steps + 2, np.int8)  # two ahead of the first
+    np.logical_and(seen[1:], ids[1:] == ids[:-1], out=again[3:], casting="unsafe")
+    held = again[:-2] & again[1:-1]
+    held += again[1:-1]
+    held += 1
+    entry = np.zeros(n * steps, np.int32)
+    np.left_shift(ids[:-1], 8, out=entry[1:])
+    entry |= held
+    entry *= seen
+    out = np.empty(n * steps, np.int32)
+    out[at] = entry
+    return out.reshape(n, steps)
+
+
+def _kinds(x: np.ndarray) -> np.ndarray:
+    """All that the mixture takes from orders 1 and 2, in the bits of a number for each id of blocks by row: the context of
+    the weights (5 bits), whether each of the two holds, and whether the id stands behind theirs."""
+    h, g = np.zeros(x.shape, np.uint32), np.zeros(x.shape, np.uint32)
+    np.multiply(x[:, :-1].view(np.uint32), _MUL1, out=h[:, 1:])
+    np.multiply(x[:, :-2].view(np.uint32), _MUL2, out=g[:, 2:])
+    g += h
+    e1, e2 = _foreseen(x, h >> _TOP), _foreseen(x, g >> _TOP)
+    p1, p2 = e1 >> 8, e2 >> 8
+    out = ((e1 & 3) + ((e2 & 3) << 2)).astype(np.uint16)
+    for k, flag in enumerate((p1 == p2, x == p1, x == p2, x > p1, x > p2)):
+        out |= flag.astype(np.uint16) << np.uint16(4 + k)
+    return out
+
+
+class _Writer:
+    """Codes all blocks of a frame, longest block first.
+
+    The writer knows the ids, so what orders 1 and 2 foresee comes from sorts; only weights and ranges go in
+    step.  The code of a block is the sum of its intervals' lower ends, each at the word where its range
+    stands: these are added up by place, and carries are settled in the end.
+    """
+
+    STEPS = 32  # that are prepared at once
+    LANES = 64
+
+    def __init__(self, grid: np.ndarray, lens: np.ndarray, freq: np.ndarray):
+        self.grid, self.lens = grid, lens
+        self.end, self.freq = np.cumsum(freq).astype(np.int32), freq.astype(np.int32)
+        n, steps = grid.shape
+        self.kinds = np.empty((steps, n), np.uint16)
+        for k in range(0, n, self.LANES):
+            self.kinds[:, k : k + self.LANES] = _kinds(grid[k : k + self.LANES]).T
+        self.weights = np.tile(_FIRST, 2 * n)
+        self.words = np.zeros((n, 13 * steps // 8 + 8), np.uint32)
+        self.pos, self.rng = np.zeros(n, np.int64), np.full(n, 1 << 48, np.uint64)
+
+    def run(self) -> None:
+        bounds = np.unique(np.concatenate(([0], self.lens, np.arange(0, self.grid.shape[1], self.STEPS))))
+        for t0, t1 in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            self.steps(int(np.searchsorted(-self.lens, -t0, side="left")), t0, t1)
+
+    def steps(self, n: int, t0: int, t1: int) -> None:
+        """The ids ``t0`` to ``t1`` of the first ``n`` blocks."""
+        kinds, x = self.kinds[t0:t1, :n], np.ascontiguousarray(self.grid[:n, t0:t1].T)
+        at = (np.arange(n, dtype=np.int64) << 5) + (kinds & 31)
+        gains = np.take(_GAINS, kinds >> 5 & 3)
+        w, weights, h = np.empty((t1 - t0, n), np.uint32), self.weights, np.empty(n, np.uint32)
+        for place, now, gain in zip(at, w, gains):
+            np.take(weights, place, out=now, mode="clip")
+            np.right_shift(now, 5, out=h)
+            np.bitwise_and(h, _PARTS, out=h)
+            np.subtract(now, h, out=h)
+            np.add(h, gain, out=h)
+            weights[place] = h
+        # the intervals in the mixture
+        c = (w >> 26).view(np.int32)
+        b = (w >> 10 & 63).view(np.int32)
+        a = 64 - b - c
+        size = np.take(self.freq, x)
+        low = np.take(self.end, x)
+        low -= size
+        low *= a
+        size *= a
+        for k, mass in enumerate((b, c)):
+            mass <<= _FINE
+            size += mass * (kinds >> (5 + k) & 1).astype(np.int32)
+            low += mass * (kinds >> (7 + k) & 1).astype(np.int32)
+        self.narrow(n, low.astype(np.uint64), size.astype(np.uint64))
+
+    def narrow(self, n: int, low: np.ndarray, size: np.ndarray) -> None:
+        """Ranges of the first ``n`` blocks over some steps, and the words that the lower ends add to."""
+        rng, by = self.rng[:n], np.empty(n, np.uint64)
+        unit, moved, far = np.empty(low.shape, np.uint64), np.empty(low.shape, bool), np.empty(low.shape, bool)
+        moves = moved.view(np.uint8)
+        for f, r, one, two, both in zip(size, unit, moved, far, moves):
+            np.right_shift(rng, _24, out=r)
+            np.multiply(f, r, out=rng)
+            np.less(rng, _FLOOR, out=one)
+            np.less(rng, _FLOOR >> _16, out=two)
+            np.add(both, two.view(np.uint8), out=both)
+            np.left_shift(both, 4, out=by)
+            np.left_shift(rng, by, out=rng)
+        low *= unit
+        ends = np.cumsum(moves, axis=0, dtype=np.int64)
+        last = ends[-1].copy()
+        ends -= moves
+        wide = int(last.max()) + 1
+        ends += np.arange(n, dtype=np.int64) * wide
+        # ends of one place lie within one range, so their sum is below 2**48
+        sums = np.bincount(ends.reshape(-1), low.reshape(-1), n * wide).astype(np.uint64).reshape(n, wide)
+        width = self.words.shape[1]
+        at = (np.arange(n, dtype=np.int64) * width + self.pos[:n])[:, None] + np.arange(wide)
+        words = self.words.reshape(-1)
+        for k, part in enumerate((sums >> _32, sums >> _16, sums)):
+            words[at + k] += (part & np.uint64(0xFFFF)).astype(np.uint32)
+        self.pos[:n] += last
 
     def finish(self) -> np.ndarray:
-        """The last word of each lane (zeros follow), and the carries; returns the number of words of each lane."""
-        self.words[self.pos] = (self.low + _MASK) >> _32
-        while (over := np.flatnonzero(self.words >> 16)).size:
-            self.words[over - 1] += self.words[over] >> 16
-            self.words[over] &= 0xFFFF
-        return self.pos - np.arange(len(self.lens)) * self.width + 1
+        """Settles the carries and ends each lane at a word behind which zeros stand for the rest; returns the words of each lane."""
+        n, width = self.words.shape
+        words, end = self.words.reshape(-1), np.arange(n) * width + self.pos
+        self.settle()
+        words[end] += (words[end + 1] | words[end + 2]) > 0
+        words[end + 1] = words[end + 2] = 0
+        self.settle()
+        return self.pos + 1
+
+    def settle(self) -> None:
+        words = self.words.reshape(-1)
+        while (over := np.flatnonzero(words >> 16)).size:
+            up = words[over] >> 16
+            words[over] &= 0xFFFF
+            words[over - 1] += up
 
 
 def encode_frame(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
@@ -257,21 +378,18 @@ def encode_frame(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     if int(ids.min()) < 0 or int(ids.max()) > MOST_ID:
         raise ValueError(f"token ids must lie between 0 and {MOST_ID}")
     freq = frequencies(np.bincount(ids))
-    full = len(ids) // BLOCK
-    lens = np.full(-(-len(ids) // BLOCK), BLOCK)
-    if full < len(lens):
-        lens[-1] = len(ids) - full * BLOCK
-    grid = np.zeros((len(lens), BLOCK), np.int32)
+    lens = np.full(-(-len(ids) // BLOCK), min(BLOCK, len(ids)))
+    lens[-1] = len(ids) - (len(lens) - 1) * BLOCK
+    grid = np.zeros((len(lens), int(lens[0])), np.int32)
     grid.reshape(-1)[: len(ids)] = ids
-    walk = _Walk(np.ascontiguousarray(grid.T), lens, freq, np.zeros((len(lens), 13 * int(lens[0]) // 8 + 8), np.uint32), False)
+    walk = _Writer(grid, lens, freq)
     walk.run()
     used = walk.finish()
-    words = walk.words.reshape(len(lens), -1)
     raw = np.asarray(ids, "<u4")
     out = []
     for k, n in enumerate(lens.tolist()):
         head = struct.pack("<II", n, zlib.crc32(raw[k * BLOCK : k * BLOCK + n].tobytes()))
-        out.append(head + words[k, : used[k]].astype("<u2").tobytes())
+        out.append(head + walk.words[k, : used[k]].astype("<u2").tobytes())
     return pack_model(freq), out
 
 
@@ -282,13 +400,13 @@ def decode_frame(model: bytes, blocks: list[bytes]) -> np.ndarray:
     head = np.array([struct.unpack_from("<II", b) for b in blocks], dtype=np.int64)
     order = np.argsort(-head[:, 0], kind="stable")
     parts = [np.frombuffer(blocks[k], "<u2", offset=8) for k in order]
-    words = np.zeros((len(blocks), max(map(len, parts)) + 4), np.uint32)
+    words = np.zeros((len(blocks), max(map(len, parts)) + 4), np.uint64)
     for row, w in zip(words, parts):
         row[: len(w)] = w
     lens = head[order, 0]
-    walk = _Walk(np.zeros((max(1, int(lens[0])), len(blocks)), np.int32), lens, unpack_model(model), words, True)
+    walk = _Reader(lens, unpack_model(model), words)
     walk.run()
-    grid, out = np.ascontiguousarray(walk.grid.T), [None] * len(blocks)
+    grid, out = np.ascontiguousarray(walk.grid[2:].T), [None] * len(blocks)
     for row, k in zip(grid, order.tolist()):
         out[k] = row[: head[k, 0]].astype("<u4")
         if zlib.crc32(out[k].tobytes()) != head[k, 1]:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -274,6 +275,73 @@ def test_coder_beats_order_0_and_a_general_compressor():
     assert size < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
+def plain_code(ids, freq):
+    """The words of a block by the rules of ``coder``'s docstring, one id after another and with whole numbers."""
+    end, table1, table2, a, b, code, size, moves = np.cumsum(freq).tolist(), {}, {}, 0, 0, 0, 1 << 48, 0
+    weights = {(k1, k2, same): [w << 10 for w in (min(c, 62), min((0, 8, 24, 40)[k1], 62 - c))] for k2, c in enumerate((0, 20, 40, 54)) for k1 in range(4) for same in (False, True)}
+    for x in ids:
+        h = a * 0x9E3779B1
+        at1, at2 = (h & 0xFFFFFFFF) >> 21, (h + b * 0x85EBCA6B & 0xFFFFFFFF) >> 21
+        (p1, k1), (p2, k2) = table1.get(at1, (0, 0)), table2.get(at2, (0, 0))
+        w = weights[k1, k2, p1 == p2]
+        c, b1 = w[0] >> 10, w[1] >> 10
+        first = (64 - b1 - c) * (end[x] - freq[x]) + (b1 << 18) * (x > p1) + (c << 18) * (x > p2)
+        unit = size >> 24
+        code += unit * first
+        size = unit * ((64 - b1 - c) * freq[x] + (b1 << 18) * (x == p1) + (c << 18) * (x == p2))
+        while size < 1 << 32:
+            code, size, moves = code << 16, size << 16, moves + 1
+        w[:] = [v - (v >> 5) for v in w]
+        if x == p2:
+            w[0] += 2015
+        elif x == p1:
+            w[1] += 2015
+        table1[at1] = (x, min(k1 + 1, 3) if x == p1 else 1)
+        table2[at2] = (x, min(k2 + 1, 3) if x == p2 else 1)
+        a, b = x, a
+    code = (code + (1 << 32) - 1) >> 32
+    return b"".join((code >> 16 * k & 0xFFFF).to_bytes(2, "little") for k in range(moves, -1, -1))
+
+
+def test_coder_writes_its_format():
+    rng = np.random.default_rng(4)
+    runs = [[0], [5, 5], np.zeros(9000), np.full(4097, 7), rng.integers(0, 3, 9000), rng.zipf(1.3, 13000) % 50257, np.tile(rng.integers(0, 300, 90), 60)]
+    for ids in [*runs, rng.integers(0, coder.MOST_ID + 1, 5000)]:
+        ids = np.array(ids, dtype=np.int64)
+        model, blocks = coder.encode_frame(ids)
+        freq = coder.unpack_model(model).tolist()
+        for k, block in enumerate(blocks):
+            assert block[8:] == plain_code(ids[k * coder.BLOCK : (k + 1) * coder.BLOCK].tolist(), freq)
+
+
+def test_coder_cost():
+    """CPU time of a frame, in the time that three array operations take for each step of its blocks."""
+    ids = np.random.default_rng(0).zipf(1.3, 1_000_000) % 50257
+    n = len(ids) // coder.BLOCK
+
+    def three_a_step():
+        table, at, u = np.zeros(n << 11, np.int32), np.arange(n) << 11, np.ones(n, np.int32)
+        for _ in range(coder.BLOCK):
+            np.add(u, u, out=u)
+            table[at] = u
+            np.take(table, at, out=u, mode="clip")
+
+    def least(f, *args):
+        took = []
+        for _ in range(3):
+            t = time.thread_time()
+            out = f(*args)
+            took.append(time.thread_time() - t)
+        return min(took), out
+
+    unit, _ = least(three_a_step)
+    write, frame = least(coder.encode_frame, ids)
+    read, _ = least(coder.decode_frame, *frame)
+    unit = max(unit, least(three_a_step)[0])
+    assert write < 20 * unit  # 30 to 47 when all was done in step
+    assert write + read < 56 * unit  # 67 to 87
+
+
 def test_token_file(spark, docs, hard, none, tmp_path):
     from tokenizers import Tokenizer
 
