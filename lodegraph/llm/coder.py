@@ -346,28 +346,32 @@ class _Writer:
         # ends of one place lie within one range, so their sum is below 2**48
         sums = np.bincount(ends.reshape(-1), low.reshape(-1), n * wide).astype(np.uint64).reshape(n, wide)
         width = self.words.shape[1]
-        at = (np.arange(n, dtype=np.int64) * width + self.pos[:n])[:, None] + np.arange(wide)
+        at = (np.arange(n, dtype=np.int64) * width + self.pos[:n])[:, None] + np.arange(wide + 2)
         words = self.words.reshape(-1)
+        parts = np.zeros((n, wide + 2), np.uint32)
         for k, part in enumerate((sums >> _32, sums >> _16, sums)):
-            words[at + k] += (part & np.uint64(0xFFFF)).astype(np.uint32)
+            parts[:, k : k + wide] += (part & np.uint64(0xFFFF)).astype(np.uint32)
+        words[at] += parts
         self.pos[:n] += last
 
     def finish(self) -> np.ndarray:
         """Settles the carries and ends each lane at a word behind which zeros stand for the rest; returns the words of each lane."""
         n, width = self.words.shape
         words, end = self.words.reshape(-1), np.arange(n) * width + self.pos
-        self.settle()
+        self.settle(np.flatnonzero(words >> 16))
         words[end] += (words[end + 1] | words[end + 2]) > 0
         words[end + 1] = words[end + 2] = 0
-        self.settle()
+        self.settle(end)
         return self.pos + 1
 
-    def settle(self) -> None:
+    def settle(self, places: np.ndarray) -> None:
+        """Carries of the words at ``places`` and of those that they reach."""
         words = self.words.reshape(-1)
-        while (over := np.flatnonzero(words >> 16)).size:
+        while (over := places[words[places] >> 16 > 0]).size:
             up = words[over] >> 16
             words[over] &= 0xFFFF
-            words[over - 1] += up
+            places = over - 1
+            words[places] += up
 
 
 def encode_frame(ids: np.ndarray) -> tuple[bytes, list[bytes]]:

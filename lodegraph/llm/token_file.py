@@ -49,14 +49,19 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_buffer(data)  # the model goes with it
-        self.model, self.map = self.whole.model, _visible()
+        self.model = self.whole.model
+        self.shown = np.array([ord(c) for _, c in sorted(_visible().items())], "<u2")
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for w in words:
-            got = [t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.map))]
-            ids += got
-            counts.append(len(got))
+        ids, counts, tokenize = [], [], self.model.tokenize
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            line = self.shown[np.frombuffer(b" ".join(some), np.uint8)]
+            line[np.cumsum([len(w) + 1 for w in some[:-1]], dtype=np.int64) - 1] = 32  # no byte stands as a space
+            for w in line.tobytes().decode("utf-16-le").split(" "):
+                got = tokenize(w)
+                ids += [t.id for t in got]
+                counts.append(len(got))
         return np.array(ids, dtype=np.int64), np.array(counts, dtype=np.int64)
 
 
