@@ -555,7 +555,7 @@ def parse_symbols(spark, d):
 
     texts = spark.createDataFrame([(ext, lang, text) for ext, (lang, text, _) in SNIPPETS.items()], "ext string, language string, template string")  # nine rows
     rows = V.part_symbols(spark, d).crossJoin(F.broadcast(texts)).select(F.concat("file", F.lit("/part"), F.col("id").cast("string"), F.lit("."), "ext").alias("path"), "language", F.replace("template", F.lit("{n}"), F.col("id").cast("string")).alias("content"))
-    return parse(rows).select("file", "name", "kind", "line_start", "line_end")
+    return parse(rows, ("file", "name", "kind", "line_start", "line_end")).select("file", "name", "kind", "line_start", "line_end")
 
 
 # --- lookups in order, notes, topics, owners ---------------------------------------------------------------

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph.operators import evolution, graph, knowledge, search, structure
 from lodegraph.sources.parse import edges, parse
@@ -119,3 +120,10 @@ def test_sections_of_odd_lines(spark):
     assert [got["b", i].title for i in (1, 2, 3, 4)] == ["one\r", "\x0btwo", "a\u2028b", "c\u0085"]
     assert [(k, r.title, r.line_start, r.line_end) for k, r in got.items() if k[0] == "c"] == [(("c", 2), "same", 1, 2)]
     assert got["c", 2].docstring == "# same\n# same\nx\nx"
+
+
+def test_files_are_dealt_out_before_they_are_parsed(spark):
+    files = spark.createDataFrame([(f"{i}.py", "python", f"def f{i}(): pass") for i in range(64)], "path string, language string, content string").coalesce(1)
+    places = [r.n for r in parse(files).groupBy(F.spark_partition_id().alias("at")).agg(F.count("*").alias("n")).collect()]
+    assert sum(places) == 64 and max(places) < 32
+    assert {r.name: r.line_end for r in parse(files.limit(1), ("name", "line_end")).collect()} == {"f0": 1}
