@@ -140,3 +140,18 @@ def test_index_counts_words_where_they_are_read(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "i" / "postings"))
     assert dict(stored.dtypes) == {"term": "string", "ids": "array<string>", "tf": "array<int>", "dl": "array<int>"} and stored.where("term = 'cat'").count() <= 2
     assert search.Index.build(docs.limit(0), "k", "t", str(tmp_path / "e")).search(["cat"], 3).count() == 0
+
+
+def test_near_pairs_of_few_groups_are_all_pairs(spark, monkeypatch):
+    from lodegraph.operators import clones
+
+    monkeypatch.setattr(clones, "BLOCK", 4)
+    monkeypatch.setattr(clones, "GROUPS", 3)
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b", None]), [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(40)]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    size = lambda x: dot(x, x) ** 0.5
+    want = {(i, j): dot(x, y) / (size(x) * size(y)) for i, f, x in rows for j, g, y in rows if i < j and f and g and f != g and size(x) and size(y)}
+    found = clones.near_pairs(spark.createDataFrame(rows, "id bigint, file string, v array<double>"), 0.5)
+    assert {(r.a, r.b): r.score for r in found.collect()} == {k: pytest.approx(s, abs=1e-6) for k, s in want.items() if round(s, 6) >= 0.5}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
