@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,44 +77,71 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
 
 
 def communities(edges: DataFrame, sweeps: int = 20) -> DataFrame:
-    """id, community: one level of modularity moves in each component, in order of id; ties to the least label."""
+    """id, community: one level of modularity moves in each component, in order of id; ties to the least label.
+
+    Components are dealt out over tasks by hash.  A move depends on those before it, so one component is one task's work;
+    its nodes are numbered in arrays, and after the first sweep a node is looked at again only if a neighbour or the
+    weight of a community next to it has changed since, as it would stay where it is otherwise.
+    """
     links = edges.where("from_id <> to_id").select("from_id", "to_id").distinct()
+    links = written(links, "links")
     m = links.count() / 2.0
     comp = components(links)
-    work = links.join(comp, links["from_id"] == comp["id"]).select("component", "from_id", "to_id")
+    spark = edges.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    work = links.join(comp, links["from_id"] == comp["id"]).select("component", "from_id", "to_id").repartition(n, "component")
 
     def move(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(frame["from_id"], frame["to_id"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        own = {i: i for i in near}
-        weight = {i: float(len(x)) for i, x in near.items()}
-        total = dict(weight)
-        for _ in range(sweeps):
-            moved = False
-            for i in sorted(near):
-                mine = own[i]
-                shared: dict = {}
-                for j in near[i]:
-                    shared[own[j]] = shared.get(own[j], 0) + 1
-                rest = total[mine] - weight[i]
-                best, gain = mine, 0.0
-                for other in sorted(shared):
-                    if other != mine:
-                        d = (shared[other] - shared.get(mine, 0)) / m - weight[i] * (total[other] - rest) / (2 * m * m)
-                        if d > gain:
-                            best, gain = other, d
-                if best != mine:
-                    total[mine] -= weight[i]
-                    total[best] += weight[i]
-                    own[i], moved = best, True
-            if not moved:
-                break
-        return pd.DataFrame({"id": list(own), "community": list(own.values())})
+        ids, own = _moved(frame["from_id"].to_numpy(), frame["to_id"].to_numpy(), m, sweeps)
+        return pd.DataFrame({"id": ids, "community": ids[own]})
 
     kind = edges.schema["from_id"].dataType.simpleString()
-    return work.groupBy("component").applyInPandas(move, f"id {kind}, community {kind}")
+    return written(work.groupBy("component").applyInPandas(move, f"id {kind}, community {kind}"), "communities")  # moved once, read often
+
+
+def _moved(a: np.ndarray, b: np.ndarray, m: float, sweeps: int) -> tuple[np.ndarray, list[int]]:
+    """The nodes of a component in order, and for each the place of the node that names its community."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, half = len(ids), len(a)
+    key = np.unique(np.concatenate([at[:half] * n + at[half:], at[half:] * n + at[:half]]))
+    source, target = key // n, (key % n).tolist()
+    ends = np.searchsorted(source, np.arange(n + 1)).tolist()
+    weight = [float(y - x) for x, y in zip(ends, ends[1:])]
+    own, total = list(range(n)), list(weight)
+    changed, seen, clock = [0] * n, [-1] * n, 0  # when a community's weight or a node's label last changed; when a node was looked at
+    labelled = [0] * n
+    for sweep in range(sweeps):
+        moved = False
+        for i in range(n):
+            near, mine, last = target[ends[i] : ends[i + 1]], own[i], seen[i]
+            if sweep and changed[mine] <= last:
+                for j in near:
+                    if labelled[j] > last or changed[own[j]] > last:
+                        break
+                else:
+                    continue
+            seen[i] = clock
+            shared: dict[int, int] = {}
+            for j in near:
+                c = own[j]
+                shared[c] = shared.get(c, 0) + 1
+            w = weight[i]
+            kept, rest = shared.get(mine, 0), total[mine] - w
+            best, gain = mine, 0.0
+            for other in sorted(shared) if len(shared) > 1 else shared:
+                if other != mine:
+                    d = (shared[other] - kept) / m - w * (total[other] - rest) / (2 * m * m)
+                    if d > gain:
+                        best, gain = other, d
+            if best != mine:
+                clock += 1
+                total[mine] -= w
+                total[best] += w
+                own[i], moved = best, True
+                changed[mine] = changed[best] = labelled[i] = clock
+        if not moved:
+            break
+    return ids, own
 
 
 def communities_or_files(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -155,3 +155,29 @@ def test_near_pairs_of_few_groups_are_all_pairs(spark, monkeypatch):
     found = clones.near_pairs(spark.createDataFrame(rows, "id bigint, file string, v array<double>"), 0.5)
     assert {(r.a, r.b): r.score for r in found.collect()} == {k: pytest.approx(s, abs=1e-6) for k, s in want.items() if round(s, 6) >= 0.5}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_component_moves_as_by_plain_sweeps():
+    import numpy as np
+
+    rng = random.Random(5)
+    edges = list({(rng.randrange(60), rng.randrange(60)) for _ in range(110)})
+    edges = [(7 * a - 100, 7 * b - 100) for a, b in edges if a != b]
+    near, m = {}, len(edges) / 2
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    own = {i: i for i in near}
+    for _ in range(20):
+        before = dict(own)
+        for i in sorted(near):
+            at = lambda c: sum(len(near[j]) for j in near if own[j] == c)  # noqa: E731, B023
+            tie = lambda c: sum(own[j] == c for j in near[i])  # noqa: E731, B023
+            rest = at(own[i]) - len(near[i])
+            gains = [((tie(c) - tie(own[i])) / m - len(near[i]) * (at(c) - rest) / (2 * m * m), -c) for c in {own[j] for j in near[i]} - {own[i]}]
+            if gains and max(gains)[0] > 0:
+                own[i] = -max(gains)[1]
+        if own == before:
+            break
+    ids, moved = graph._moved(np.array([a for a, _ in edges]), np.array([b for _, b in edges]), m, 20)
+    assert dict(zip(ids.tolist(), ids[moved].tolist())) == own
